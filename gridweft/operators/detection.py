@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweft.functions import geometry as G
 from gridweft.operators.overlap import overlap_pairs, representatives
 from gridweft.session import materialize
 
@@ -63,25 +64,32 @@ def _rates(hits: Column, n_det: Column, n_gt: Column) -> list[Column]:
     return [recall.alias("recall"), precision.alias("precision"), hmean.alias("hmean")]
 
 
-def without_ignored(detections: DataFrame, truth: DataFrame, min_iou: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Drop true boxes with ``iscrowd = 1`` and the detections whose best true box is one of them."""
-    best = candidate_pairs(detections, truth, min_iou)
-    best = best.groupBy("image", "det_no").agg(F.max(F.struct("iou", (-F.col("gt_no")).alias("g"))).alias("b"))
-    best = best.select("image", "det_no", (-F.col("b.g")).alias("gt_no"))
-    crowd = truth.filter(F.col("iscrowd") == 1).select("image", "gt_no")
-    rep_of_crowd = best.join(crowd, ["image", "gt_no"], "left_semi").select("image", "det_no")
-    boxes = detections.join(rep_of_crowd, ["image", "det_no"], "left_semi").select("image", "box").distinct()
-    return detections.join(boxes, ["image", "box"], "left_anti"), truth.filter(F.col("iscrowd") == 0)
-
-
 def detection_scores(detections: DataFrame, truth: DataFrame, min_iou: float = 0.5) -> DataFrame:
-    """Recall, precision and their harmonic mean over all images; ignored boxes count on neither side."""
-    det, gt = without_ignored(detections, truth, min_iou)
-    counts = (
-        match_boxes(det, gt, min_iou).agg(F.count(F.lit(1)).alias("n_match"))
-        .crossJoin(det.agg(F.count(F.lit(1)).alias("n_det")))
-        .crossJoin(gt.agg(F.count(F.lit(1)).alias("n_gt")))
+    """Recall, precision and their harmonic mean over all images.
+
+    Ignored boxes (``iscrowd = 1``) count on neither side: they are no true boxes, and a detection whose best
+    true box is ignored, together with its copies, is no detection.
+    """
+    det = representatives(
+        detections.select("image", "box", "det_no", "score"),
+        "det_no",
+        order=F.struct(-F.col("score"), "det_no"),
+        copies="copies",
+    )
+    gt = representatives(truth.select("image", "box", "gt_no", "iscrowd"), "gt_no", order=F.struct("iscrowd", "gt_no"))
+    pairs = overlap_pairs(det, gt, min_iou=min_iou)
+    best = pairs.groupBy("image", "det_no").agg(
+        F.max(F.struct("iou", (-F.col("iscrowd")).alias("counted"), "copies")).alias("b")
     )
+    ignored = best.filter(F.col("b.counted") < 0).select("image", "det_no", F.col("b.copies").alias("copies"))
+    valid = pairs.filter(F.col("iscrowd") == 0).join(ignored, ["image", "det_no"], "left_anti")
+    n_match = _mutual(valid).agg(F.count(F.lit(1)).alias("n_match"))
+    n_ignored = ignored.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_ignored"))
+    n_det = detections.agg(F.count(F.lit(1)).alias("n_all"))
+    n_gt = truth.agg(F.count_if(F.col("iscrowd") == 0).alias("n_gt"))
+    # four frames of one row each
+    counts = n_match.join(n_ignored).join(n_det).join(n_gt)
+    counts = counts.withColumn("n_det", F.col("n_all") - F.col("n_ignored"))
     return counts.select("n_match", "n_det", "n_gt", *_rates(F.col("n_match"), F.col("n_det"), F.col("n_gt")))
 
 
@@ -142,10 +150,11 @@ def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5, max_rounds: i
     checkpoint folder, so lost executors do not restart the loop.  Copies of a box are
     represented by the best one, since all others are dropped by it.
     """
-    boxes = representatives(
-        detections.select("image", "box", "det_no", "score"), "det_no", order=F.struct(-F.col("score"), "det_no")
-    )
-    boxes = materialize(boxes, "nms-boxes")
+    flat = G.box_area(F.col("box")) <= 0
+    columns = detections.select("image", "box", "det_no", "score")
+    boxes = representatives(columns.filter(~flat), "det_no", order=F.struct(-F.col("score"), "det_no"))
+    # boxes without area overlap nothing, not even their copies
+    boxes = materialize(boxes.unionByName(columns.filter(flat)), "nms-boxes")
     better = boxes.select("image", "box", F.col("det_no").alias("by_no"), F.col("score").alias("by_score"))
     edges = overlap_pairs(boxes, better, min_iou=min_iou).filter(
         (F.col("iou") > min_iou)

@@ -22,7 +22,8 @@ _SMALLEST = 1e-3
 
 def _level(box: Column) -> Column:
     extent = F.greatest(F.get(box, 2) - F.get(box, 0), F.get(box, 3) - F.get(box, 1), F.lit(_SMALLEST))
-    return F.ceil(F.log2(extent)).cast("int")
+    # the small shift keeps exact powers of two on their level in spite of rounding
+    return F.ceil(F.log2(extent) - 1e-9).cast("int")
 
 
 def _on_grid(df: DataFrame, levels: Column) -> DataFrame:
@@ -49,7 +50,7 @@ def overlap_pairs(
     """
     own = _level(F.col("box"))
     if min_iou is not None:
-        reach = math.ceil(math.log2(1.0 / min_iou)) + 1 if min_iou < 1 else 1
+        reach = max(1, math.ceil(math.log2(1.0 / min_iou)))
         grid = F.sequence(F.col("_own"), F.col("_own") + reach)
         l_in, r_in = left, right
     else:
@@ -78,12 +79,18 @@ def overlap_pairs(
     return out.drop("_level", "_gx", "_gy", "_l_own", "_r_own")
 
 
-def representatives(df: DataFrame, number: str, image: str = "image", order: Column | None = None) -> DataFrame:
+def representatives(
+    df: DataFrame, number: str, image: str = "image", order: Column | None = None, copies: str | None = None
+) -> DataFrame:
     """One row for each distinct box of an image: the one that comes first.
 
-    ``order`` is a struct that sorts copies; the smallest wins (default: the number).
+    ``order`` is a struct that sorts copies; the smallest wins (default: the number).  ``copies`` names a
+    column for the number of equal boxes.
     """
     others = [c for c in df.columns if c not in (image, "box")]
     key = order if order is not None else F.col(number)
-    best = df.groupBy(image, "box").agg(F.min_by(F.struct(*others), key).alias("_r"))
-    return best.select(image, "box", *[F.col(f"_r.{c}").alias(c) for c in others])
+    best = df.groupBy(image, "box").agg(
+        F.min_by(F.struct(*others), key).alias("_r"), F.count(F.lit(1)).alias("_n")
+    )
+    out = best.select(image, "box", *[F.col(f"_r.{c}").alias(c) for c in others], "_n")
+    return out.withColumnRenamed("_n", copies) if copies else out.drop("_n")
