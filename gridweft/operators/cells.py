@@ -72,21 +72,20 @@ def body_positions(cells: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataF
 
 def child_parent(headers: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """Every header cell with the cell one level up whose range contains its first column."""
+    on = [*keys, "level"]
     up = headers.select(
-        *keys,
-        (F.col("level") + 1).alias("level"),
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        (F.col("level") + 1).alias("_level"),
         F.col("h_no").alias("parent_no"),
         F.col("name").alias("parent_name"),
-        F.col("lo").alias("parent_lo"),
-        F.col("hi").alias("parent_hi"),
+        F.col("lo").alias("_lo"),
+        F.col("hi").alias("_hi"),
     )
-    inside = (up["parent_lo"] <= headers["lo"]) & (headers["lo"] < up["parent_hi"])
-    same = [headers[k] == up[k] for k in (*keys, "level")]
-    cond = inside
-    for c in same:
-        cond = cond & c
+    cond = (F.col("_lo") <= F.col("lo")) & (F.col("lo") < F.col("_hi"))
+    for k in on:
+        cond = cond & (F.col(k) == F.col(f"_{k}"))
     return headers.join(up, cond, "left").select(
-        *[headers[k] for k in keys], headers["level"], "h_no", "name", "lo", "hi", "parent_no", "parent_name"
+        *keys, "level", "h_no", "name", "lo", "hi", "parent_no", "parent_name"
     )
 
 

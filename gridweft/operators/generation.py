@@ -6,8 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 Predict = Callable[[list[str]], list[str]]
 
@@ -18,19 +17,20 @@ def generate(
     """Add the output of a text model.
 
     ``make_predict`` runs once per task and returns the model function, which maps a list of inputs to a
-    list of outputs; this is where a caller loads weights.
+    list of outputs; this is where a caller loads weights.  All columns pass through Python, so select the
+    needed ones first.
     """
 
-    @F.pandas_udf(StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make_predict()
-        for texts in batches:
-            out: list[str] = []
+        for rows in batches:
+            texts, out = rows[column], []
             for i in range(0, len(texts), batch):
                 out.extend(predict(texts.iloc[i : i + batch].tolist()))
-            yield pd.Series(out, dtype=object)
+            yield rows.assign(**{output: pd.Series(out, dtype=object, index=rows.index)})
 
-    return frame.withColumn(output, run(column))
+    schema = StructType([*frame.schema.fields, StructField(output, StringType())])
+    return frame.mapInPandas(run, schema)
 
 
 def template_model() -> Predict:

@@ -19,10 +19,13 @@ from gridweft.operators.cells import parse_tables
 def pair_tables(true: DataFrame, pred: DataFrame, how: str = "left") -> DataFrame:
     """Truth and prediction side by side on ``file``; a missing prediction is an empty document.
 
-    ``how='left'`` starts from the truth, ``how='inner'`` keeps files present on both sides.
+    ``how='left'`` starts from the truth, ``how='inner'`` keeps files present on both sides.  Scoring costs
+    far more time per byte than the join, so the join keeps all shuffle partitions; adaptive
+    execution would merge them by size.
     """
-    t = true.select("file", F.col("html").alias("true_html"))
-    p = pred.select("file", F.col("html").alias("pred_html"))
+    n = int(true.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = true.select("file", F.col("html").alias("true_html")).repartition(n, "file")
+    p = pred.select("file", F.col("html").alias("pred_html")).repartition(n, "file")
     return t.join(p, "file", how).withColumn("pred_html", F.coalesce("pred_html", F.lit("")))
 
 

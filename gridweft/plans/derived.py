@@ -70,7 +70,9 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         _row(F.when(F.col("l_linestatus") == "O", F.lit("X")).otherwise(F.col("l_returnflag")), plain).alias("v1"),
         _row(F.col("l_returnflag"), F.when(F.col("l_returnflag") == "R", F.lit(' colspan="2"')).otherwise("")).alias("v3"),
     )
-    docs = rows.groupBy("order_id", "page").agg(
+    # a fixed number of partitions: the documents are small but costly to parse later on
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = rows.repartition(n, "order_id", "page").groupBy("order_id", "page").agg(
         F.sort_array(F.collect_list(F.struct("n", "v0", "v1", "v3"))).alias("r")
     )
 
@@ -142,3 +144,130 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(same, gold).otherwise(cand).alias("prediction"),
         gold.alias("reference"),
     )
+
+
+def customer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small document per customer; the nation is the table id, the customer the variation."""
+    c = table(spark, sf_dir, "customer")
+    html = M.wrap_document(
+        F.concat(
+            F.lit("<thead><tr><th>name</th><th>segment</th><th>balance</th></tr></thead><tbody><tr><td>"),
+            F.col("c_name"), F.lit("</td><td>"), F.lower("c_mktsegment"), F.lit("</td><td>"),
+            F.when(F.col("c_acctbal") < 0, "--").otherwise(F.floor("c_acctbal").cast("string")),
+            F.lit("</td></tr></tbody>"),
+        )
+    )
+    return c.select(
+        F.format_string("C_Table%d_Variation%d.htm", "c_nationkey", "c_custkey").alias("file"),
+        F.col("c_nationkey").alias("table_id"),
+        F.col("c_custkey").alias("variation"),
+        html.alias("html"),
+    )
+
+
+def _box(line: DataFrame, shift: Column) -> Column:
+    x, y = F.col("l_partkey") % 500 + shift, F.col("l_suppkey") % 500 + shift
+    w, h = F.col("qty") + 10, F.col("l_linenumber") * 4 + 8
+    return F.array(x, y, x + w, y + h).cast("array<double>")
+
+
+def true_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image, gt_no, box, iscrowd, text``: a box per order line on the image of its supplier."""
+    li = lines(spark, sf_dir)
+    return li.select(
+        F.col("l_suppkey").alias("image"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("gt_no"),
+        _box(li, F.lit(0)).alias("box"),
+        F.when(F.col("l_linenumber") == 3, 1).otherwise(0).alias("iscrowd"),
+        F.when(F.col("l_linenumber") == 3, "###").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("text"),
+    )
+
+
+def detected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image, det_no, box, score``: the true boxes moved a little, without undiscounted open returns."""
+    li = lines(spark, sf_dir).filter(
+        ~((F.col("cents") == 0) & (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"))
+    )
+    return li.select(
+        F.col("l_suppkey").alias("image"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("det_no"),
+        _box(li, F.col("l_linenumber") % 4).alias("box"),
+        ((F.col("cents") * 9 + 5) / 100).alias("score"),
+    )
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, anno_no, coords, text``: a quad per order line on the image of its order."""
+    li = lines(spark, sf_dir)
+    x, y = F.col("l_partkey") % 500, F.col("l_suppkey") % 500
+    w, h = F.col("qty") + 10, F.col("l_linenumber") * 4 + 8
+    return li.select(
+        F.col("l_orderkey").alias("image_id"),
+        F.col("l_linenumber").alias("anno_no"),
+        F.array(x, y, x + w, y, x + w, y + h, x, y + h).cast("array<int>").alias("coords"),
+        F.when(F.col("l_linenumber") == 3, "###").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("text"),
+    )
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, split, file_name, height, width, segm_file``: an image per order."""
+    o = table(spark, sf_dir, "orders")
+    split = F.when(F.col("o_orderstatus") == "F", "training").when(F.col("o_orderstatus") == "O", "test").otherwise("validation")
+    number = F.col("o_orderkey").cast("string")
+    return o.select(
+        F.col("o_orderkey").alias("image_id"),
+        split.alias("split"),
+        F.concat(split, F.lit("/img_"), number, F.lit(".jpg")).alias("file_name"),
+        F.lit(600).alias("height"),
+        F.lit(800).alias("width"),
+        F.concat(split, F.lit("/gt_img_"), number, F.lit(".txt")).alias("segm_file"),
+    )
+
+
+def ocr_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image, pred, gt``: part names, misread for sizes over 40 and in capitals for the type SMALL."""
+    p = table(spark, sf_dir, "part")
+    pred = F.when(F.col("p_size") > 40, F.replace("p_name", F.lit("e"), F.lit("c"))).otherwise(F.col("p_name"))
+    pred = F.when(F.col("p_type") == "SMALL", F.upper(pred)).otherwise(pred)
+    return p.select(
+        F.concat(F.lit("word_"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("image"),
+        pred.alias("pred"),
+        F.col("p_name").alias("gt"),
+    )
+
+
+def event_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``gt, pred``: event types; small values are taken for views, users under ten for clicks."""
+    e = table(spark, sf_dir, "events")
+    pred = F.when(F.col("value") < 3, "view").when(F.col("user_id") < 10, "click").otherwise(F.col("event_type"))
+    return e.select(F.col("event_type").alias("gt"), pred.alias("pred"))
+
+
+def bio_tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """True and predicted tags ``doc, pos, tag`` of part sentences.
+
+    Sentence: ``the <adjective> <noun> by <brand> of type <type>``.  The two name words are a ``name``, the brand
+    a ``company``, the type a ``position``.  The prediction cuts names of large parts and misses cheap brands.
+    """
+    p = table(spark, sf_dir, "part")
+    true = ["O", "B-name", "I-name", "O", "B-company", "O", "O", "B-position"]
+    pred = [
+        F.lit("O"), F.lit("B-name"),
+        F.when(F.col("p_size") > 40, "O").otherwise("I-name"),
+        F.when(F.col("p_size") < 5, "I-name").otherwise("O"),
+        F.when(F.col("p_type") == "PROMO", "B-position").otherwise("B-company"),
+        F.lit("O"), F.when(F.col("p_size") == 20, "I-scene").otherwise("O"), F.lit("B-position"),
+    ]
+
+    def frame(tags: Column) -> DataFrame:
+        return p.select(F.col("p_partkey").alias("doc"), F.posexplode(tags).alias("pos", "tag"))
+
+    return frame(F.array(*[F.lit(t) for t in true])), frame(F.array(*pred))
+
+
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, turn, prediction, reference``: each assistant turn against the turn before it."""
+    c = table(spark, sf_dir, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    now = c.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("prediction"))
+    return now.join(before, ["conv_id", "turn"])

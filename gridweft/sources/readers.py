@@ -18,7 +18,7 @@ def read_html_tables(spark: SparkSession, path: str, glob: str = "*.htm") -> Dat
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, value`` with line numbers from 0, for files of any size.
+    """``line_no, value`` with line numbers from 0; part files of a folder follow each other by name.
 
     Files stay splittable.  Rows of one block follow each other in one task, so the number of a line is its
     position in the block plus the number of lines in the blocks before it; only the list of blocks
@@ -26,16 +26,16 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.text(path).select(
         "value",
-        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    blocks = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     # one row per file block; adaptive execution broadcasts it after measuring its size
-    out = rows.join(blocks, ["file", "_block"])
-    return out.select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
+    out = rows.join(blocks, ["_file", "_block"])
+    return out.select((F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
@@ -51,10 +51,13 @@ def read_id_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_linearized(spark: SparkSession, path: str) -> DataFrame:
-    """``table_id, input`` from ``<table_id>.src`` files of quoted lines."""
-    rows = spark.read.schema("input string").option("quote", "'").option("sep", "\u0001").csv(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)\.src", 1)
-    return rows.select(name.try_cast("int").alias("table_id"), "input")
+    """``table_id, input`` from quoted lines in ``<table_id>.src`` files or ``table_id=<id>`` folders."""
+    rows = spark.read.schema("input string").option("quote", "'").option("sep", "\u0001").option(
+        "recursiveFileLookup", "true"
+    ).csv(path)
+    name = F.col("_metadata.file_path")
+    number = F.regexp_extract(name, r"/(?:table_id=)?([0-9]+)(?:\.src\z|/[^/]*\z)", 1)
+    return rows.select(number.try_cast("int").alias("table_id"), "input")
 
 
 def read_coco(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
