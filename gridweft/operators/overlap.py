@@ -1,11 +1,15 @@
 """Box overlap joins on a grid.
 
-Comparing all boxes of an image with each other is quadratic.  Here a box is entered into the
-grid cells it touches, on a grid whose cell is at least as large as the box, so it touches at most four.
-Two boxes meet on the grid of the larger one.  A pair that touches several common cells is taken
-only in the cell that holds the top left corner of the common area, so no pair appears twice and
-no distinct step is needed.  The join key is image, grid level and cell, so a large image is spread
-over many keys.
+Comparing all boxes of an image with each other is quadratic.  Here a box is entered into grid cells on
+a grid whose cell is about as large as the box, and two boxes meet on the grid of the larger one.  The join key
+is image, grid level and cell, so a large image is spread over many keys.
+
+For overlaps of any size a box is entered into the cells it touches, at most four, and a pair is taken only in
+the cell that holds the top left corner of the common area.  For a least overlap the centres are
+compared instead.  Either way no pair appears twice and no distinct step is needed.
+
+Coordinates travel as plain doubles: array accesses would blow up the generated code of the join beyond what
+the JVM compiles.
 """
 
 from __future__ import annotations
@@ -15,68 +19,120 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweft.functions import geometry as G
-
 _SMALLEST = 1e-3
+_EDGES = ("x1", "y1", "x2", "y2")
+
+
+def _flat(df: DataFrame, side: str) -> DataFrame:
+    """The box as four columns and its area, named after the side."""
+    for i, e in enumerate(_EDGES):
+        df = df.withColumn(f"_{side}{e}", F.get("box", i))
+    area = (F.col(f"_{side}x2") - F.col(f"_{side}x1")) * (F.col(f"_{side}y2") - F.col(f"_{side}y1"))
+    return df.withColumn(f"_{side}a", area).drop("box")
+
 
+def _extent(side: str, axis: str) -> Column:
+    return F.greatest(F.col(f"_{side}{axis}2") - F.col(f"_{side}{axis}1"), F.lit(_SMALLEST))
 
-def _level(box: Column) -> Column:
-    extent = F.greatest(F.get(box, 2) - F.get(box, 0), F.get(box, 3) - F.get(box, 1), F.lit(_SMALLEST))
+
+def _level(extent: Column) -> Column:
     # the small shift keeps exact powers of two on their level in spite of rounding
     return F.ceil(F.log2(extent) - 1e-9).cast("int")
 
 
-def _on_grid(df: DataFrame, levels: Column) -> DataFrame:
-    """One row per grid cell that the box touches on each of the given levels."""
-    df = df.withColumn("_own", _level(F.col("box"))).withColumn("_level", F.explode(levels))
-    side = F.pow(F.lit(2.0), F.col("_level"))
+def _with_iou(met: DataFrame) -> DataFrame:
+    def common(axis: str) -> Column:
+        end = F.least(f"_l{axis}2", f"_r{axis}2")
+        return F.greatest(end - F.greatest(f"_l{axis}1", f"_r{axis}1"), F.lit(0.0))
 
-    def span(lo: int, hi: int) -> Column:
-        first = F.floor(F.get("box", lo) / side).cast("bigint")
-        return F.sequence(first, F.greatest(first, F.floor(F.get("box", hi) / side).cast("bigint")))
+    both = common("x") * common("y")
+    union = F.col("_la") + F.col("_ra") - both
+    return met.withColumn("iou", F.when(union > 0, both / union).otherwise(F.lit(0.0)))
 
-    return df.withColumn("_gx", F.explode(span(0, 2))).withColumn("_gy", F.explode(span(1, 3)))
 
+def _boxes_back(df: DataFrame) -> DataFrame:
+    for side in ("l", "r"):
+        names = [f"_{side}{e}" for e in _EDGES]
+        df = df.withColumn(f"{side}_box", F.array(*names)).drop(*names, f"_{side}a")
+    return df
 
-def overlap_pairs(
-    left: DataFrame, right: DataFrame, image: str = "image", min_iou: float | None = None, all_pairs: bool = False
-) -> DataFrame:
-    """Pairs of boxes of one image that overlap.
+
+def overlap_pairs(left: DataFrame, right: DataFrame, image: str = "image", min_iou: float | None = None) -> DataFrame:
+    """Pairs of boxes of one image that overlap: the columns of both sides, ``iou``, ``l_box`` and ``r_box``.
 
     Both sides need the columns ``image`` and ``box`` (doubles); all other column names must differ.  With
-    ``min_iou`` only pairs of at least that value are returned, and since the sizes of such boxes
-    differ at most by the same factor, few grid levels are needed.  Without it every level
-    of the image is used.  The result has the columns of both sides and ``iou``.
+    ``min_iou`` only pairs of at least that value are returned.
     """
-    own = _level(F.col("box"))
+    left, right = _flat(left, "l"), _flat(right, "r")
     if min_iou is not None:
-        reach = max(1, math.ceil(math.log2(1.0 / min_iou)))
-        grid = F.sequence(F.col("_own"), F.col("_own") + reach)
-        l_in, r_in = left, right
+        met = _with_iou(_similar_pairs(left, right, image, min_iou)).filter(F.col("iou") >= min_iou)
     else:
-        tops = (
-            left.select(image, own.alias("l"))
-            .unionByName(right.select(image, own.alias("l")))
-            .groupBy(image)
-            .agg(F.max("l").alias("_top"))
-        )
-        grid = F.sequence(F.col("_own"), F.col("_top"))
-        l_in, r_in = left.join(tops, image), right.join(tops, image)
-
-    lg = _on_grid(l_in, grid).withColumnsRenamed({"box": "l_box", "_own": "_l_own"})
-    rg = _on_grid(r_in, grid).withColumnsRenamed({"box": "r_box", "_own": "_r_own"})
-    if min_iou is None:
-        lg, rg = lg.drop("_top"), rg.drop("_top")
-    met = lg.join(rg, [image, "_level", "_gx", "_gy"])
-    side = F.pow(F.lit(2.0), F.col("_level"))
-    corner_x = F.floor(F.greatest(F.get("l_box", 0), F.get("r_box", 0)) / side)
-    corner_y = F.floor(F.greatest(F.get("l_box", 1), F.get("r_box", 1)) / side)
+        met = _with_iou(_touching_pairs(left, right, image)).filter(F.col("iou") > 0)
+    return _boxes_back(met)
+
+
+def _touching_pairs(left: DataFrame, right: DataFrame, image: str) -> DataFrame:
+    def own(side: str) -> Column:
+        return _level(F.greatest(_extent(side, "x"), _extent(side, "y")))
+
+    tops = (
+        left.select(image, own("l").alias("l"))
+        .unionByName(right.select(image, own("r").alias("l")))
+        .groupBy(image)
+        .agg(F.max("l").alias("_top"))
+    )
+
+    def gridded(df: DataFrame, side: str) -> DataFrame:
+        df = df.join(tops, image).withColumn(f"_{side}own", own(side))
+        df = df.withColumn("_level", F.explode(F.sequence(F.col(f"_{side}own"), F.col("_top")))).drop("_top")
+        size = F.pow(F.lit(2.0), F.col("_level"))
+
+        def touched(axis: str) -> Column:
+            first = F.floor(F.col(f"_{side}{axis}1") / size).cast("bigint")
+            last = F.floor(F.col(f"_{side}{axis}2") / size).cast("bigint")
+            return F.sequence(first, F.greatest(first, last))
+
+        return df.withColumn("_gx", F.explode(touched("x"))).withColumn("_gy", F.explode(touched("y")))
+
+    met = gridded(left, "l").join(gridded(right, "r").hint("merge"), [image, "_level", "_gx", "_gy"])
+    size = F.pow(F.lit(2.0), F.col("_level"))
     met = met.filter(
-        (F.col("_level") == F.greatest("_l_own", "_r_own")) & (F.col("_gx") == corner_x) & (F.col("_gy") == corner_y)
+        (F.col("_level") == F.greatest("_lown", "_rown"))
+        & (F.col("_gx") == F.floor(F.greatest("_lx1", "_rx1") / size))
+        & (F.col("_gy") == F.floor(F.greatest("_ly1", "_ry1") / size))
     )
-    out = met.withColumn("iou", G.iou("l_box", "r_box"))
-    out = out.filter(F.col("iou") >= min_iou) if min_iou is not None else out.filter(F.col("iou") > 0)
-    return out.drop("_level", "_gx", "_gy", "_l_own", "_r_own")
+    return met.drop("_level", "_gx", "_gy", "_lown", "_rown")
+
+
+def _similar_pairs(left: DataFrame, right: DataFrame, image: str, min_iou: float) -> DataFrame:
+    """Candidates for at least ``min_iou``: boxes of similar size with centres close to each other.
+
+    If the overlap is at least ``t``, widths differ at most by the factor ``1 / t``, and centres are at most
+    ``(1 - t)`` times the larger width apart; the same holds for heights.  Each axis therefore has its own
+    level, and on the level of the larger extent the centres lie in the same or in neighbouring grid
+    columns.  The left box is entered under its centre, the right one also under the neighbours, so a
+    pair meets once.  The columns ``_ux, _uy`` keep two boxes from meeting on a level that belongs to neither.
+
+    Boxes are repeated on entering, which the optimizer does not foresee, so the join is asked not to
+    broadcast.
+    """
+    reach = max(1, math.ceil(math.log2(1.0 / min_iou)))
+    step = max(1.0 - min_iou, 0.05)
+
+    def axis(df: DataFrame, side: str, name: str) -> DataFrame:
+        entries = []
+        for up in range(reach + 1):
+            tags = ((0, 1) if up == 0 else (0,)) if side == "l" else ((0,) if up == 0 else (1,))
+            entries += [F.struct((F.col("_own") + up).alias("level"), F.lit(t).alias("tag")) for t in tags]
+        df = df.withColumn("_own", _level(_extent(side, name))).withColumn("_e", F.explode(F.array(*entries)))
+        df = df.withColumn(f"_k{name}", F.col("_e.level")).withColumn(f"_u{name}", F.col("_e.tag")).drop("_e", "_own")
+        centre = (F.col(f"_{side}{name}1") + F.col(f"_{side}{name}2")) / 2
+        cell = F.floor(centre / (F.pow(F.lit(2.0), F.col(f"_k{name}")) * step)).cast("bigint")
+        return df.withColumn(f"_g{name}", F.explode(F.sequence(cell - 1, cell + 1)) if side == "r" else cell)
+
+    on = [image, "_kx", "_ky", "_ux", "_uy", "_gx", "_gy"]
+    entered = [axis(axis(df, side, "x"), side, "y") for df, side in ((left, "l"), (right, "r"))]
+    return entered[0].join(entered[1].hint("merge"), on).drop(*on[1:])
 
 
 def representatives(

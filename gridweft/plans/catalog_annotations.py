@@ -74,12 +74,12 @@ def w3(spark, sf):
 
 
 @query("P12_word_outline", f"""WITH {_WORDS},
-at AS (SELECT *, CASE WHEN word_no = max(word_no) OVER (PARTITION BY image_id) THEN 0 ELSE s END AS o,
+placed AS (SELECT *, CASE WHEN word_no = max(word_no) OVER (PARTITION BY image_id) THEN 0 ELSE s END AS o,
               p_size + CASE WHEN word_no = max(word_no) OVER (PARTITION BY image_id) THEN 20 ELSE 0 END AS y FROM words)
 SELECT image_id, CAST(word_no AS INTEGER) AS word_no,
   array_to_string(list_transform(range(CAST(len(word) AS BIGINT)), lambda i: concat_ws(',', (o + i) * 10, y, (o + i) * 10 + 9, y)), ',') || ',' ||
   array_to_string(list_reverse(list_transform(range(CAST(len(word) AS BIGINT)), lambda i: concat_ws(',', (o + i) * 10 + 9, y + 12, (o + i) * 10, y + 12))), ',') AS outline
-FROM at""")
+FROM placed""")
 def p12(spark, sf):
     words = A.words_with_boxes(part_chars(spark, sf))
     return words.select("image_id", "word_no", F.array_join(F.col("outline").cast("array<string>"), ",").alias("outline"))
@@ -287,8 +287,7 @@ def p21(spark, sf):
 
 
 @query("P22_outside_alphabet", f"""WITH {LINES}
-SELECT token, n FROM (SELECT '<b>' AS token, count(*) AS n FROM lines UNION ALL SELECT '</b>', count(*) FROM lines) WHERE n < 0
-UNION ALL SELECT '<table>', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber // 50 FROM lines)
+SELECT '<table>' AS token, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber // 50 FROM lines)
 UNION ALL SELECT '</table>', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber // 50 FROM lines)
 UNION ALL SELECT '<html>', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber // 50 FROM lines)
 UNION ALL SELECT '</html>', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber // 50 FROM lines)
