@@ -64,7 +64,7 @@ def align_cost(
                             )
                         ),
                     )
-                    return F.array_append(acc, value)
+                    return F.concat(acc, F.array(value))
 
                 return F.aggregate(F.sequence(F.lit(0), last), empty, next_value)
 

@@ -11,9 +11,13 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridweft.functions.bind import bind
+
 SECTION_TAGS = ("thead", "tbody", "tfoot", "caption", "colgroup")
 VOID_TAGS = ("area", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "wbr")
 
+MARK = "\u0001"
+
 _SECTIONS = "|".join(SECTION_TAGS)
 _VOID = "|".join(VOID_TAGS)
 _ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
@@ -28,7 +32,9 @@ def _col(value: Column | str) -> Column:
 
 
 def strip_comments(html: Column | str) -> Column:
-    return F.regexp_replace(_col(html), r"(?s)<!--.*?-->", "")
+    """The document without comments and without the control character that marks cuts."""
+    html = F.replace(_col(html), F.lit(MARK), F.lit(""))
+    return F.when(html.contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?-->", "")).otherwise(html)
 
 
 def wrap_document(rows_html: Column | str) -> Column:
@@ -41,13 +47,13 @@ def table_markup(clean: Column | str) -> Column:
     return F.regexp_extract(_col(clean), r"(?is)<table(?:\s[^>]*)?>(.*?)(?:</table\s*>|\z)", 1)
 
 
-def table_status(clean: Column | str) -> Column:
-    """``ok``, ``empty``, ``no_table`` or ``nested_table``.
+def table_status(clean: Column | str, markup: Column | str) -> Column:
+    """``ok``, ``empty``, ``no_table`` or ``nested_table`` of a document and its ``table_markup``.
 
     The table has to be a direct child of the body of a full document.  Before it, every element that
     was opened must have been closed again; a paragraph is closed by the table itself.
     """
-    clean = _col(clean)
+    clean, markup = _col(clean), _col(markup)
     lead = F.regexp_extract(clean, r"(?is)\A(.*?)<table[\s>]", 1)
     lead = F.regexp_replace(lead, r"(?is)\A.*<body(?:\s[^>]*)?>", "")
     lead = F.regexp_replace(lead, r"(?is)\A\s*<!doctype[^>]*>|<head[\s>].*?</head\s*>|<html(?:\s[^>]*)?>", "")
@@ -60,29 +66,32 @@ def table_status(clean: Column | str) -> Column:
         .when(~clean.rlike(r"(?i)\A\s*<(?:html|!doctype)"), "no_table")
         .when(~clean.rlike(r"(?i)<table[\s>]"), "no_table")
         .when(opened != closed, "no_table")
-        .when(table_markup(clean).rlike(r"(?i)<table[\s>]"), "nested_table")
+        .when(markup.rlike(r"(?i)<table[\s>]"), "nested_table")
         .otherwise("ok")
     )
 
 
 def node_count(markup: Column | str) -> Column:
     """All elements below the table, inline elements included."""
-    return F.regexp_count(_col(markup), F.lit(_OPEN_TAG))
+    return F.regexp_count(_col(markup), F.lit("<[A-Za-z]"))
 
 
 # ---------------------------------------------------------------- text
 
 
 def _decode_entity(token: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for kv in name2codepoint.items() for x in kv])
-    body = F.regexp_extract(token, r"\A&#?[xX]?([^;]*);\z", 1)
+    named = F.create_map(*[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))])
+    digits = F.regexp_extract(token, r"\A&#[xX]?([0-9a-fA-F]+);\z", 1)
     point = (
-        F.when(token.rlike(r"\A&#[0-9]{1,9};"), body.cast("int"))
-        .when(token.rlike(r"\A&#[xX][0-9a-fA-F]{1,7};"), F.conv(body, 16, 10).cast("int"))
-        .when(~token.startswith("&#"), F.try_element_at(named, body))
+        F.when(token.rlike(r"\A&#[0-9]{1,9};"), digits.cast("int"))
+        .when(token.rlike(r"\A&#[xX][0-9a-fA-F]{1,7};"), F.conv(digits, 16, 10).cast("int"))
+        .otherwise(F.lit(0))
+    )
+    char = bind(
+        point, lambda p: F.when(p.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32"))
     )
-    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    return F.coalesce(F.when(point.between(1, 0x10FFFF), char), token)
+    by_name = F.try_element_at(named, F.substring(token, F.lit(2), F.length(token) - 2))
+    return F.coalesce(F.when(token.startswith("&#"), char).otherwise(by_name), token)
 
 
 def decode_entities(text: Column | str) -> Column:
@@ -101,7 +110,8 @@ def normalize_inline(inner: Column | str) -> Column:
     lowered = F.array_join(F.transform(parts, lambda t: F.when(t.startswith("<"), F.lower(t)).otherwise(t)), "")
     closed = F.regexp_replace(lowered, rf"<({_VOID})>(?:</\1>)?", "<$1></$1>")
     closed = F.regexp_replace(closed, r"</unk>", "")
-    return F.when(inner.contains("<"), closed).otherwise(inner)
+    uncommon = rf"<(?!/?[a-z][a-z0-9]*>)|<(?:{_VOID})>|</unk>"
+    return F.when(~inner.contains("<"), inner).when(~inner.rlike(uncommon), inner).otherwise(closed)
 
 
 def cell_tokens(norm: Column | str) -> Column:
@@ -142,28 +152,35 @@ def _span(open_tag: Column, name: str) -> Column:
 
 def _cells(row_markup: Column) -> Column:
     # a cell ends where the next one starts, so end tags may be missing
-    chunks = F.regexp_extract_all(
-        row_markup, F.lit(r"(?is)<t[dh](?=[\s/>]).*?(?=<t[dh][\s/>]|\z)"), F.lit(0)
-    )
+    chunks = F.filter(_cut_before(row_markup, "t[dh]"), lambda c: c.rlike(r"(?i)\A<t[dh][\s/>]"))
     split_up = F.transform(
         chunks,
         lambda c: F.struct(
             F.regexp_extract(c, r"\A<[^>]*>", 0).alias("open"),
-            F.regexp_extract(
-                c, r"(?is)\A<[^>]*>(.*?)(?:</t[dhr]\s*>|</t(?:head|body|foot)\s*>|\z)", 1
-            ).alias("inner"),
+            F.regexp_replace(c, r"(?is)</t(?:[dhr]|head|body|foot)\s*>.*\z", "").alias("text"),
         ),
     )
     one = F.lit(1)
-    return F.transform(
-        split_up,
-        lambda c: F.struct(
+
+    def cell(c: Column) -> Column:
+        inner = F.substring(c["text"], F.length(c["open"]) + 1, F.length(c["text"]))
+        return F.struct(
             F.lower(F.substring(c["open"], 2, 2)).alias("tag"),
             F.when(F.length(c["open"]) > 4, _span(c["open"], "colspan")).otherwise(one).alias("colspan"),
             F.when(F.length(c["open"]) > 4, _span(c["open"], "rowspan")).otherwise(one).alias("rowspan"),
-            normalize_inline(c["inner"]).alias("norm"),
-        ),
-    )
+            bind(inner, normalize_inline).alias("norm"),
+        )
+
+    return F.transform(split_up, cell)
+
+
+def _cut_before(markup: Column, names: str) -> Column:
+    """Pieces that start at each opening tag of the given names; the first piece is what comes before.
+
+    The tags are marked with a control character first.  Splitting at a look-ahead would test it at every
+    character.
+    """
+    return F.split(F.regexp_replace(markup, rf"(?i)<(?=(?:{names})[\s/>])", MARK + "<"), MARK)
 
 
 def table_sections(markup: Column | str) -> Column:
@@ -171,30 +188,23 @@ def table_sections(markup: Column | str) -> Column:
 
     ``ARRAY<STRUCT<section, kids, rows: ARRAY<ARRAY<STRUCT<tag, colspan, rowspan, norm>>>>>``.  Rows
     outside any section get the section name ``''``; ``kids`` are the tag names of parts without rows
-    (caption, column groups).
+    (caption, column groups).  The markup must not contain the control character ``MARK``.
     """
-    cut = rf"(?i)(?=<(?:{_SECTIONS})[\s/>])|(?<=</(?:{_SECTIONS})>)"
-    chunks = F.filter(F.split(_col(markup), cut), lambda c: c.rlike(r"<[A-Za-z]"))
-    return F.transform(
-        chunks,
-        lambda c: F.struct(
+    closed = F.regexp_replace(_col(markup), rf"(?i)(</(?:{_SECTIONS})\s*>)", "$1" + MARK)
+    chunks = F.filter(_cut_before(closed, _SECTIONS), lambda c: c.rlike(r"<[A-Za-z]"))
+    no_kids = F.array().cast("array<string>")
+
+    def kids(c: Column) -> Column:
+        below = F.regexp_replace(c, rf"(?i)\A\s*<(?:{_SECTIONS})(?:\s[^>]*|/)?>", "")
+        names = F.regexp_extract_all(below, F.lit(r"<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))
+        return F.when(c.rlike(r"(?i)<tr[\s/>]"), no_kids).otherwise(F.transform(names, F.lower))
+
+    def section(c: Column) -> Column:
+        rows = F.filter(_cut_before(c, "tr"), lambda r: r.rlike(r"(?i)\A<tr[\s/>]"))
+        return F.struct(
             F.lower(F.regexp_extract(c, rf"(?i)\A\s*<({_SECTIONS})[\s/>]", 1)).alias("section"),
-            F.when(
-                ~c.rlike(r"(?i)<tr[\s/>]"),
-                F.transform(
-                    F.regexp_extract_all(
-                        F.regexp_replace(c, rf"(?i)\A\s*<(?:{_SECTIONS})(?:\s[^>]*|/)?>", ""),
-                        F.lit(r"<([A-Za-z][A-Za-z0-9]*)"),
-                        F.lit(1),
-                    ),
-                    lambda t: F.lower(t),
-                ),
-            )
-            .otherwise(F.array().cast("array<string>"))
-            .alias("kids"),
-            F.transform(
-                F.filter(F.split(c, r"(?i)(?=<tr[\s/>])"), lambda r: r.rlike(r"(?i)\A<tr[\s/>]")),
-                _cells,
-            ).alias("rows"),
-        ),
-    )
+            kids(c).alias("kids"),
+            F.transform(rows, _cells).alias("rows"),
+        )
+
+    return F.transform(chunks, section)

@@ -17,12 +17,13 @@ def parse_tables(tables: DataFrame, html: str = "html", ignore_tags: tuple[str,
     cleaned = M.unwrap_tags(M.strip_comments(html), ignore_tags)
     parsed = (
         tables.withColumn("_clean", cleaned)
-        .withColumn("status", M.table_status("_clean"))
-        .withColumn("_markup", F.when(F.col("status") == "ok", M.table_markup("_clean")))
+        .withColumn("_inner", M.table_markup("_clean"))
+        .withColumn("status", M.table_status("_clean", "_inner"))
+        .withColumn("_markup", F.when(F.col("status") == "ok", F.col("_inner")))
         .withColumn("n_nodes", M.node_count("_markup"))
         .withColumn("sections", M.table_sections("_markup"))
     )
-    return parsed.drop("_clean", "_markup")
+    return parsed.drop("_clean", "_inner", "_markup")
 
 
 def explode_cells(parsed: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:

@@ -38,9 +38,10 @@ def unmatched_predictions(true: DataFrame, pred: DataFrame) -> DataFrame:
 
 def _inline_tags(sections: Column) -> Column:
     """All inline tags of a table, opening and closing, plus tags of parts without rows."""
+    cells = F.flatten(F.flatten(F.transform(sections, lambda s: s["rows"])))
     in_cells = F.flatten(
         F.transform(
-            F.flatten(F.flatten(F.transform(sections, lambda s: s["rows"]))),
+            F.filter(cells, lambda c: c["norm"].contains("<")),
             lambda c: F.regexp_extract_all(c["norm"], F.lit(r"</?[a-z][a-z0-9]*>"), F.lit(0)),
         )
     )
@@ -166,12 +167,17 @@ def score_tables(
     """
     t = parse_tables(pairs, "true_html", ignore_tags)
     t = t.withColumnsRenamed({"status": "t_status", "n_nodes": "n_true", "sections": "t_sections"})
-    both = parse_tables(t, "pred_html", ignore_tags)
-    both = both.withColumnsRenamed({"status": "p_status", "n_nodes": "n_pred", "sections": "p_sections"})
+    # a prediction equal to the truth is not parsed again
+    t = t.withColumn("_same", F.col("true_html") == F.col("pred_html"))
+    t = t.withColumn("_other", F.when(F.col("_same"), F.lit("")).otherwise(F.col("pred_html")))
+    both = parse_tables(t, "_other", ignore_tags)
+    both = both.withColumnsRenamed({"status": "_status", "n_nodes": "_nodes", "sections": "p_sections"})
+    both = both.withColumn("p_status", F.when(F.col("_same"), F.col("t_status")).otherwise(F.col("_status")))
+    both = both.withColumn("n_pred", F.when(F.col("_same"), F.col("n_true")).otherwise(F.col("_nodes")))
     usable = (F.col("t_status") == "ok") & (F.col("p_status") == "ok")
     distance = bind(
         F.struct(F.col("t_sections").alias("t"), F.col("p_sections").alias("p")),
-        lambda s: F.when(s["t"] == s["p"], F.lit(0.0)).otherwise(
+        lambda s: F.when(F.col("_same") | (s["t"] == s["p"]), F.lit(0.0)).otherwise(
             table_distance(s["t"], s["p"], cell_tags, structure_only)
         ),
     )
@@ -180,7 +186,7 @@ def score_tables(
     score = F.when(~usable, F.lit(0.0)).when(nodes > 0, F.lit(1.0) - F.col("distance") / nodes)
     flag = F.when(~usable, F.concat_ws("/", "t_status", "p_status")).when(nodes == 0, "no_nodes").otherwise("ok")
     return out.withColumn("score", score).withColumn("flag", flag).drop(
-        "t_sections", "p_sections", "t_status", "p_status"
+        "t_sections", "p_sections", "t_status", "p_status", "_same", "_other", "_status", "_nodes"
     )
 
 

@@ -126,10 +126,21 @@ def a9(spark, sf):
     return scored.select("pair_id", F.round("rougeL", 6).alias("rougeL"), F.round("rougeLsum", 6).alias("rougeLsum"))
 
 
-@query("A9_rouge_l_turns")
+@query("A9_rouge_l_turns", f"""WITH pairs AS (
+  SELECT a.conv_id, a.turn, a.text AS prediction, b.text AS reference
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'),
+words AS (SELECT conv_id, turn, {_rouge_words('prediction')} AS p, {_rouge_words('reference')} AS r FROM pairs)
+SELECT conv_id, turn, CASE WHEN least(len(p), len(r)) = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * {_LCS} / (len(p) + len(r)), 6) END AS "rougeL"
+FROM words""")
 def a9_turns(spark, sf):
-    scored = X.rouge(D.turn_pairs(spark, sf), use_stemmer=False, fields=("rougeL", "rougeLsum"))
-    return scored.select("conv_id", "turn", "rougeL", "rougeLsum")
+    scored = X.rouge(D.turn_pairs(spark, sf), use_stemmer=False, fields=("rougeL",))
+    return scored.select("conv_id", "turn", F.round("rougeL", 6).alias("rougeL"))
+
+
+@query("A9_rouge_lsum_turns")
+def a9_sum_turns(spark, sf):
+    scored = X.rouge(D.turn_pairs(spark, sf), use_stemmer=False, fields=("rougeLsum",))
+    return scored.select("conv_id", "turn", "rougeLsum")
 
 
 @query("A10_merge_metrics", f"""{_BLEU}
