@@ -123,7 +123,7 @@ def test_lines_to_cells(spark):
 
 
 def test_polygon_functions(spark):
-    df = spark.createDataFrame([([0, 0, 4, 0, 4, 3], [[0.0, 0, 2, 0, 2, 5, 0, 5], [3.0, 0, 5, 0, 5, 5, 3, 5]])], "c array<int>, q array<array<double>>")
+    df = spark.createDataFrame([([0, 0, 4, 0, 4, 3], [[0.0, 0.0, 2.0, 0.0, 2.0, 5.0, 0.0, 5.0], [3.0, 0.0, 5.0, 0.0, 5.0, 5.0, 3.0, 5.0]])], "c array<int>, q array<array<double>>")
     row = df.select(G.polygon_area("c").alias("a"), G.bounds_xywh("c").alias("b"), G.word_outline("q").alias("o"),
                     G.box_to_quad(F.array(*[F.lit(i) for i in range(4)])).alias("quad"),
                     G.clamp_box(F.array(*[F.lit(v) for v in (1, 0, 9, 9)]), F.lit(10), F.lit(10), (1, 1, 3, 3)).alias("clamp")).first()

@@ -108,7 +108,7 @@ BASE = doc(HEAD + "<tbody><tr><td>ab</td><td>cd</td></tr><tr><td>ef</td><td>gh</
 
 @pytest.mark.parametrize("change, distance", [
     (lambda h: h, 0.0),
-    (lambda h: h.replace("ab", "ax"), 0.5),
+    (lambda h: h.replace(">ab<", ">ax<"), 0.5),
     (lambda h: h.replace("<tr><td>ef</td><td>gh</td></tr>", ""), 3.0),
     (lambda h: h.replace("<td>cd</td>", "<td>cd</td><td>new</td>"), 1.0),
     (lambda h: h.replace("<td>ab</td>", '<td colspan="2">ab</td>'), 1.0),
@@ -126,7 +126,7 @@ def test_distances(spark, change, distance):
 def test_header_cells_as_cells(spark):
     changed = BASE.replace("<th>a</th>", "<th>z</th>")
     assert score(spark, BASE, changed, cell_tags=("td", "th"))["distance"] == pytest.approx(1.0)
-    assert score(spark, BASE, BASE.replace("ab", "zz"), structure_only=True)["score"] == 1.0
+    assert score(spark, BASE, BASE.replace(">ab<", ">zz<"), structure_only=True)["score"] == 1.0
 
 
 @pytest.mark.parametrize("true, pred, flag", [
