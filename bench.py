@@ -44,8 +44,10 @@ def main() -> None:
     docs = D.html_tables(spark, sf)
     true = materialize(docs.select("file", F.col("true_html").alias("html")), "bench-true")
     pred = materialize(D.html_pred(spark, sf), "bench-pred")
-    pairs = materialize(D.sentences(spark, sf), "bench-pairs")
-    turns = materialize(D.turn_pairs(spark, sf), "bench-turns")
+    # small tables come as one file; spread them, as files of a large table would be
+    files = 4 * int(cpus)
+    pairs = materialize(D.sentences(spark, sf).repartition(files), "bench-pairs")
+    turns = materialize(D.turn_pairs(spark, sf).repartition(files), "bench-turns")
     det = materialize(D.detected_boxes(spark, sf), "bench-det")
     gt = materialize(D.true_boxes(spark, sf), "bench-gt")
     texts, cells = (materialize(f, "bench-layout") for f in cell_layout(spark, sf))

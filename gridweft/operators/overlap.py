@@ -107,17 +107,17 @@ def _touching_pairs(left: DataFrame, right: DataFrame, image: str) -> DataFrame:
 def _similar_pairs(left: DataFrame, right: DataFrame, image: str, min_iou: float) -> DataFrame:
     """Candidates for at least ``min_iou``: boxes of similar size with centres close to each other.
 
-    If the overlap is at least ``t``, widths differ at most by the factor ``1 / t``, and centres are at most
-    ``(1 - t)`` times the larger width apart; the same holds for heights.  Each axis therefore has its own
-    level, and on the level of the larger extent the centres lie in the same or in neighbouring grid
-    columns.  The left box is entered under its centre, the right one also under the neighbours, so a
+    If the overlap is at least ``t``, widths differ at most by the factor ``1 / t``; the same holds for heights.
+    Each axis therefore has its own level, and boxes meet on the level of the larger extent.  Of two extents
+    ``w <= W`` at least ``t W`` is common, so the centres are at most ``(w + W) / 2 - t W`` apart.  The left box
+    is entered under its centre, the right one under all grid columns within that distance, so a
     pair meets once.  The columns ``_ux, _uy`` keep two boxes from meeting on a level that belongs to neither.
 
     Boxes are repeated on entering, which the optimizer does not foresee, so the join is asked not to
     broadcast.
     """
     reach = max(1, math.ceil(math.log2(1.0 / min_iou)))
-    step = max(1.0 - min_iou, 0.05)
+    step = 0.75
 
     def axis(df: DataFrame, side: str, name: str) -> DataFrame:
         entries = []
@@ -126,9 +126,19 @@ def _similar_pairs(left: DataFrame, right: DataFrame, image: str, min_iou: float
             entries += [F.struct((F.col("_own") + up).alias("level"), F.lit(t).alias("tag")) for t in tags]
         df = df.withColumn("_own", _level(_extent(side, name))).withColumn("_e", F.explode(F.array(*entries)))
         df = df.withColumn(f"_k{name}", F.col("_e.level")).withColumn(f"_u{name}", F.col("_e.tag")).drop("_e", "_own")
+        size = F.pow(F.lit(2.0), F.col(f"_k{name}"))
         centre = (F.col(f"_{side}{name}1") + F.col(f"_{side}{name}2")) / 2
-        cell = F.floor(centre / (F.pow(F.lit(2.0), F.col(f"_k{name}")) * step)).cast("bigint")
-        return df.withColumn(f"_g{name}", F.explode(F.sequence(cell - 1, cell + 1)) if side == "r" else cell)
+
+        def column(at: Column) -> Column:
+            return F.floor(at / (size * step)).cast("bigint")
+
+        if side == "l":
+            return df.withColumn(f"_g{name}", column(centre))
+        extent = _extent(side, name)
+        widest = F.least(size, extent / min_iou) if min_iou < 0.5 else extent
+        # the last term covers rounding
+        reach_out = extent / 2 + widest * (0.5 - min_iou) + size * 1e-9
+        return df.withColumn(f"_g{name}", F.explode(F.sequence(column(centre - reach_out), column(centre + reach_out))))
 
     on = [image, "_kx", "_ky", "_ux", "_uy", "_gx", "_gy"]
     entered = [axis(axis(df, side, "x"), side, "y") for df, side in ((left, "l"), (right, "r"))]
