@@ -42,9 +42,9 @@ def match_boxes(detections: DataFrame, truth: DataFrame, min_iou: float = 0.5) -
     """One-to-one matches ``image, det_no, gt_no, iou``: each is the other's best partner.
 
     Ties go to the lower number of a true box, and to the higher score and then the lower number of a
-    detection.
+    detection.  The pairs are read twice, so they are written to the checkpoint folder first.
     """
-    return _mutual(candidate_pairs(detections, truth, min_iou))
+    return _mutual(materialize(candidate_pairs(detections, truth, min_iou), "pairs"))
 
 
 def best_per_truth(detections: DataFrame, truth: DataFrame, min_iou: float = 0.5) -> DataFrame:
@@ -77,7 +77,9 @@ def detection_scores(detections: DataFrame, truth: DataFrame, min_iou: float = 0
         copies="copies",
     )
     gt = representatives(truth.select("image", "box", "gt_no", "iscrowd"), "gt_no", order=F.struct("iscrowd", "gt_no"))
-    pairs = overlap_pairs(det, gt, min_iou=min_iou)
+    pairs = overlap_pairs(det, gt, min_iou=min_iou).drop("l_box", "r_box")
+    # read four times below; writing the result costs less than repeating the join
+    pairs = materialize(pairs, "pairs")
     best = pairs.groupBy("image", "det_no").agg(
         F.max(F.struct("iou", (-F.col("iscrowd")).alias("counted"), "copies")).alias("b")
     )
@@ -106,7 +108,7 @@ def threshold_sweep(
     def passing(df: DataFrame) -> DataFrame:
         return df.withColumn("threshold", F.explode(F.filter(grid, lambda t: t < F.col("score"))))
 
-    pairs = passing(candidate_pairs(detections, truth, min_iou))
+    pairs = passing(materialize(candidate_pairs(detections, truth, min_iou), "pairs"))
     hits = _mutual(pairs, ("threshold",)).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_match"))
     n_det = passing(detections.select("score")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_det"))
     n_gt = truth.agg(F.count(F.lit(1)).alias("n_gt")).withColumn("threshold", F.explode(grid))
