@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import byte_bpe, compression_rules, pii, simhash, token_counts
+from gridweft.llm import byte_bpe, compression_rules, line_dedup, pii, simhash, token_counts
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,38 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(text_of(found), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents),
+filled AS (
+  SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS p
+  FROM lines WHERE NOT regexp_full_match(line, '[ \t\x0b\f\r]*')),
+windows AS (
+  SELECT doc_id, p, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS body
+  FROM filled WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+numbered AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY body ORDER BY doc_id, p) AS n FROM windows WHERE body IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, p + step AS p FROM numbered, (VALUES (0), (1), (2)) AS s(step) WHERE n > 1),
+runs AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE NOT EXISTS (
+    SELECT 1 FROM gone AS b WHERE b.doc_id = gone.doc_id AND b.p = gone.p - 1)) AS n_runs FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT lines.doc_id, count(p) AS n_lines,
+         string_agg(line, chr(10) ORDER BY lines.line_no) FILTER (WHERE p IS NULL OR p NOT IN (
+           SELECT gone.p FROM gone WHERE gone.doc_id = lines.doc_id)) AS text
+  FROM lines LEFT JOIN filled USING (doc_id, line_no, line) GROUP BY lines.doc_id)
+SELECT doc_id, n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM kept LEFT JOIN runs USING (doc_id)
+"""
+
+
 def op6_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", compression_rules.quality_rules(text_of(docs)).alias("r")).select("doc_id", "r.*")
@@ -75,8 +107,11 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op6_compression_rules": op6_compression_rules,
     "op7_simhash": op7_simhash,
     "op8_personal_data": op8_personal_data,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
