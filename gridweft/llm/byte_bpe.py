@@ -147,7 +147,7 @@ def decode_bytes(ids: Column, path: str, pattern: str) -> Column:
     """Bytes that the ids stand for."""
 
     @F.arrow_udf("binary")
-    def raw(lists: pa.ListArray) -> pa.Array:
+    def raw(lists: pa.Array) -> pa.Array:
         tokens = bpe(path, pattern)
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
         rows = zip(offsets[:-1], offsets[1:], lists.is_valid().to_numpy(zero_copy_only=False))
@@ -160,7 +160,7 @@ def decode_text(ids: Column, path: str, pattern: str) -> Column:
     """Text of the ids.  A character that is cut off at either end, or broken inside, becomes U+FFFD."""
 
     @F.arrow_udf("string")
-    def text(lists: pa.ListArray) -> pa.Array:
+    def text(lists: pa.Array) -> pa.Array:
         tokens = bpe(path, pattern)
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
         rows = zip(offsets[:-1], offsets[1:], lists.is_valid().to_numpy(zero_copy_only=False))

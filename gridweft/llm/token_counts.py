@@ -52,12 +52,13 @@ class PrefixCounter:
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         chars = byte_characters()
         self.spell = {b: c for b, c in enumerate(chars)}
-        plain, ends = set(), set()
-        for token in model["model"]["vocab"]:
-            (ends if token.endswith(END) else plain).add(token.removesuffix(END))
-        self.longest = max(map(len, plain | ends))
-        self.plain = frozenset(t for t in plain if self._symbols(t, False) == [t])
-        self.ends = frozenset(t for t in ends if self._symbols(t, True) == [t + END])
+        # the merge that makes each token, and its rank; single symbols have none
+        self.parts = {a + b: (a, b) for a, b in self.rank}
+        self.made = {a + b: n for (a, b), n in self.rank.items()}
+        right = [t for t in model["model"]["vocab"] if self._encodes_itself(t)]
+        self.ends = frozenset(t.removesuffix(END) for t in right if t.endswith(END))
+        self.plain = frozenset(t for t in right if not t.endswith(END))
+        self.longest = max(map(len, self.plain | self.ends))
         split = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split + r"|\s+").findall
         self.blank = regex.compile(r"\s+").fullmatch
@@ -85,13 +86,35 @@ class PrefixCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _never_joined(self, left: str, right: str, limit: int) -> bool:
+        """Whether no merge of a rank below ``limit`` crosses from ``left`` to ``right``.
+
+        The merges that made the two are undone one by one, latest first; what crosses must not come before the one undone last.
+        """
+        rank, made, parts = self.rank, self.made, self.parts
+        while True:
+            crossing = rank.get((left, right))
+            if crossing is not None and crossing < limit:
+                return False
+            of_left, of_right = made.get(left, -1), made.get(right, -1)
+            if of_left > of_right:
+                limit, left = of_left, parts[left][1]
+            elif of_right >= 0:  # among equal merges the one further left comes first
+                limit, right = of_right + 1, parts[right][0]
+            else:
+                return True
+
+    def _encodes_itself(self, token: str) -> bool:
+        if token not in self.parts:
+            return len(token.removesuffix(END)) == 1
+        left, right = self.parts[token]
+        return self._never_joined(left, right, self.made[token]) and self._encodes_itself(left) and self._encodes_itself(right)
+
     def _stay_apart(self, left: str, right: str, closes: bool) -> bool:
         key = (left, right, closes)
         known = self.apart.get(key)
         if known is None:
-            end = right + END if closes else right
-            known = (left, end) not in self.rank and self._symbols(left + right, closes) == [left, end]
-            self.apart[key] = known
+            known = self.apart[key] = self._never_joined(left, right + END if closes else right, 1 << 30)
         return known
 
     def word_table(self, word: str) -> list[int]:
