@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import byte_bpe, compression_rules, line_dedup, pii, simhash, token_counts
+from gridweft.llm import byte_bpe, compression_rules, decontamination, line_dedup, pii, simhash, token_counts
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ def text_of(frame: DataFrame) -> Column:
     return F.coalesce(frame["text"], F.lit(""))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = public_tokenizers.path(WORD_VOCABULARY)
@@ -105,6 +109,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
