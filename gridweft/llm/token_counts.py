@@ -17,6 +17,7 @@ import functools
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,19 @@ def _view(values: array) -> np.ndarray:
     return np.frombuffer(values, np.dtype(values.typecode))
 
 
+def _portions(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in order, about a million characters at a time, so that memory does not depend on the size of batches."""
+    some, size = [], 0
+    for value in texts:
+        some.append(value.as_py() or "")
+        size += len(some[-1])
+        if size >= 1 << 20:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 class PrefixCounter:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -263,7 +277,10 @@ def token_report(text: Column, path: str, budget: int) -> Column:
 
     @F.arrow_udf("struct<n_tokens: bigint, fits: bigint>")
     def report(texts: pa.Array) -> pa.Array:
-        totals, fits = counter(path).report([t.as_py() or "" for t in texts], budget)
+        count, totals, fits = counter(path), [], []
+        for some in _portions(texts):
+            for all_of, part in zip((totals, fits), count.report(some, budget)):
+                all_of += part
         return pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(fits, pa.int64())], ["n_tokens", "fits"])
 
     return report(text)
