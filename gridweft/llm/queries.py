@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import byte_bpe, chat_format, compression_rules, decontamination, line_dedup, pii, simhash, token_counts
+from gridweft.llm import byte_bpe, chat_format, compression_rules, decontamination, line_dedup, pii, quality_model, simhash, token_counts
+from gridweft.session import materialize
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -87,6 +88,23 @@ FROM kept LEFT JOIN runs USING (doc_id)
 """
 
 
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id``, ``held_out`` and ``score`` of every row."""
+    found = materialize(
+        docs.select("doc_id", quality_model.document_statistics(text_of(docs)).alias("statistics")), "document-statistics"
+    )
+    x, y = quality_model.sample(found, labels.filter(~quality_model.held_out(F.col("doc_id"))))
+    trees = quality_model.fit(x, y)
+    return found.select(
+        "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), quality_model.score(F.col("statistics"), trees).alias("score")
+    )
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= quality_model.THRESHOLD).cast("int"))
+
+
 def op6_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", compression_rules.quality_rules(text_of(docs)).alias("r")).select("doc_id", "r.*")
@@ -161,6 +179,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality_model": op5_quality_model,
     "op6_compression_rules": op6_compression_rules,
     "op7_simhash": op7_simhash,
     "op8_personal_data": op8_personal_data,
