@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import byte_bpe, chat_format, compression_rules, decontamination, line_dedup, pii, quality_model, simhash, token_counts
+from gridweft.llm import byte_bpe, chat_format, compression_rules, decontamination, line_dedup, pii, quality_model, simhash, suffix_dedup, token_counts
 from gridweft.session import materialize
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -174,6 +174,11 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -184,6 +189,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_personal_data": op8_personal_data,
     "op9_chat_format": op9_chat_format,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
