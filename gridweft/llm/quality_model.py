@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over statistics of a document.
 
-Statistics of every whole text are computed once and written.  The trees are fitted on the driver, on at most ``SAMPLE`` labelled
-rows: those with the smallest hash of their id, a fixed random share.  Each statistic is cut in at most ``BINS`` bins at its
+The trees are fitted on the driver, on the statistics of at most ``SAMPLE`` labelled documents: those with the smallest hash of their
+id, a fixed random share.  Then the statistics of every whole text are computed and scored in one pass without a shuffle.  Each statistic is cut in at most ``BINS`` bins at its
 quantiles; a tree grows level by level from sums of gradients in those bins.  The fitted trees are complete binary trees in flat
 arrays, of a size that depends on ``TREES`` and ``DEPTH`` only, and all rows of a batch walk down all trees at once in numpy.
 
@@ -168,13 +168,20 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
     return Trees(base, feature, threshold, value)
 
 
-def sample(statistics: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``rows`` labelled rows, chosen by a hash of the id and so alike on every run."""
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Trees:
+    """Trees from at most ``rows`` of the labels, chosen by a hash of the id and so alike on every run, and the texts they belong to.
+
+    ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and ``quality``.
+    """
     known = labels.filter("quality in (0, 1)").select("doc_id", "quality")
-    chosen = statistics.select("doc_id", "statistics").join(known, "doc_id")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows).toArrow()
-    x = np.array(chosen.column("statistics").to_pylist(), np.float32).reshape(-1, len(STATISTICS))
-    return x, chosen.column("quality").to_numpy().astype(np.float64)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
+    text = F.coalesce("text", F.lit(""))
+    # ``rows`` pairs of numbers at most go to all tasks
+    told = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", text.alias("text"))
+    table = told.select("doc_id", "quality", document_statistics(F.col("text")).alias("statistics")).toArrow()
+    order = np.lexsort((table.column("quality").to_numpy(), table.column("doc_id").to_numpy()))
+    x = np.array(table.column("statistics").to_pylist(), np.float32).reshape(-1, len(STATISTICS))
+    return fit(x[order], table.column("quality").to_numpy().astype(np.float64)[order])
 
 
 def score(statistics: Column, trees: Trees) -> Column:

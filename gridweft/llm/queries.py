@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.llm import byte_bpe, chat_format, compression_rules, decontamination, line_dedup, pii, quality_model, simhash, suffix_dedup, token_counts
-from gridweft.session import materialize
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -88,20 +87,17 @@ FROM kept LEFT JOIN runs USING (doc_id)
 """
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``held_out`` and ``score`` of every row."""
-    found = materialize(
-        docs.select("doc_id", quality_model.document_statistics(text_of(docs)).alias("statistics")), "document-statistics"
-    )
-    x, y = quality_model.sample(found, labels.filter(~quality_model.held_out(F.col("doc_id"))))
-    trees = quality_model.fit(x, y)
-    return found.select(
-        "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), quality_model.score(F.col("statistics"), trees).alias("score")
-    )
+def quality_trees(docs: DataFrame, labels: DataFrame) -> quality_model.Trees:
+    return quality_model.fitted(docs, labels.filter(~quality_model.held_out(F.col("doc_id"))))
 
 
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    trees = quality_trees(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", quality_model.document_statistics(text_of(docs)).alias("statistics"))
+    scored = found.select(
+        "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), quality_model.score(F.col("statistics"), trees).alias("score")
+    )
     return scored.withColumn("predicted", (F.col("score") >= quality_model.THRESHOLD).cast("int"))
 
 
