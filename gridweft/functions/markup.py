@@ -83,8 +83,8 @@ def _decode_entity(token: Column) -> Column:
     named = F.create_map(*[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))])
     digits = F.regexp_extract(token, r"\A&#[xX]?([0-9a-fA-F]+);\z", 1)
     point = (
-        F.when(token.rlike(r"\A&#[0-9]{1,9};"), digits.cast("int"))
-        .when(token.rlike(r"\A&#[xX][0-9a-fA-F]{1,7};"), F.conv(digits, 16, 10).cast("int"))
+        F.when(token.rlike(r"\A&#0*[0-9]{1,9};"), digits.cast("decimal(38,0)").cast("int"))
+        .when(token.rlike(r"\A&#[xX]0*[0-9a-fA-F]{1,7};"), F.conv(F.right(digits, F.lit(7)), 16, 10).cast("int"))
         .otherwise(F.lit(0))
     )
     char = bind(
@@ -146,8 +146,10 @@ def unwrap_tags(text: Column | str, tags: list[str] | tuple[str, ...]) -> Column
 
 
 def _span(open_tag: Column, name: str) -> Column:
-    value = F.regexp_extract(open_tag, rf"(?i)\s{name}\s*=\s*[\"']?\s*([0-9]{{1,9}})", 1)
-    return F.when(open_tag.rlike(rf"(?i)\s{name}\s*=\s*[\"']?\s*[0-9]"), value.cast("int")).otherwise(F.lit(1))
+    value = F.regexp_extract(open_tag, rf"(?i)\s{name}\s*=\s*[\"']?\s*([0-9]+)", 1)
+    # a number beyond all tables stands for the largest one
+    number = F.coalesce(value.try_cast("int"), F.lit(2**31 - 1))
+    return F.when(open_tag.rlike(rf"(?i)\s{name}\s*=\s*[\"']?\s*[0-9]"), number).otherwise(F.lit(1))
 
 
 def _cells(row_markup: Column) -> Column:

@@ -102,7 +102,8 @@ def nest_annotations(
     """Images with their annotations as an ordered list; images without any keep an empty one.
 
     ``annotations`` has the columns ``key, number, anno``.  ``number`` counts from 0 within an image.  An image
-    with more than ``piece`` annotations gets several rows, told apart by ``piece_no``.
+    with more than ``piece`` annotations gets several rows, told apart by ``piece_no``; ``first_no`` is the number of the
+    first annotation of a row.
     """
     piece_no = F.floor(F.col(number) / piece).cast("int").alias("piece_no")
     lists = annotations.groupBy(key, piece_no).agg(F.sort_array(F.collect_list(F.struct(number, "anno"))).alias("_l"))
@@ -111,6 +112,7 @@ def nest_annotations(
     return images.join(lists, key, "left").select(
         *images.columns,
         F.coalesce("piece_no", F.lit(0)).alias("piece_no"),
+        (F.coalesce("piece_no", F.lit(0)).cast("bigint") * piece).alias("first_no"),
         F.coalesce("annotations", empty).alias("annotations"),
     )
 
@@ -125,11 +127,11 @@ def coco_frames(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def coco_documents(nested: DataFrame, shard: Column, split: Column) -> DataFrame:
     """COCO documents ``split, shard, images, annotations`` from nested images.
 
-    Annotation ids are derived from image id and position, so no global count is needed.  The shard has to
-    bound the number of images in one document.
+    Annotation ids are image id times 2^32 plus position, so no global count is needed and ids of images never meet.
+    The shard has to bound the number of images in one document.
     """
     image = F.struct(F.col("image_id").alias("id"), "file_name", "height", "width", "segm_file")
-    base = F.col("image_id").cast("bigint") * 1_000_000 + F.col("piece_no") * PIECE
+    base = F.shiftleft(F.col("image_id").cast("bigint"), 32) + F.col("first_no")
     annos = F.transform(
         "annotations",
         lambda a, i: F.struct(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweft.operators.ordering import take_by_hash
+from gridweft.operators.ordering import mark_by_hash
 
 
 def concat_datasets(parts: Mapping[str, DataFrame]) -> DataFrame:
@@ -28,30 +28,28 @@ def mix_by_ratio(
     """Mix sources so that their shares follow ``ratios``, whose sum has to be 1.
 
     Rows are taken in the order of a seeded hash.  ``mode`` says which source sets the amount: 0 the
-    first one, 1 the last one (each is used up, a source that is too small contributes all its rows); 2 is 0
-    with a column ``used`` and the unused rows kept; -1 connects all rows without ratios.
+    first one, 1 the last one, among those that have rows (each is used up, a source that is too small contributes
+    all its rows); 2 is 0 with a column ``used`` and the unused rows kept; -1 connects all rows without ratios.
+    A source without a ratio has a share of nothing: its rows are left out in modes 0 and 1 and unused in mode 2.
     """
     if abs(sum(ratios.values()) - 1.0) > 1e-9:
         raise ValueError("ratios have to sum to 1")
     if mode not in (-1, 0, 1, 2):
         raise ValueError(f"unknown mode {mode}")
-    known = df.filter(F.col(source).isin(*ratios))
-    hashed = known.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
     if mode == -1:
-        return hashed.drop("_hash")
-    leader = list(ratios)[-1 if mode == 1 else 0]
+        return df
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
     ratio = F.create_map(*[F.lit(x) for kv in ratios.items() for x in kv])
-    sizes = hashed.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
-    lead = sizes.filter(F.col(source) == leader).select((F.col("_n") / F.lit(ratios[leader])).alias("_total"))
+    sizes = hashed.filter(F.col(source).isin(*ratios)).groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
+    place = F.array_position(F.array(*map(F.lit, ratios)), F.col(source))
+    leads = sizes.filter(F.element_at(ratio, F.col(source)) > 0)
+    first = F.min_by if mode != 1 else F.max_by
+    lead = leads.agg(first(F.col("_n") / F.element_at(ratio, F.col(source)), place).alias("_total"))
     quota = sizes.join(F.broadcast(lead)).select(
         source, F.floor(F.element_at(ratio, F.col(source)) * F.col("_total") + 1e-9).cast("bigint").alias("k")
     )
-    taken = take_by_hash(hashed, source, quota, "_hash")
-    if mode == 2:
-        used = taken.select("_hash", F.lit(True).alias("used"))
-        hashed = hashed.join(used, "_hash", "left").withColumn("used", F.coalesce("used", F.lit(False)))
-        return hashed.drop("_hash")
-    return taken.drop("_hash")
+    marked = mark_by_hash(hashed, source, quota, "_hash", "used").drop("_hash")
+    return marked if mode == 2 else marked.filter("used").drop("used")
 
 
 def select_split(df: DataFrame, split: str, known: tuple[str, ...] = ("training", "validation", "test")) -> DataFrame:

@@ -48,12 +48,17 @@ def match_boxes(detections: DataFrame, truth: DataFrame, min_iou: float = 0.5) -
 
 
 def best_per_truth(detections: DataFrame, truth: DataFrame, min_iou: float = 0.5) -> DataFrame:
-    """The detection that overlaps each true box most."""
-    pairs = candidate_pairs(detections, truth, min_iou)
-    best = pairs.groupBy("image", "gt_no").agg(
+    """The detection that overlaps each true box most.  Copies of a true box have the same one, a row each."""
+    det = representatives(
+        detections.select("image", "box", "det_no", "score"), "det_no", order=F.struct(-F.col("score"), "det_no")
+    )
+    gt = representatives(truth.select("image", "box", "gt_no"), "gt_no")
+    pairs = overlap_pairs(det, gt, min_iou=min_iou)
+    best = pairs.groupBy("image", F.col("r_box").alias("box")).agg(
         F.max(F.struct("iou", "score", (-F.col("det_no")).alias("d"))).alias("b")
     )
-    return best.select("image", "gt_no", (-F.col("b.d")).alias("det_no"), F.col("b.iou").alias("iou"))
+    copies = truth.select("image", "box", "gt_no").join(best, ["image", "box"])
+    return copies.select("image", "gt_no", (-F.col("b.d")).alias("det_no"), F.col("b.iou").alias("iou"))
 
 
 def _rates(hits: Column, n_det: Column, n_gt: Column) -> list[Column]:
@@ -98,20 +103,31 @@ def detection_scores(detections: DataFrame, truth: DataFrame, min_iou: float = 0
 def threshold_sweep(
     detections: DataFrame, truth: DataFrame, thresholds: list[float], min_iou: float = 0.5
 ) -> DataFrame:
-    """Detection scores for each score threshold.
+    """Detection scores for each score threshold, ignored boxes treated as in ``detection_scores``.
 
     The overlap join runs once; a pair is then repeated for the thresholds below its score.  Copies of a
-    box are represented by their highest score, which is the last to be cut off.
+    box are represented by their highest score, which is the last to be cut off.  Whether a detection's best true box
+    is ignored does not depend on the threshold; how many copies of it pass does.
     """
     grid = F.array(*[F.lit(float(t)) for t in thresholds])
 
     def passing(df: DataFrame) -> DataFrame:
         return df.withColumn("threshold", F.explode(F.filter(grid, lambda t: t < F.col("score"))))
 
-    pairs = passing(materialize(candidate_pairs(detections, truth, min_iou), "pairs"))
-    hits = _mutual(pairs, ("threshold",)).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_match"))
-    n_det = passing(detections.select("score")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_det"))
-    n_gt = truth.agg(F.count(F.lit(1)).alias("n_gt")).withColumn("threshold", F.explode(grid))
+    det = representatives(
+        detections.select("image", "box", "det_no", "score"), "det_no", order=F.struct(-F.col("score"), "det_no")
+    )
+    gt = representatives(truth.select("image", "box", "gt_no", "iscrowd"), "gt_no", order=F.struct("iscrowd", "gt_no"))
+    pairs = materialize(overlap_pairs(det, gt, min_iou=min_iou).drop("r_box"), "pairs")
+    best = pairs.groupBy("image", F.col("l_box").alias("box"), "det_no").agg(
+        F.max(F.struct("iou", (-F.col("iscrowd")).alias("counted"))).alias("b")
+    )
+    ignored = best.filter(F.col("b.counted") < 0).select("image", "box", "det_no")
+    valid = pairs.filter(F.col("iscrowd") == 0).join(ignored, ["image", "det_no"], "left_anti")
+    hits = _mutual(passing(valid), ("threshold",)).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_match"))
+    counted = detections.select("image", "box", "score").join(ignored, ["image", "box"], "left_anti")
+    n_det = passing(counted.select("score")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_det"))
+    n_gt = truth.agg(F.count_if(F.col("iscrowd") == 0).alias("n_gt")).withColumn("threshold", F.explode(grid))
     out = n_gt.join(n_det, "threshold", "left").join(hits, "threshold", "left").na.fill(0, ["n_det", "n_match"])
     return out.select(
         "threshold", "n_match", "n_det", "n_gt", *_rates(F.col("n_match"), F.col("n_det"), F.col("n_gt"))

@@ -17,17 +17,18 @@ def generate(
     """Add the output of a text model.
 
     ``make_predict`` runs once per task and returns the model function, which maps a list of inputs to a
-    list of outputs; this is where a caller loads weights.  All columns pass through Python, so select the
-    needed ones first.
+    list of outputs; this is where a caller loads weights.  A null input has a null output and is not given to the
+    model.  All columns pass through Python, so select the needed ones first.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make_predict()
         for rows in batches:
-            texts, out = rows[column], []
+            texts, out = rows[column].dropna(), []
             for i in range(0, len(texts), batch):
                 out.extend(predict(texts.iloc[i : i + batch].tolist()))
-            yield rows.assign(**{output: pd.Series(out, dtype=object, index=rows.index)})
+            found = pd.Series(out, dtype=object, index=texts.index).reindex(rows.index)
+            yield rows.assign(**{output: found.where(found.notna(), None)})
 
     schema = StructType([*frame.schema.fields, StructField(output, StringType())])
     return frame.mapInPandas(run, schema)

@@ -30,13 +30,16 @@ def running_index(df: DataFrame, order: list[Column | str], name: str = "index",
     return numbered.withColumn(name, rank.cast("bigint")).drop("_id", "_part", "_offset")
 
 
-def take_by_hash(df: DataFrame, group: str, quota: DataFrame, hex_hash: str, prefix: int = 3) -> DataFrame:
-    """The rows with the smallest hashes of each group, as many as ``quota(group, k)`` says.
+def mark_by_hash(df: DataFrame, group: str, quota: DataFrame, hex_hash: str, name: str, prefix: int = 3) -> DataFrame:
+    """A column ``name``: whether a row is among those with the smallest hashes of its group, as many as ``quota(group, k)`` says.
+
+    Rows of one hash, such as repeated keys, are told apart by a hash of the whole row; equal rows are as good as one another.
 
     Hashes are first counted by their leading hex digits.  Prefixes below the one where the quota is
     reached are taken whole; only rows with exactly that prefix are ranked.  A group that holds most of the
     rows is therefore never sorted as a whole.
     """
+    tie = F.xxhash64(*df.columns)
     df = df.withColumn("_prefix", F.substring(hex_hash, 1, prefix))
     w = Window.partitionBy(group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
@@ -48,8 +51,9 @@ def take_by_hash(df: DataFrame, group: str, quota: DataFrame, hex_hash: str, pre
         .withColumn("_whole", F.col("_n") <= F.col("_left"))
         .select(group, "_prefix", "_left", "_whole")
     )
-    chosen = df.join(plan, [group, "_prefix"])
-    rank = F.row_number().over(Window.partitionBy(group, "_prefix").orderBy(hex_hash))
-    edge = chosen.filter(~F.col("_whole")).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left"))
-    taken = chosen.filter("_whole").unionByName(edge.drop("_rank"))
-    return taken.drop("_prefix", "_left", "_whole")
+    planned = df.join(plan, [group, "_prefix"], "left")
+    rank = F.row_number().over(Window.partitionBy(group, "_prefix").orderBy(hex_hash, tie))
+    settled = F.coalesce("_whole", F.lit(True))
+    plain = planned.filter(settled).withColumn(name, F.coalesce("_whole", F.lit(False)))
+    edge = planned.filter(~settled).withColumn("_rank", rank).withColumn(name, F.col("_rank") <= F.col("_left")).drop("_rank")
+    return plain.unionByName(edge).drop("_prefix", "_left", "_whole")

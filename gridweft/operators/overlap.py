@@ -85,6 +85,11 @@ def _touching_pairs(left: DataFrame, right: DataFrame, image: str) -> DataFrame:
     def gridded(df: DataFrame, side: str) -> DataFrame:
         df = df.join(tops, image).withColumn(f"_{side}own", own(side))
         df = df.withColumn("_level", F.explode(F.sequence(F.col(f"_{side}own"), F.col("_top")))).drop("_top")
+        # a level belongs to one of the two: the own level of a box meets own and finer ones, finer ones never meet there
+        at_home = F.col("_level") == F.col(f"_{side}own")
+        away = 0 if side == "l" else 1
+        both = F.array(F.lit(0), F.lit(1)) if side == "l" else F.array(F.lit(0))
+        df = df.withColumn("_turn", F.explode(F.when(at_home, both).otherwise(F.array(F.lit(away)))))
         size = F.pow(F.lit(2.0), F.col("_level"))
 
         def touched(axis: str) -> Column:
@@ -94,14 +99,13 @@ def _touching_pairs(left: DataFrame, right: DataFrame, image: str) -> DataFrame:
 
         return df.withColumn("_gx", F.explode(touched("x"))).withColumn("_gy", F.explode(touched("y")))
 
-    met = gridded(left, "l").join(gridded(right, "r").hint("merge"), [image, "_level", "_gx", "_gy"])
+    met = gridded(left, "l").join(gridded(right, "r").hint("merge"), [image, "_level", "_turn", "_gx", "_gy"])
     size = F.pow(F.lit(2.0), F.col("_level"))
     met = met.filter(
-        (F.col("_level") == F.greatest("_lown", "_rown"))
-        & (F.col("_gx") == F.floor(F.greatest("_lx1", "_rx1") / size))
+        (F.col("_gx") == F.floor(F.greatest("_lx1", "_rx1") / size))
         & (F.col("_gy") == F.floor(F.greatest("_ly1", "_ry1") / size))
     )
-    return met.drop("_level", "_gx", "_gy", "_lown", "_rown")
+    return met.drop("_level", "_turn", "_gx", "_gy", "_lown", "_rown")
 
 
 def _similar_pairs(left: DataFrame, right: DataFrame, image: str, min_iou: float) -> DataFrame:

@@ -135,7 +135,7 @@ def porter_stem(word: str) -> str:
 @F.pandas_udf(StringType())
 def _stem_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for words in batches:
-        yield words.map(lambda w: porter_stem(w) if len(w) > 3 else w)
+        yield words.map(lambda w: porter_stem(w) if w is not None and len(w) > 3 else w)
 
 
 def stem_vocabulary(words: DataFrame, column: str = "word") -> DataFrame:
@@ -146,6 +146,6 @@ def stem_vocabulary(words: DataFrame, column: str = "word") -> DataFrame:
 @F.pandas_udf(ArrayType(StringType()))
 def stem_tokens(tokens: pd.Series) -> pd.Series:
     """Stems of token arrays; each distinct word of a batch is stemmed once."""
-    words = {w for row in tokens for w in row}
+    words = {w for row in tokens if row is not None for w in row}
     stems = {w: porter_stem(w) if len(w) > 3 else w for w in words}
-    return tokens.map(lambda row: [stems[w] for w in row])
+    return tokens.map(lambda row: None if row is None else [stems[w] for w in row])

@@ -101,7 +101,7 @@ def lcs_positions(ref: list, cand: list) -> set[int]:
 
 @F.pandas_udf(IntegerType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series([0 if x is None or y is None else lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
 
 
 @F.pandas_udf(IntegerType())
@@ -129,7 +129,7 @@ def rouge(
     use_stemmer: bool = True,
     fields: tuple[str, ...] = ROUGE_FIELDS,
 ) -> DataFrame:
-    """F1 of common words, word pairs and the longest common subsequence (Lin, 2004).
+    """F1 of common words, word pairs and the longest common subsequence (Lin, 2004).  A null text scores 0.
 
     ``rougeLsum`` splits both texts into sentences at line ends; texts of one line have the same value
     as ``rougeL``, so only longer ones go through the union of subsequences.
@@ -149,7 +149,7 @@ def rouge(
             tokens = F.transform(F.split(F.col(text), "\n"), T.rouge_tokens)
             return F.filter(tokens, lambda s: F.size(s) > 0)
 
-        many = F.col(prediction).contains("\n") | F.col(reference).contains("\n")
+        many = F.coalesce(F.col(prediction).contains("\n") | F.col(reference).contains("\n"), F.lit(False))
         out = out.withColumn("_many", many)
         out = _with_sentence_hits(out, sentences(prediction), sentences(reference), use_stemmer)
         hits = F.when(F.col("_many"), F.col("_sum_hits")).otherwise(F.col("_lcs"))

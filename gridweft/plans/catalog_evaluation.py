@@ -36,11 +36,10 @@ def j10(spark, sf):
     return matches.select("image", "det_no", "gt_no", F.round("iou", 6).alias("iou"))
 
 
-@query("O2_best_per_truth", f"""WITH {LINES}, {BOXES}, {PAIRS},
-first AS (SELECT image, x1, y1, x2, y2, min(gt_no) AS gt_no FROM gt GROUP BY ALL)
+@query("O2_best_per_truth", f"""WITH {LINES}, {BOXES}, {PAIRS}
 SELECT image, gt_no, det_no, round(iou, 6) AS iou FROM (
   SELECT *, row_number() OVER (PARTITION BY image, gt_no ORDER BY iou DESC, score DESC, det_no) AS rn
-  FROM pairs SEMI JOIN first USING (image, gt_no)) WHERE rn = 1""")
+  FROM pairs) WHERE rn = 1""")
 def o2(spark, sf):
     det, gt = boxes(spark, sf)
     return DT.best_per_truth(det, gt).select("image", "gt_no", "det_no", F.round("iou", 6).alias("iou"))
@@ -61,10 +60,13 @@ def a14(spark, sf):
 _THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 _SWEEP = f"""WITH {LINES}, {BOXES}, {PAIRS},
 thr AS (SELECT * FROM (VALUES {', '.join(f'({t}::DOUBLE)' for t in _THRESHOLDS)}) AS t(threshold)),
-kept AS (SELECT * FROM pairs JOIN thr ON score > threshold),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, det_no ORDER BY iou DESC, iscrowd, gt_no) AS rn FROM pairs) WHERE rn = 1),
+ignored AS (SELECT image, det_no, score FROM best WHERE iscrowd = 1),
+kept AS (SELECT * FROM pairs ANTI JOIN ignored USING (image, det_no) JOIN thr ON score > threshold WHERE iscrowd = 0),
 {_MUTUAL.format(k='threshold,', p='kept', on='AND d.threshold = g.threshold')},
 n AS (SELECT threshold, (SELECT count(*) FROM matched m WHERE m.threshold = thr.threshold) AS n_match,
-             (SELECT count(*) FROM det WHERE score > thr.threshold) AS n_det, (SELECT count(*) FROM gt) AS n_gt FROM thr),
+             (SELECT count(*) FROM det WHERE score > thr.threshold) - (SELECT count(*) FROM ignored i WHERE i.score > thr.threshold) AS n_det,
+             (SELECT count(*) FROM gt WHERE iscrowd = 0) AS n_gt FROM thr),
 sweep AS (SELECT threshold, n_match, n_det, n_gt, {_RATES} FROM n)"""
 
 

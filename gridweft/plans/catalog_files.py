@@ -78,7 +78,8 @@ def linearized_customers(spark, sf):
     return tables.select("table_id", "variation", "input")
 
 
-@query("S5_linearized_files", f"SELECT c_nationkey AS table_id, {_CUSTOMER_TEXT} AS input FROM customer")
+@query("S5_linearized_files", f"""SELECT c_nationkey AS table_id, {_CUSTOMER_TEXT} AS input,
+  CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS line_no FROM customer""")
 def s5(spark, sf):
     path = scratch_path(spark, "src")
     WR.write_linearized(linearized_customers(spark, sf), path)
@@ -104,7 +105,7 @@ def s6(spark, sf):
 
 def annotation_lines(spark, sf):
     nested = A.nest_annotations(D.images(spark, sf), annotations(spark, sf))
-    return nested.select("file_name", "height", "width", "annotations")
+    return nested.select("file_name", "height", "width", "piece_no", "annotations")
 
 
 @query("S7_json_lines", f"""WITH {LINES}, {_QUADS}, {_IMAGES}

@@ -230,17 +230,17 @@ def w4(spark, sf):
 
 @query("J3_gold_by_table", f"""WITH {_MAP},
 gold AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no, {_ORDER_GOLD} AS gold FROM orders)
-SELECT CAST(c_custkey AS INTEGER) AS table_id, c_name AS prediction, line_no, gold
-FROM customer JOIN last ON c_custkey = table_id JOIN gold USING (line_no)""")
+SELECT CAST(c_custkey AS INTEGER) AS table_id, c_name AS prediction, line_no, gold, gold IS NOT NULL AS has_gold
+FROM customer LEFT JOIN last ON c_custkey = table_id LEFT JOIN gold USING (line_no)""")
 def j3(spark, sf):
     preds = D.table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("table_id"), F.col("c_name").alias("prediction"))
-    return S.attach_gold(preds, id_map(spark, sf), gold_lines(spark, sf)).select("table_id", "prediction", "line_no", "gold")
+    return S.attach_gold(preds, id_map(spark, sf), gold_lines(spark, sf)).select("table_id", "prediction", "line_no", "gold", "has_gold")
 
 
 @query("P8_gold_for_variations", f"""WITH {_MAP},
 gold AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no, {_ORDER_GOLD} AS gold FROM orders)
 SELECT CAST(c_nationkey AS INTEGER) AS table_id, CAST(c_custkey AS BIGINT) AS variation, gold
-FROM customer JOIN last ON c_nationkey = table_id JOIN gold USING (line_no)""")
+FROM customer LEFT JOIN last ON c_nationkey = table_id LEFT JOIN gold USING (line_no)""")
 def p8(spark, sf):
     tables = D.customer_tables(spark, sf).select("table_id", "variation")
     return S.attach_gold(tables, id_map(spark, sf), gold_lines(spark, sf)).select("table_id", "variation", "gold")

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from gridweft import schemas
 from gridweft.functions.names import base_name, dir_name, is_image, truth_path
 from gridweft.operators.annotations import parse_curve_line, parse_quad_line
+from gridweft.sources.writers import NULL_LINE
 
 
 def read_html_tables(spark: SparkSession, path: str, glob: str = "*.htm") -> DataFrame:
@@ -17,24 +18,43 @@ def read_html_tables(spark: SparkSession, path: str, glob: str = "*.htm") -> Dat
     return docs.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("html"))
 
 
+_PLACE = ("_part", "_file", "_block")
+
+
+def _line_place() -> list[Column]:
+    """Where a line stands: the number of its part file (0 for other names), the file, its block, and a row id."""
+    file = F.col("_metadata.file_path")
+    part = F.regexp_extract(file, r"/part-([0-9]+)[^/]*\z", 1)
+    return [
+        F.coalesce(part.try_cast("bigint"), F.lit(0)).alias("_part"),
+        file.alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    ]
+
+
+def _unescaped(text: Column) -> Column:
+    """The reverse of ``writers.quoted_line``: each backslash and the character after it."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\.|[^\\]+|\\"), F.lit(0))
+    plain = F.transform(
+        pieces, lambda p: F.when(p == "\\n", "\n").when(p == "\\r", "\r").when(p == "\\\\", "\\").otherwise(p)
+    )
+    return F.when(text.contains("\\"), F.array_join(plain, "")).otherwise(text)
+
+
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, value`` with line numbers from 0; part files of a folder follow each other by name.
+    """``line_no, value`` with line numbers from 0; part files of a folder follow each other by number.
 
     Files stay splittable.  Rows of one block follow each other in one task, so the number of a line is its
     position in the block plus the number of lines in the blocks before it; only the list of blocks
     is sorted.
     """
-    rows = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    blocks = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = spark.read.text(path).select("value", *_line_place())
+    blocks = rows.groupBy(*_PLACE).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     # one row per file block; adaptive execution broadcasts it after measuring its size
-    out = rows.join(blocks, ["_file", "_block"])
+    out = rows.join(blocks, list(_PLACE))
     return out.select((F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
 
 
@@ -51,13 +71,21 @@ def read_id_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_linearized(spark: SparkSession, path: str) -> DataFrame:
-    """``table_id, input`` from quoted lines in ``<table_id>.src`` files or ``table_id=<id>`` folders."""
-    rows = spark.read.schema("input string").option("quote", "'").option("sep", "\u0001").option(
-        "recursiveFileLookup", "true"
-    ).csv(path)
-    name = F.col("_metadata.file_path")
-    number = F.regexp_extract(name, r"/(?:table_id=)?([0-9]+)(?:\.src\z|/[^/]*\z)", 1)
-    return rows.select(number.try_cast("int").alias("table_id"), "input")
+    """``table_id, line_no, input`` from quoted lines in ``<table_id>.src`` files or ``table_id=<id>`` folders.
+
+    Line n of a table id, over all its part files, is its n-th variation.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        "value", *_line_place()
+    )
+    number = F.regexp_extract("_file", r"/(?:table_id=)?([0-9]+)(?:\.src\z|/[^/]*\z)", 1)
+    inner = F.regexp_extract("value", r"(?s)\A\s*'(.*)'\s*\z", 1)
+    text = F.when(F.trim("value") == NULL_LINE, F.lit(None)).when(F.trim("value").startswith("'"), inner).otherwise(F.col("value"))
+    # a table id has as many lines as variations
+    order = Window.partitionBy("table_id").orderBy(*_PLACE, "_id")
+    return rows.select(
+        number.try_cast("int").alias("table_id"), _unescaped(text).alias("input"), *_PLACE, "_id"
+    ).select("table_id", (F.row_number().over(order) - 1).alias("line_no"), "input")
 
 
 def read_coco(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -43,25 +43,35 @@ def write_named_files(df: DataFrame, path: str, name: str = "name", content: str
     return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+NULL_LINE = "\\N"
+
+
 def _lines_by_id(df: DataFrame, order: str) -> DataFrame:
-    # spread by id and order, so that one large id is written by several tasks
-    return df.repartition("table_id", order).sortWithinPartitions("table_id", order)
+    # ranges of id and order: the lines of an id follow one another, in one file or in few files in order of their numbers
+    return df.repartitionByRange("table_id", order).sortWithinPartitions("table_id", order)
+
+
+def quoted_line(text: Column) -> Column:
+    """A text as one quoted line: line ends and backslashes are escaped, a null is a mark of its own without quotes."""
+    for plain, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit(NULL_LINE))
 
 
 def write_linearized(df: DataFrame, path: str) -> None:
-    """``table_id=<id>/``: one quoted line per variation."""
-    lines = df.withColumn("value", F.concat(F.lit("'"), F.col("input"), F.lit("'")))
+    """``table_id=<id>/``: line n is the n-th variation; a null text has a line too."""
+    lines = df.withColumn("value", quoted_line(F.col("input")))
     _lines_by_id(lines, "variation").select("table_id", "value").write.partitionBy("table_id").text(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    """Predicted sentences, one quoted line per variation, in a folder per table id."""
-    lines = df.withColumn("value", F.concat(F.lit("'"), F.col("prediction"), F.lit("'")))
+    """Predicted sentences, one quoted line per variation in order, in a folder per table id."""
+    lines = df.withColumn("value", quoted_line(F.col("prediction")))
     _lines_by_id(lines, "variation").select("table_id", "value").write.partitionBy("table_id").text(path)
 
 
 def write_metric_records(df: DataFrame, path: str) -> None:
-    """One JSON object per prediction, in a folder per table id."""
+    """One JSON object per prediction, in order of the variation, in a folder per table id."""
     _lines_by_id(df, "variation").write.partitionBy("table_id").json(path)
 
 
@@ -107,7 +117,8 @@ def coordinate_line(coords: Column | str, score: Column | str | None = None) ->
 
 def write_coordinates(df: DataFrame, path: str, coords: str = "coords", score: str | None = "score") -> None:
     """One folder per image with a line for each box or quad."""
-    df.select("image", coordinate_line(coords, score).alias("value")).write.partitionBy("image").text(path)
+    lines = df.select("image", coordinate_line(coords, score).alias("value"))
+    lines.repartitionByRange("image").sortWithinPartitions("image").write.partitionBy("image").text(path)
 
 
 def keyed_rows(df: DataFrame, order: list[str], value: Column) -> DataFrame:
