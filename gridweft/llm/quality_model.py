@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweft.llm.byte_bpe import portions
 from gridweft.llm.compression_rules import SPACES, repeated_lines, words_in_repeated_windows
 
 SAMPLE = 20_000
@@ -184,15 +185,18 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Trees:
     return fit(x[order], table.column("quality").to_numpy().astype(np.float64)[order])
 
 
-def score(statistics: Column, trees: Trees) -> Column:
-    """Score of each row's statistics."""
+def score(text: Column, trees: Trees) -> Column:
+    """Score of each text.  A filter on it does not make Spark compute it twice."""
 
     @F.arrow_udf("double")
-    def scored(lists: pa.Array) -> pa.Array:
-        x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
-        return pa.array(np.concatenate([trees.score(x[a : a + 4096]) for a in range(0, len(x), 4096)] or [np.zeros(0)]))
+    def scored(texts: pa.Array) -> pa.Array:
+        compressor = zstandard.ZstdCompressor(level=1)
+        scores = [np.zeros(0)]
+        for some in portions(texts):
+            scores.append(trees.score(np.array([statistics(t, compressor) for t in some], np.float32)))
+        return pa.array(np.concatenate(scores))
 
-    return scored(statistics)
+    return scored.asNondeterministic()(text)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -94,10 +94,8 @@ def quality_trees(docs: DataFrame, labels: DataFrame) -> quality_model.Trees:
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = quality_trees(docs, table(spark, sf_dir, "labels"))
-    found = docs.select("doc_id", quality_model.document_statistics(text_of(docs)).alias("statistics"))
-    scored = found.select(
-        "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), quality_model.score(F.col("statistics"), trees).alias("score")
-    )
+    score = quality_model.score(text_of(docs), trees)
+    scored = docs.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality_model.THRESHOLD).cast("int"))
 
 
