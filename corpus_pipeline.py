@@ -21,8 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     docs = docs.select(*COLUMNS)
     trees = queries.quality_trees(docs, queries.table(spark, sf_dir, "labels"))
-    statistics = quality_model.document_statistics(queries.text_of(docs))
-    scored = docs.withColumn("statistics", statistics).withColumn("score", quality_model.score(F.col("statistics"), trees))
+    scored = docs.withColumn("score", quality_model.score(queries.text_of(docs), trees))
     return scored.filter(F.col("score") >= quality_model.THRESHOLD).select(*COLUMNS)
 
 
