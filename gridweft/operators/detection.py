@@ -158,7 +158,7 @@ def top_per_image(detections: DataFrame, k: int = 1000, salts: int = 32) -> Data
     return cut.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
 
 
-def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5, max_rounds: int = 10_000) -> DataFrame:
+def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5) -> DataFrame:
     """Greedy non-maximum suppression: ``image, det_no, score`` of the kept boxes.
 
     A box is kept when no kept box of higher rank (score, then lower number) overlaps it by more than
@@ -182,7 +182,7 @@ def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5, max_rounds: i
     # boxes without a better neighbour are kept at once; only the others take part in the rounds
     free = boxes.join(edges.select("image", "det_no"), ["image", "det_no"], "left_anti").select("image", "det_no")
     kept, newest, left = [free], free, edges
-    for _ in range(max_rounds):
+    while True:
         hit = left.join(newest.withColumnRenamed("det_no", "by_no"), ["image", "by_no"], "left_semi")
         dropped = hit.select("image", "det_no").distinct()
         # edges into dropped boxes are settled; edges out of them no longer block anybody
@@ -197,8 +197,6 @@ def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5, max_rounds: i
             rest.groupBy("image", "det_no").agg(F.max("open").alias("open")).filter(~F.col("open")).select("image", "det_no")
         )
         kept.append(newest)
-    else:
-        raise RuntimeError(f"suppression did not settle within {max_rounds} rounds")
     numbers = kept[0]
     for more in kept[1:]:
         numbers = numbers.unionByName(more)

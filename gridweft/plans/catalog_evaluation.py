@@ -87,7 +87,15 @@ def o3(spark, sf):
     return DT.top_per_image(D.detected_boxes(spark, sf), 100).select("image", "det_no", "rank")
 
 
-@query("O5_suppress_overlaps")
+@query("O5_suppress_overlaps", f"""WITH {LINES}, {BOXES},
+ranked AS (
+  SELECT image, list([{{'det_no': det_no, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY score DESC, det_no) AS boxes
+  FROM det GROUP BY image),
+kept AS (
+  SELECT image, unnest(list_reduce(boxes, lambda kept, b:
+    CASE WHEN len(list_filter(kept, lambda k: {iou_sql("k", "(b[1])")} > 0.5)) > 0 THEN kept ELSE list_concat(kept, b) END)) AS k
+  FROM ranked)
+SELECT image, k.det_no AS det_no, k.score AS score FROM kept""")
 def o5(spark, sf):
     return DT.suppress_overlaps(D.detected_boxes(spark, sf), 0.5)
 

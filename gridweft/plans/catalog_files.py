@@ -16,7 +16,9 @@ from gridweft.plans import derived as D
 from gridweft.plans.catalog_annotations import _IMAGES, _QUADS, _RECTS, annotations, contours, rectangles
 from gridweft.plans.catalog_evaluation import _LABELS, label_pairs
 from gridweft.plans.catalog_tables import _CUSTOMER_TEXT, _DAMAGE
-from gridweft.plans.catalog_text import _ORDER_GOLD
+from gridweft.operators import summaries as S
+from gridweft.operators import text_scores as X
+from gridweft.plans.catalog_text import _BLEU, _LCS, _MAP, _ORDER_GOLD, _PAIRS, _ngram_counts, _rouge_words, gold_lines, id_map
 from gridweft.plans.registry import BOXES, LINES, ROWS, query
 from gridweft.session import scratch_path
 from gridweft.sources import readers as RD
@@ -45,10 +47,10 @@ def s1(spark, sf):
 
 
 @query("S2_truth_files", """
-SELECT printf('page_%d.htm', page_id) AS file, length(html) AS n_pred, length(html) AS n_true FROM pages""")
+SELECT printf('page_%d.htm', page_id) AS file, html AS pred, html AS truth FROM pages""")
 def s2(spark, sf):
-    pred = RD.read_html_tables(spark, page_files(spark, sf)).select("file", F.length("html").cast("bigint").alias("n_pred"))
-    true = RD.read_html_tables(spark, page_files(spark, sf)).select("file", F.length("html").cast("bigint").alias("n_true"))
+    pred = RD.read_html_tables(spark, page_files(spark, sf)).select("file", F.col("html").alias("pred"))
+    true = RD.read_html_tables(spark, page_files(spark, sf)).select("file", F.col("html").alias("truth"))
     return pred.join(true, "file")
 
 
@@ -330,6 +332,40 @@ def k3(spark, sf):
     return spark.read.schema("variation bigint, translation_length double, bleu double, table_id int").json(path)
 
 
+_CHAIN_PAIRS = f"""{_MAP},
+gold AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no, {_ORDER_GOLD} AS gold FROM orders),
+pairs AS (
+  SELECT c_custkey AS pair_id, c_nationkey AS table_id, regexp_replace(gold, '([0-9])-', '\\1 - ', 'g') AS reference,
+         'The table has ' || CASE WHEN c_acctbal < 0 THEN 2 ELSE 3 END || ' values in 1 rows .' AS prediction
+  FROM customer JOIN last ON c_nationkey = table_id JOIN gold USING (line_no))"""
+_CHAIN_ROUGE = _ngram_counts("rwords", "(1), (2)").replace("grams", "rgrams").replace("hits", "rhits")
+
+
+@query("E2_summary_chain", f"""{_BLEU.replace(_PAIRS, _CHAIN_PAIRS)},
+rwords AS (SELECT pair_id, {_rouge_words('prediction')} AS p, {_rouge_words('reference')} AS r FROM pairs),
+{_CHAIN_ROUGE},
+rouge AS (
+  SELECT pair_id, 2.0::DOUBLE * coalesce(max(h) FILTER (WHERE n = 1), 0) / (any_value(len(p)) + any_value(len(r))) AS rouge1,
+         2.0::DOUBLE * coalesce(max(h) FILTER (WHERE n = 2), 0) / (any_value(len(p)) + any_value(len(r)) - 2) AS rouge2
+  FROM rwords LEFT JOIN rhits USING (pair_id) GROUP BY pair_id),
+longest AS (SELECT pair_id, 2.0::DOUBLE * {_LCS} / (len(p) + len(r)) AS l FROM rwords)
+SELECT CAST(table_id AS INTEGER) AS table_id, CAST(pair_id AS BIGINT) AS variation, round(p1, 6) AS precision_1,
+       CASE WHEN least(p1, p2, p3, p4) > 0 THEN round(bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4), 6) ELSE 0.0::DOUBLE END AS bleu,
+       round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(l, 6) AS "rougeL"
+FROM pairs JOIN bleu USING (pair_id) JOIN rouge USING (pair_id) JOIN longest USING (pair_id)""")
+def e2(spark, sf):
+    """From tables to records: linearise, generate, attach gold, BLEU and ROUGE merged, one JSON record per variation."""
+    made = GEN.generate(linearized_customers(spark, sf), GEN.template_model).select("table_id", "variation", "prediction")
+    pairs = S.attach_gold(made, id_map(spark, sf), gold_lines(spark, sf)).filter("has_gold").withColumnRenamed("gold", "reference")
+    fields = ["precision_1", "bleu", "rouge1", "rouge2", "rougeL"]
+    keys = ["table_id", "variation"]
+    merged = X.wide_metrics(X.long_metrics(X.score_text(pairs, ["bleu", "rouge"]), ["bleu", "rouge"], keys), keys, fields)
+    path = scratch_path(spark, "e2")
+    WR.write_metric_records(merged, path)
+    schema = "variation bigint, " + ", ".join(f"{f} double" for f in fields) + ", table_id int"
+    return spark.read.schema(schema).json(path).select(*keys, *(F.round(f, 6).alias(f) for f in fields))
+
+
 @query("K4_write_predictions", """
 SELECT c_nationkey AS table_id, '''The table has ' || CASE WHEN c_acctbal < 0 THEN 2 ELSE 3 END || ' values in 1 rows .''' AS value FROM customer""")
 def k4(spark, sf):

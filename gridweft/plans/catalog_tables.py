@@ -136,18 +136,21 @@ def j4(spark, sf):
 
 
 @query("J5_header_parents", f"""
-WITH {LINES}, {ROWS}, {HEADERS}
+WITH {LINES}, {ROWS}, {HEADERS},
+known AS MATERIALIZED (
+  SELECT *, level - 1 AS above, CASE WHEN level = 1 THEN 0 WHEN level = 2 THEN lo // 2 * 2 END AS above_lo FROM headers)
 SELECT c.file, c.level, c.h_no, c.name, p.h_no AS parent_no, p.name AS parent_name
-FROM headers c LEFT JOIN headers p ON c.file = p.file AND p.level = c.level - 1 AND p.lo <= c.lo AND c.lo < p.hi""")
+FROM known c LEFT JOIN known p ON c.file = p.file AND p.level = c.above AND p.lo = c.above_lo""")
 def j5(spark, sf):
     heads = C.child_parent(C.header_ranges(true_cells(spark, sf)))
     return heads.select("file", "level", "h_no", "name", "parent_no", "parent_name")
 
 
 @query("A3_header_paths", f"""
-WITH {LINES}, {ROWS}, {HEADERS}
-SELECT l.file, l.h_no AS leaf, g.name || ' ' || l.name AS path FROM headers l
-JOIN headers g ON g.file = l.file AND g.level = 1 AND g.lo <= l.lo AND l.lo < g.hi WHERE l.level = 2""")
+WITH {LINES}, {ROWS}, {HEADERS},
+known AS MATERIALIZED (SELECT *, lo // 2 * 2 AS above_lo FROM headers)
+SELECT l.file, l.h_no AS leaf, g.name || ' ' || l.name AS path FROM known l
+JOIN known g ON g.file = l.file AND g.level = 1 AND g.lo = l.above_lo WHERE l.level = 2""")
 def a3(spark, sf):
     parsed = C.parse_tables(D.single_tables(spark, sf))
     paths = parsed.select("file", C.header_paths(F.col("sections")).alias("paths"))
@@ -170,6 +173,14 @@ def a1(spark, sf):
     return S.group_files(files)
 
 
+@query("A1_file_lists", """
+SELECT c_nationkey AS table_id, 0 AS piece_no, string_agg(file, ',' ORDER BY file) AS files FROM (
+  SELECT c_nationkey, printf('C_Table%d_Variation%d.htm', c_nationkey, c_custkey) AS file FROM customer) GROUP BY c_nationkey""")
+def a1_lists(spark, sf):
+    files = D.customer_tables(spark, sf).select("file").withColumn("table_id", table_id("file"))
+    return S.file_lists(files).select("table_id", "piece_no", F.array_join("files", ",").alias("files"))
+
+
 @query("A6_node_count", f"""
 WITH {LINES}, {ROWS} SELECT {file_of('k', 'page * 4')} AS file, CAST(12 + 6 * count(*) AS INTEGER) AS n_nodes
 FROM rows GROUP BY k, page""")
