@@ -2,7 +2,8 @@
 
 The edit distance keeps levels: sections are aligned with sections, rows with rows, cells with cells.  It
 is never below the unrestricted tree distance and equal to it whenever the best mapping
-keeps the levels, so the score ``teds_aligned`` is a lower bound of the unrestricted score.
+keeps the levels, so the score ``teds_aligned`` is a lower bound of the unrestricted score, which
+``score_tables(..., unrestricted=True)`` computes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from gridweft.functions import markup as M
 from gridweft.functions.alignment import align_cost, edit_ratio
 from gridweft.functions.bind import bind
 from gridweft.operators.cells import parse_tables
+from gridweft.operators.tree_distance import tree_distance
 
 
 def pair_tables(true: DataFrame, pred: DataFrame, how: str = "left") -> DataFrame:
@@ -159,9 +161,13 @@ def score_tables(
     structure_only: bool = False,
     cell_tags: tuple[str, ...] = ("td",),
     ignore_tags: tuple[str, ...] = (),
+    unrestricted: bool = False,
 ) -> DataFrame:
     """Add ``n_true, n_pred, distance, score, flag`` to pairs of documents.
 
+    The distance keeps levels, or is the unrestricted tree distance (``unrestricted``), the one of published scores: there a row may
+    also move between sections, so that a missing ``thead`` costs one node.
+
     An empty or unusable side scores 0.  A pair without any node has no score and the flag
     ``no_nodes``.  Each pair is one row; nothing is shuffled here.
     """
@@ -181,12 +187,24 @@ def score_tables(
             table_distance(s["t"], s["p"], cell_tags, structure_only)
         ),
     )
+    if unrestricted:
+        both = both.withColumn("_differ", usable & ~F.col("_same") & (F.col("t_sections") != F.col("p_sections")))
+        codes = bind(
+            _tag_codes(F.col("t_sections"), F.col("p_sections")),
+            lambda c: F.struct(
+                _weighted(F.col("t_sections"), c, cell_tags, structure_only).alias("t"),
+                _weighted(F.col("p_sections"), c, cell_tags, structure_only).alias("p"),
+            ),
+        )
+        both = both.withColumn("_coded", F.when(F.col("_differ"), codes))
+        both = both.withColumn("_tree", tree_distance(F.col("_coded.t"), F.col("_coded.p"))).drop("_coded")
+        distance = F.when(F.col("_differ"), F.col("_tree")).otherwise(F.lit(0.0))
     out = both.withColumn("distance", F.when(usable, distance))
     nodes = F.greatest("n_true", "n_pred")
     score = F.when(~usable, F.lit(0.0)).when(nodes > 0, F.lit(1.0) - F.col("distance") / nodes)
     flag = F.when(~usable, F.concat_ws("/", "t_status", "p_status")).when(nodes == 0, "no_nodes").otherwise("ok")
     return out.withColumn("score", score).withColumn("flag", flag).drop(
-        "t_sections", "p_sections", "t_status", "p_status", "_same", "_other", "_status", "_nodes"
+        "t_sections", "p_sections", "t_status", "p_status", "_same", "_other", "_status", "_nodes", "_differ", "_tree"
     )
 
 

@@ -1,5 +1,7 @@
 """Nothing is lost or changed without a word: nulls, copies, line ends, repeated keys, many annotations."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from gridweft.operators import text_scores as X
 from gridweft.operators.overlap import overlap_pairs
 from gridweft.sources import readers as RD
 from gridweft.sources import writers as WR
+from tests import test_tables as tables
+from gridweft.operators.table_similarity import score_tables
 
 
 @pytest.fixture(scope="module")
@@ -130,3 +134,24 @@ def test_touching_boxes_with_one_around_all(spark):
     want = {(i, i) for i in (*range(60), 1000)} | {(i, 1000) for i in range(60)} | {(1000, i) for i in range(60)}
     got = [(r.a, r.b) for r in overlap_pairs(left, right).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_tree_distance_moves_section_borders(spark):
+    head, body = "<tr><td>a</td><td>b</td></tr>", "<tr><td>c</td><td>d</td></tr>" * 6
+    doc = "<html><body><table>{}</table></body></html>".format
+    true = doc(f"<thead>{head}</thead><tbody>{body}</tbody>")
+    preds = [doc(f"<tbody>{head}{body}</tbody>"), doc(head + body), true, ""]
+    frame = spark.createDataFrame([(n, true, p) for n, p in enumerate(preds)], "n int, true_html string, pred_html string")
+    rows = score_tables(frame, unrestricted=True).orderBy("n").collect()
+    assert [r.score for r in rows[:2]] == [pytest.approx(20 / 23), pytest.approx(21 / 23)]
+    assert (rows[2].score, rows[3].score) == (1.0, 0.0)
+
+
+def test_tree_distance_equals_brute_force(spark):
+    rng = random.Random(11)
+    pairs = [(tables.random_table(rng), tables.random_table(rng)) for _ in range(60)]
+    frame = spark.createDataFrame(
+        [(i, tables.as_html(a), tables.as_html(b)) for i, (a, b) in enumerate(pairs)], "i int, true_html string, pred_html string"
+    )
+    got = {r.i: r.distance for r in score_tables(frame, unrestricted=True).collect()}
+    assert got == {i: pytest.approx(tables.tree_distance(tables.as_forest(a), tables.as_forest(b))) for i, (a, b) in enumerate(pairs)}
