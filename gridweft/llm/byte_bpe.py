@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import functools
 import os
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PIECES_KEPT = 400_000
+PIECES_KEPT = 600_000
 """Pieces a task remembers; beyond that the table starts anew.  It changes speed and memory only."""
 
 
@@ -38,6 +40,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def view(values: array) -> np.ndarray:
+    """The array's memory as it is; it must be gone before the array grows again."""
+    return np.frombuffer(values, np.dtype(values.typecode)) if values else np.zeros(0, np.int64)
+
+
+def portions(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in order, about a million characters at a time, so that memory does not depend on the size of batches."""
+    some, size = [], 0
+    for value in texts:
+        some.append(value.as_py() or "")
+        size += len(some[-1])
+        if size >= 1 << 20:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 class ByteBpe:
     """A vocabulary with the library's encoder, the piece table, and the bytes of every id in one array."""
 
@@ -58,7 +78,7 @@ class ByteBpe:
         self.library = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.forget()
         # decoding: every id's characters are turned back by the reversed byte table and laid end to end
         byte_of = {c: b for b, c in enumerate(chars)}
         tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
@@ -68,22 +88,43 @@ class ByteBpe:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
+    def forget(self) -> None:
+        """Start the table of pieces anew: the number of each piece, and the ids of all pieces end to end."""
+        self.number: dict[str, int] = {}
+        self.pool, self.firsts, self.sizes = array("i"), array("q"), array("q")
+
+    def _learn(self, pieces: list[str]) -> None:
+        for start in range(0, len(pieces), 10_000):
+            part = pieces[start : start + 10_000]
+            for piece, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                ids = found.ids
+                self.number[piece] = len(self.number)
+                self.firsts.append(len(self.pool))
+                self.sizes.append(len(ids))
+                self.pool.extend(ids)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each text has."""
+        pieces: list[str] = []
+        bounds = [0]
+        for text in texts:
+            pieces += self.pieces(text)
+            bounds.append(len(pieces))
+        new = set(pieces) - self.number.keys()
+        if len(self.number) + len(new) > PIECES_KEPT and self.number:
+            self.forget()
+            new = set(pieces)
+        self._learn(list(new))
+        if not pieces:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        sizes = view(self.sizes)[numbers]
+        ends = np.cumsum(sizes)
+        first = np.repeat(view(self.firsts)[numbers] - (ends - sizes), sizes)
+        return view(self.pool)[first + np.arange(len(first))], np.diff(np.append(0, ends)[bounds])
+
     def encode(self, text: str) -> list[int]:
-        known = self.known
-        pieces = self.pieces(text)
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > PIECES_KEPT:
-                known.clear()
-                new = list(set(pieces))
-            for start in range(0, len(new), 10_000):
-                part = new[start : start + 10_000]
-                for piece, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                    known[piece] = found.ids
-        ids: list[int] = []
-        for piece in pieces:
-            ids += known[piece]
-        return ids
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths)):
@@ -105,14 +146,13 @@ def bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def _lists(parts: list, kind: pa.DataType) -> pa.Array:
-    """List values from one array (or null) per row."""
-    sizes = [0 if p is None else len(p) for p in parts]
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum(sizes, out=offsets[1:])
-    values = np.concatenate([np.asarray(p, np.int32) for p in parts if p is not None] or [np.zeros(0, np.int32)])
-    mask = pa.array([p is None for p in parts])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind), mask=mask)
+def _list_array(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
+
+
+def _lists(parts: list) -> pa.ListArray:
+    """List values from one array per row."""
+    return _list_array(np.concatenate([*parts, np.zeros(0, np.int32)]), np.fromiter(map(len, parts), np.int64, len(parts)))
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:
@@ -121,7 +161,9 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         tokens = bpe(path, pattern)
-        return _lists([tokens.encode(t.as_py() or "") for t in texts], pa.int32())
+        parts = [tokens.encode_all(some) for some in portions(texts)]
+        none = np.zeros(0, np.int32)
+        return _list_array(np.concatenate([none, *(p[0] for p in parts)]), np.concatenate([none, *(p[1] for p in parts)]))
 
     return ids(text)
 
@@ -138,7 +180,7 @@ def encode_with_offsets(text: Column, path: str, pattern: str) -> Column:
             ids = np.array(tokens.encode(t), np.int64)
             for column, part in zip(columns, (ids, *tokens.character_spans(t, ids))):
                 column.append(part)
-        return pa.StructArray.from_arrays([_lists(c, pa.int32()) for c in columns], ["ids", "starts", "ends"])
+        return pa.StructArray.from_arrays([_lists(c) for c in columns], ["ids", "starts", "ends"])
 
     return spans(text)
 
