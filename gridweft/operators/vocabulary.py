@@ -16,6 +16,7 @@ STRUCTURE_SYMBOLS = (
 )
 MAX_SYMBOLS = 500
 MAX_LABEL = 75
+MODEL_WORDS = 1024
 
 
 def structure_tokens(markup: Column | str) -> Column:
@@ -53,6 +54,12 @@ def structure_alphabet(spark) -> DataFrame:
     return spark.createDataFrame([(s, i) for i, s in enumerate(STRUCTURE_SYMBOLS)], "token string, code int")
 
 
+def first_words(text: Column | str, limit: int = MODEL_WORDS) -> Column:
+    """The first ``limit`` words of a text, as a text model takes them, joined by single spaces."""
+    words = F.filter(F.split(F.col(text) if isinstance(text, str) else text, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
+    return F.array_join(F.slice(words, 1, limit), " ")
+
+
 def within_length(df: DataFrame, column: str, limit: int = MAX_LABEL) -> DataFrame:
     """Rows whose text has at most ``limit`` characters."""
     return df.filter(F.length(column) <= limit)

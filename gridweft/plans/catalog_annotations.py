@@ -304,10 +304,17 @@ def f12(spark, sf):
 
 
 @query("F12_cut_tokens", """
-SELECT doc_id, CAST(least(75, length(text)) AS INTEGER) AS n FROM documents""")
+SELECT doc_id, left(text, 75) AS cut FROM documents""")
 def f12_cut(spark, sf):
     chars = F.slice(F.filter(F.split("text", ""), lambda c: c != ""), 1, V.MAX_LABEL)
-    return D.table(spark, sf, "documents").select("doc_id", F.size(chars).alias("n"))
+    return D.table(spark, sf, "documents").select("doc_id", F.array_join(chars, "").alias("cut"))
+
+
+@query("F12_first_words", """
+SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> ''), 1, 1024), ' ') AS cut
+FROM documents""")
+def f12_words(spark, sf):
+    return D.table(spark, sf, "documents").select("doc_id", V.first_words("text").alias("cut"))
 
 
 @query("S15_truth_paths", """

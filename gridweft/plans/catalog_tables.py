@@ -241,6 +241,15 @@ def a4(spark, sf):
     return scored.select("file", F.round("score", 6).alias("teds_aligned"))
 
 
+@query("A4_tree_similarity", f"""
+WITH {LINES}, {ROWS}, {_DAMAGE}
+SELECT file, CASE WHEN k IN ({_MISSING}) THEN 0.0 ELSE round(1 - distance / greatest(n_true, n_pred), 6) END AS teds
+FROM damage""")
+def a4_tree(spark, sf):
+    scored = TS.score_tables(all_pairs(spark, sf), unrestricted=True)
+    return scored.select("file", F.round("score", 6).alias("teds"))
+
+
 @query("A4_table_similarity_th", f"""
 WITH {LINES}, {ROWS}, {_DAMAGE}
 SELECT file, CASE WHEN k IN ({_MISSING}) THEN 0.0 ELSE round(1 - distance / greatest(n_true, n_pred), 6) END AS teds_aligned

@@ -22,11 +22,7 @@ _S, _I, _L, _D = StringType(), IntegerType(), LongType(), DoubleType()
 ANNOTATION = _struct(
     iscrowd=_I, category_id=_I, bbox=ArrayType(_D), area=_D, segmentation=ArrayType(ArrayType(_D))
 )
-IMAGE_RECORD = _struct(file_name=_S, height=_I, width=_I, segm_file=_S, anno_info=ArrayType(ANNOTATION))
 ANNOTATION_LINE = _struct(file_name=_S, height=_I, width=_I, annotations=ArrayType(ANNOTATION))
-CHAR_LINE = _struct(
-    file_name=_S, text=_S, annotations=ArrayType(_struct(char_box=ArrayType(_D), char_text=_S))
-)
 COCO = _struct(
     images=ArrayType(_struct(id=_L, file_name=_S, height=_I, width=_I, segm_file=_S)),
     annotations=ArrayType(
