@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweft.functions import geometry as G
 from gridweft.operators.overlap import overlap_pairs, representatives
-from gridweft.session import materialize
+from gridweft.session import materialize, scratch_path
 
 
 def above_score(detections: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -181,7 +181,15 @@ def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5) -> DataFrame:
     edges = materialize(edges.select("image", "det_no", "by_no"), "nms-edges")
     # boxes without a better neighbour are kept at once; only the others take part in the rounds
     free = boxes.join(edges.select("image", "det_no"), ["image", "det_no"], "left_anti").select("image", "det_no")
-    kept, newest, left = [free], free, edges
+    spark, paths = detections.sparkSession, []
+
+    def kept(numbers: DataFrame) -> DataFrame:
+        # a folder for each round; all are read as one at the end, so plans do not grow with the rounds
+        paths.append(scratch_path(spark, "nms-kept"))
+        numbers.write.parquet(paths[-1])
+        return spark.read.schema(numbers.schema).parquet(paths[-1])
+
+    newest, left = kept(free), edges
     while True:
         hit = left.join(newest.withColumnRenamed("det_no", "by_no"), ["image", "by_no"], "left_semi")
         dropped = hit.select("image", "det_no").distinct()
@@ -193,11 +201,7 @@ def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5) -> DataFrame:
         if rest.isEmpty():
             break
         left = rest.filter("open").select("image", "det_no", "by_no")
-        newest = (
-            rest.groupBy("image", "det_no").agg(F.max("open").alias("open")).filter(~F.col("open")).select("image", "det_no")
-        )
-        kept.append(newest)
-    numbers = kept[0]
-    for more in kept[1:]:
-        numbers = numbers.unionByName(more)
+        settled = rest.groupBy("image", "det_no").agg(F.max("open").alias("open")).filter(~F.col("open"))
+        newest = kept(settled.select("image", "det_no"))
+    numbers = spark.read.schema(free.schema).parquet(*paths)
     return boxes.join(numbers, ["image", "det_no"], "left_semi").select("image", "det_no", "score")
