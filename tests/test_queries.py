@@ -14,7 +14,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 NAMES = (
     "A2_linearize", "A4_table_similarity", "F7_structure_only", "A7_bleu", "A8_rouge_n_turns", "A9_rouge_l", "J3_gold_by_table",
     "J9_fill_cells", "J10_match_boxes", "A14_detection_scores", "A16_entity_scores", "K2_score_map", "S6_coco", "S11_polygon_xml",
-    "U_3_mix_by_ratio",
+    "U_3_mix_by_ratio", "E2_summary_chain", "O5_suppress_overlaps", "A1_file_lists", "F12_first_words",
 )
 
 
