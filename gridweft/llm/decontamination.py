@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweft.llm import bit_filter
 from gridweft.session import materialize
 
 SEED = 5
@@ -111,30 +112,22 @@ def greedy_tiles(item: list[str], fragments: list[list[str]], least: int) -> lis
     return tiles
 
 
-def _item_tokens(benchmark: DataFrame) -> DataFrame:
-    @F.arrow_udf("array<string>")
-    def split(texts: pa.Array) -> pa.Array:
-        return pa.array([tokens(t.as_py() or "") for t in texts], pa.list_(pa.string()))
-
-    return benchmark.select("item_id", split("text").alias("words")).filter(F.size("words") > 0)
-
+def _lengths(words: int) -> tuple[int, int]:
+    """Seed and least tile for an item of so many tokens: short items are sought whole."""
+    return (SEED, LEAST_TILE) if words >= LEAST_TILE else (words, words)
 
-def _hashed(words: Column, size: int) -> Column:
-    @F.arrow_udf("array<bigint>")
-    def hashes(lists: pa.Array) -> pa.Array:
-        return pa.array([np.unique(seed_hashes(w.as_py(), size).view(np.int64)) for w in lists], pa.list_(pa.int64()))
 
-    return hashes(words)
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``item_id``, ``words``, ``size`` and the distinct ``seeds`` of each item with tokens."""
 
+    @F.arrow_udf("struct<words: array<string>, seeds: array<bigint>>")
+    def split(texts: pa.Array) -> pa.Array:
+        words = [tokens(t.as_py() or "") for t in texts]
+        seeds = [np.unique(seed_hashes(w, max(_lengths(len(w))[0], 1)).view(np.int64)) for w in words]
+        return pa.StructArray.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(seeds, pa.list_(pa.int64()))], ["words", "seeds"])
 
-def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """The bit filter over ``seed``: its words of 32 bits are made by an aggregate, and at most as many come to the driver."""
-    bits = seeds.select(F.pmod("seed", F.lit(FILTER_BITS)).alias("bit"))
-    words = bits.groupBy(F.expr("bit div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 32 as int)))").alias("bits"))
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    for batch in words.toArrow().to_batches():
-        table[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint32)
-    return table
+    found = materialize(benchmark.select("item_id", split("text").alias("t")), "benchmark-items")
+    return found.select("item_id", "t.*", F.size("t.words").alias("size")).filter("size > 0")
 
 
 _FRAGMENTS = "array<struct<at: int, words: array<string>>>"
@@ -142,20 +135,21 @@ _FRAGMENTS_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.list_(pa.
 
 
 def fragments(text: Column, spark_filter, size: int, least: int) -> Column:
-    """Stretches of at least ``least`` tokens whose runs of ``size`` tokens all pass the filter."""
+    """``found``: stretches of at least ``least`` tokens whose runs of ``size`` tokens all pass the filter; ``seeds``: their hashes."""
 
-    @F.arrow_udf(_FRAGMENTS)
+    @F.arrow_udf(f"struct<found: {_FRAGMENTS}, seeds: array<bigint>>")
     def cut(texts: pa.Array) -> pa.Array:
         table = spark_filter.value
-        rows = []
+        rows, seeds = [], []
         for value in texts:
             words = tokens(value.as_py() or "")
-            bits = (seed_hashes(words, size).view(np.int64) % FILTER_BITS).astype(np.int64)
-            hit = (table[bits >> 5] >> (bits & 31).astype(np.uint32)) & 1
+            hashes = seed_hashes(words, size).view(np.int64)
+            hit = bit_filter.passes(table, hashes)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            spans = ((int(a), int(b) + size - 1) for a, b in zip(edges[::2], edges[1::2]))
-            rows.append([{"at": a, "words": words[a:b]} for a, b in spans if b - a >= least])
-        return pa.array(rows, _FRAGMENTS_TYPE)
+            spans = [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2]) if b - a + size - 1 >= least]
+            rows.append([{"at": a, "words": words[a : b + size - 1]} for a, b in spans])
+            seeds.append(np.unique(np.concatenate([hashes[a:b] for a, b in spans])) if spans else [])
+        return pa.StructArray.from_arrays([pa.array(rows, _FRAGMENTS_TYPE), pa.array(seeds, pa.list_(pa.int64()))], ["found", "seeds"])
 
     return cut(text)
 
@@ -176,22 +170,21 @@ def _covered(words: Column, found: Column, least: int) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id``, ``item_id``, ``n_tiles``, ``n_covered``, ``n_tokens`` (of the item) and ``coverage`` of each pair at or above the
     threshold.  ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and ``text``; other columns are left alone."""
-    items = materialize(_item_tokens(benchmark).withColumn("size", F.size("words")), "benchmark-items")
+    items = _items(benchmark)
     parts = []
-    # shorter items get a seed and tile of their own length, so that they are found only whole
     for size, least, some in _classes(items):
-        seeds = materialize(some.select("item_id", F.explode(_hashed(F.col("words"), size)).alias("seed")), "benchmark-seeds")
-        filled = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))
-        cut = docs.select("doc_id", fragments(F.coalesce("text", F.lit("")), filled, size, least).alias("found"))
-        cut = materialize(cut.filter(F.size("found") > 0).withColumn("same", F.sha2(F.to_json("found"), 256)), "fragments")
-        kinds = cut.groupBy("same").agg(F.any_value("found").alias("found"))
-        hashed = kinds.select("same", F.explode("found.words").alias("words")).select(
-            "same", F.explode(_hashed(F.col("words"), size)).alias("seed")
-        )
-        pairs = hashed.distinct().join(seeds, "seed").groupBy("same", "item_id").agg(F.count("*").alias("shared"))
+        seeds = some.select("item_id", F.explode("seeds").alias("seed"))
+        filled = bit_filter.build(seeds.select("seed"), FILTER_BITS)
+        # written before anything is chosen from it, so that texts are cut once
+        cut = docs.select("doc_id", fragments(F.coalesce("text", F.lit("")), filled, size, least).alias("t"))
+        cut = materialize(cut.select("doc_id", "t.*"), "fragments").filter(F.size("found") > 0)
+        cut = cut.withColumn("same", F.sha2(F.to_json("found"), 256))
+        kinds = cut.groupBy("same").agg(F.any_value("found").alias("found"), F.any_value("seeds").alias("seeds"))
+        hashed = kinds.select("same", F.explode("seeds").alias("seed"))
+        pairs = hashed.join(seeds, "seed").groupBy("same", "item_id").agg(F.count("*").alias("shared"))
         # tiles cover at most the shared seeds and the tokens that follow them
         joined = pairs.join(some, "item_id").filter((F.col("shared") * size) >= F.col("size") * coverage).join(kinds, "same")
-        tiled = joined.select("same", "item_id", "size", _covered(F.col("words"), F.col("found"), least).alias("t"))
+        tiled = materialize(joined.select("same", "item_id", "size", _covered(F.col("words"), F.col("found"), least).alias("t")), "tiles")
         tiled = tiled.filter(F.col("t.covered") >= F.col("size") * coverage)
         parts.append(cut.select("doc_id", "same").join(tiled, "same"))
     result = parts[0]
@@ -208,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
 
 def _classes(items: DataFrame) -> list[tuple[int, int, DataFrame]]:
-    """Seed size, least tile and items: the usual ones, and one class for each smaller length that occurs."""
-    short = sorted(r["size"] for r in items.filter(F.col("size") < LEAST_TILE).select("size").distinct().collect())  # below LEAST_TILE rows
-    usual = [(SEED, LEAST_TILE, items.filter(F.col("size") >= LEAST_TILE))]
-    return usual + [(n, n, items.filter(F.col("size") == n)) for n in short]
+    """Seed, least tile and items: the usual ones, and one class for each smaller length that occurs (below ``LEAST_TILE`` of them)."""
+    short = sorted(r["size"] for r in items.filter(F.col("size") < LEAST_TILE).select("size").distinct().collect())
+    usual = (*_lengths(LEAST_TILE), items.filter(F.col("size") >= LEAST_TILE))
+    return [usual, *((*_lengths(n), items.filter(F.col("size") == n)) for n in short)]
