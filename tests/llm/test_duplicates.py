@@ -69,9 +69,12 @@ def bytes_by_hand(rows, length=S.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("per_shard", [4096, 2])
-def test_repeated_bytes_equal_brute_force(docs_of, monkeypatch, per_shard):
-    monkeypatch.setattr(S, "STRETCHES_PER_SHARD", per_shard)
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeated_bytes_equal_brute_force(spark, docs_of, monkeypatch, hot):
+    if hot:  # as if every gram were in very many stretches
+        full = spark.sparkContext.broadcast(np.full(4, 0xFFFFFFFF, np.uint32))
+        build = S.bit_filter.build
+        monkeypatch.setattr(S.bit_filter, "build", lambda h: full if h.columns == ["gram"] else build(h))
     rng = random.Random(2)
     common = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 260))) for _ in range(6)]
     rows = []
