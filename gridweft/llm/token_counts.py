@@ -17,7 +17,6 @@ import functools
 import json
 import re
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +24,9 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridweft.llm.byte_bpe import _lists, byte_characters
+from gridweft.llm.byte_bpe import _lists, byte_characters, portions, view
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
 """Words a task remembers; beyond that the table starts anew.  It changes speed and memory only."""
 
 END = "</w>"
@@ -35,24 +34,6 @@ END = "</w>"
 _UNEVEN = re.compile("[^\\x00-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u203a\\u20ac]")
 
 
-def _view(values: array) -> np.ndarray:
-    """The array's memory as it is; it must be gone before the array grows again."""
-    return np.frombuffer(values, np.dtype(values.typecode))
-
-
-def _portions(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts in order, about a million characters at a time, so that memory does not depend on the size of batches."""
-    some, size = [], 0
-    for value in texts:
-        some.append(value.as_py() or "")
-        size += len(some[-1])
-        if size >= 1 << 20:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 class PrefixCounter:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -81,10 +62,9 @@ class PrefixCounter:
 
     def _reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.pool = array("i")
-        self.starts = array("q")
-        self.lengths = array("q")
-        self.totals = array("q")
+        self.names: list[str] = []
+        self.lengths, self.totals = array("q"), array("q")
+        self.full: dict[int, np.ndarray] = {}
         self.apart.clear()
 
     def _symbols(self, text: str, closes: bool) -> list[str]:
@@ -131,8 +111,8 @@ class PrefixCounter:
             known = self.apart[key] = self._never_joined(left, right + END if closes else right, 1 << 30)
         return known
 
-    def word_table(self, word: str) -> list[int]:
-        """Tokens of each prefix of a word, by its characters."""
+    def word_table(self, word: str, every: bool = True) -> list[int]:
+        """Tokens of each prefix of a word, by its characters; of the whole word alone if not ``every``."""
         raw = word.encode("utf-8", "surrogatepass")
         text = "".join(map(self.spell.__getitem__, raw))
         size = len(text)
@@ -144,7 +124,7 @@ class PrefixCounter:
             begin = max(begin, low)
             # exactly one suffix is right, so the order is free: first the last token made longer, then shorter ones
             starts = (*range(begin, i), *range(begin - 1, low - 1, -1))
-            if i == size or raw[i] & 0xC0 != 0x80:  # a character ends here
+            if i == size or every and raw[i] & 0xC0 != 0x80:  # a character ends here
                 for start in starts:
                     if text[start:i] in ends and (not start or apart(last[start], text[start:i], True)):
                         counts.append(count[start] + 1)
@@ -165,13 +145,13 @@ class PrefixCounter:
                     begin = i - len(parts[-1])
         return counts
 
-    def _piece_table(self, piece: str) -> list[int]:
+    def _piece_table(self, piece: str, every: bool = True) -> list[int]:
         if self.blank(piece):
             return [0] * len(piece)
-        if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
+        if every and piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
             # an ending such as 're is a word of its own only when complete; before that it is a mark and letters
-            return [*range(1, len(piece)), self.word_table(piece)[-1]]
-        return self.word_table(piece)
+            return [*range(1, len(piece)), self.word_table(piece, False)[-1]]
+        return self.word_table(piece, every)
 
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts, and where the pieces of each text begin."""
@@ -180,27 +160,42 @@ class PrefixCounter:
         for text in texts:
             pieces += self.pieces(self.normalize(text) if _UNEVEN.search(text) else text.lower())
             bounds.append(len(pieces))
-        number = self.number
-        new = set(pieces) - number.keys()
-        if new:
-            if len(number) + len(new) > WORDS_KEPT:
-                self._reset()
-                number, new = self.number, set(pieces)
-            for piece in new:
-                table = self._piece_table(piece)
-                number[piece] = len(number)
-                self.starts.append(len(self.pool))
-                self.pool.extend(table)
-                self.lengths.append(len(table))
-                self.totals.append(table[-1])
-        return np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces)), np.array(bounds)
+        new = set(pieces) - self.number.keys()
+        if new and len(self.number) + len(new) > WORDS_KEPT:
+            self._reset()
+            new = set(pieces)
+        for piece in new:
+            self.number[piece] = len(self.names)
+            self.names.append(piece)
+            self.lengths.append(len(piece))
+            self.totals.append(self._piece_table(piece, False)[-1])
+        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces)), np.array(bounds)
+
+    def _table_of(self, number: int) -> np.ndarray:
+        table = self.full.get(number)
+        if table is None:
+            table = self.full[number] = np.array(self._piece_table(self.names[number]), np.int32)
+        return table
 
     def _tables(self, numbers: np.ndarray) -> np.ndarray:
         """The table over a row of pieces."""
-        lengths, each = _view(self.lengths)[numbers], _view(self.totals)[numbers]
-        first = np.repeat(_view(self.starts)[numbers] - (np.cumsum(lengths) - lengths), lengths)
-        before = np.repeat(np.cumsum(each) - each, lengths)
-        return (_view(self.pool)[first + np.arange(len(first))] + before).astype(np.int32)
+        each = view(self.totals)[numbers]
+        before = np.repeat(np.cumsum(each) - each, view(self.lengths)[numbers]).astype(np.int32)
+        return np.concatenate([np.zeros(0, np.int32), *map(self._table_of, numbers.tolist())]) + before
+
+    def _fit(self, numbers: np.ndarray, budget: int) -> int:
+        """Characters of the longest prefix within the budget.
+
+        Counts only grow from piece to piece, so the prefix ends in the last piece that starts within the budget, or, if not even
+        its first character fits, in one before it.
+        """
+        each, lengths = view(self.totals)[numbers], view(self.lengths)[numbers]
+        before, at = np.cumsum(each) - each, np.cumsum(lengths) - lengths
+        for k in range(int(np.searchsorted(before, budget, side="right")) - 1, -1, -1):
+            within = np.flatnonzero(self._table_of(int(numbers[k])) + before[k] <= budget)
+            if len(within):
+                return int(at[k] + within[-1]) + 1
+        return 0
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         numbers, bounds = self._numbers(texts)
@@ -228,13 +223,13 @@ class PrefixCounter:
         plain = [i for i, m in enumerate(marked) if not m]
         tables = {i: self.table(texts[i]) for i, m in enumerate(marked) if m}
         numbers, bounds = self._numbers([texts[i] for i in plain])
-        sums = np.append(0, np.cumsum(_view(self.totals)[numbers]))[bounds]
-        sizes = np.append(0, np.cumsum(_view(self.lengths)[numbers]))[bounds]
+        sums = np.append(0, np.cumsum(view(self.totals)[numbers]))[bounds]
+        sizes = np.append(0, np.cumsum(view(self.lengths)[numbers]))[bounds]
         totals, fits = [0] * len(texts), [0] * len(texts)
         for k, i in enumerate(plain):
             totals[i], fits[i] = int(sums[k + 1] - sums[k]), int(sizes[k + 1] - sizes[k])
             if totals[i] > budget:
-                tables[i] = self._tables(numbers[bounds[k] : bounds[k + 1]])
+                fits[i] = self._fit(numbers[bounds[k] : bounds[k + 1]], budget)
         for i, table in tables.items():
             within = np.flatnonzero(table <= budget)
             totals[i], fits[i] = int(table[-1]), int(within[-1]) + 1 if len(within) else 0
@@ -252,7 +247,7 @@ def prefix_counts(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def tables(texts: pa.Array) -> pa.Array:
         count = counter(path)
-        return _lists([count.table(t.as_py() or "") for t in texts], pa.int32())
+        return _lists([count.table(t.as_py() or "") for t in texts])
 
     return tables(text)
 
@@ -270,15 +265,16 @@ def longest_prefix(table: Column, budget: Column) -> Column:
 
 
 def token_report(text: Column, path: str, budget: int) -> Column:
-    """``n_tokens`` and ``fits`` (characters of the longest prefix within the budget), read from the table of each text.
+    """``n_tokens`` and ``fits`` (characters of the longest prefix within the budget) of each text, for those who want the answers only.
 
-    The table itself stays in the task: this is what to use where only the answers are wanted.
+    The tables stay in the task, and of most words only the last cell is filled: the sum of these is the count of the text, and the
+    budget ends in one word, whose table is then filled.
     """
 
     @F.arrow_udf("struct<n_tokens: bigint, fits: bigint>")
     def report(texts: pa.Array) -> pa.Array:
         count, totals, fits = counter(path), [], []
-        for some in _portions(texts):
+        for some in portions(texts):
             for all_of, part in zip((totals, fits), count.report(some, budget)):
                 all_of += part
         return pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(fits, pa.int64())], ["n_tokens", "fits"])
