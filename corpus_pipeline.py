@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import byte_bpe, decontamination, line_dedup, quality_model, queries, simhash
+from gridweft.llm import byte_bpe, decontamination, line_dedup, near_copies, quality_model, queries
 from gridweft.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,9 +33,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies (0.8 of their five-word shingles in common)."""
     docs = docs.select(*COLUMNS)
-    copies = simhash.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    copies = near_copies.near_copies(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 

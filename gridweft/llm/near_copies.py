@@ -1,0 +1,215 @@
+"""Near copies by word shingles: wide simhash for candidates, exact Jaccard similarity for links, connected groups.
+
+The shingles of a text are its distinct runs of five words.  Two texts are linked when at least 0.8 of all their shingles are
+shared.  Texts with equal shingles are one node.
+
+A node has a fingerprint of 128 bits, each the majority over its shingles.  At similarity 0.8 fingerprints differ in about 20 bits
+(24 for texts of five shingles), with a deviation of 4 to 5, and those of unrelated texts in 64 with one of 6; so pairs within
+``RADIUS`` bits are candidates.  Linked texts have numbers of shingles within 0.8 of one another, so nodes are put in classes by the
+logarithm of that number, and a class meets itself and the next one.  Classes are cut in tiles of bounded size, and every pair of
+tiles is compared with exclusive-or and bit counts.  The candidates of a pair of tiles form groups, whose texts are brought together and
+compared exactly; a group is no larger than its tiles.
+
+Ids are longs; rows without an id are left out.  Null and empty texts have no shingles and are copies of one another.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gridweft.llm import bit_filter
+from gridweft.llm.components import components
+from gridweft.session import materialize
+
+SHINGLE = 5
+SIMILARITY = (8, 10)
+RADIUS = 40
+TILE = 2048
+TILE_SHINGLES = 2_000_000
+LEAST = 4  # with fewer shingles only equal sets are similar enough
+CLASS_RATIO = 1.26  # more than 1 / 0.8, so that rounding cannot part a pair by two classes
+
+_PAIR = ("left_class", "left_part", "right_class", "right_part")
+
+
+def shingle_hashes(text: str) -> np.ndarray:
+    """Two words of hash for each distinct shingle, ordered by the first."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII spaces part
+    if not words:
+        return np.zeros((0, 2), "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    line = b" ".join(words)
+    size = min(SHINGLE, len(words))
+    digest = xxhash.xxh3_128_digest
+    bounds = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())
+    hashes = np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in bounds]), "<u8").reshape(-1, 2)
+    return hashes[np.unique(hashes[:, 0], return_index=True)[1]]
+
+
+def sketch_of(text: str) -> tuple[int, int, int, int]:
+    """Hash of the set of shingles, their number, and the two halves of the fingerprint."""
+    hashes = shingle_hashes(text)
+    ones = np.zeros(128, np.int64)
+    for start in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[start : start + (1 << 16)])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    halves = np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+    node = np.array([xxhash.xxh3_64_intdigest(np.ascontiguousarray(hashes[:, 0]).tobytes())], np.uint64).view(np.int64)
+    return int(node[0]), len(hashes), int(halves[0]), int(halves[1])
+
+
+def sketch(text: Column) -> Column:
+    names = ("node", "n", "high", "low")
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
+    def sketches(texts: pa.Array) -> pa.Array:
+        columns = list(zip(*(sketch_of(t.as_py() or "") for t in texts))) or [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))
+
+    return sketches(text)
+
+
+def similar(shared: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return SIMILARITY[1] * shared >= SIMILARITY[0] * (one + other - shared)
+
+
+def _labels(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each row is connected to by the links ``a``, ``b``."""
+    label = np.arange(size)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        if (label[a] == low).all() and (label[b] == low).all():
+            break
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        open_links = label[a] != label[b]
+        a, b = a[open_links], b[open_links]
+    return label
+
+
+def candidate_groups(left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes that have a candidate, and a node that names their group.  Rows are node, number of shingles and two halves; without
+    ``right``, a tile is compared with itself."""
+    rows = left if right is None else np.concatenate([left, right])
+    order = np.argsort(rows[:, 1], kind="stable")
+    rows, from_right = rows[order], order >= len(left)
+    one = np.flatnonzero(~from_right)
+    other = one if right is None else np.flatnonzero(from_right)
+    sizes, high, low = rows[other, 1], rows[other, 2].view(np.uint64), rows[other, 3].view(np.uint64)
+    label = np.arange(len(rows))
+    for i in one:
+        n = int(rows[i, 1])
+        a = int(np.searchsorted(sizes, -(-SIMILARITY[0] * n // SIMILARITY[1])))
+        b = int(np.searchsorted(sizes, n * SIMILARITY[1] // SIMILARITY[0], "right"))
+        x, y = rows[i, 2:].view(np.uint64)
+        near = np.bitwise_count(high[a:b] ^ x) + np.bitwise_count(low[a:b] ^ y) <= RADIUS
+        met = other[a:b][near]
+        if len(met) > (right is None):  # more than itself
+            roots = label[np.append(met, i)]
+            least = roots.min()
+            if (roots != least).any():
+                label[np.isin(label, np.unique(roots))] = least
+    grouped = np.flatnonzero(np.bincount(label, minlength=len(rows))[label] > 1)
+    return rows[grouped, 0], rows[label[grouped], 0]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            pair = [batch.column(name)[k].as_py() for name in _PAIR]
+            tiles = [
+                np.stack([batch.column(side)[k].values.field(n).to_numpy(zero_copy_only=False) for n in ("node", "n", "high", "low")], axis=1)
+                for side in ("left_tile", "right_tile")
+            ]
+            node, group = candidate_groups(tiles[0], None if pair[:2] == pair[2:] else tiles[1])
+            keys = [pa.array(np.full(len(node), v, np.int32)) for v in pair]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(group), pa.array(node)], [*_PAIR, "group", "node"])
+
+
+def exact_links(nodes: list[int], texts: list[str]) -> tuple[list[int], list[int]]:
+    """Links that join each node to the first of those that it is connected to by similar texts."""
+    sets = [shingle_hashes(t)[:, 0] for t in texts]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.append(0, np.cumsum(sizes)[:-1])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    present = np.zeros(len(code), bool)
+    label = np.full(len(sets), -1)
+    for root in range(len(sets)):
+        if label[root] >= 0:
+            continue
+        label[root], queue = root, [root]
+        while queue:
+            i = queue.pop()
+            own = code[starts[i] : starts[i] + sizes[i]]
+            present[own] = True
+            shared = np.bincount(owner[present[code]], minlength=len(sets))
+            present[own] = False
+            met = np.flatnonzero(similar(shared, sizes, sizes[i]) & (label < 0))
+            label[met] = root
+            queue += met.tolist()
+    moved = np.flatnonzero(label != np.arange(len(sets)))
+    return [nodes[i] for i in moved], [nodes[label[i]] for i in moved]
+
+
+def _verify(table: pa.Table) -> pa.Table:
+    texts = dict(zip(table.column("node").to_pylist(), table.column("text").to_pylist()))  # rows that repeat a document fall together
+    nodes = sorted(texts)
+    a, b = exact_links(nodes, [texts[n] or "" for n in nodes])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` that connect the nodes as all pairs of similar texts do.  ``docs`` has ``doc_id``, ``version``, ``text``."""
+    classed = nodes.filter(F.col("n") >= LEAST).withColumn("class", F.floor(F.log("n") / float(np.log(CLASS_RATIO))).cast("int"))
+    # a row a class; their number follows the logarithm of the longest text
+    sizes = {r["class"]: max(-(-r.k // TILE), -(-r.total // TILE_SHINGLES)) for r in classed.groupBy("class").agg(F.count("*").alias("k"), F.sum("n").alias("total")).collect()}
+    parts = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)) if sizes else F.create_map(F.lit(0), F.lit(1))
+    tiled = classed.withColumn("part", F.pmod(F.xxhash64("node"), F.element_at(parts, F.col("class"))).cast("int"))
+    tiles = materialize(
+        tiled.groupBy("class", "part").agg(F.collect_list(F.struct("node", "n", "high", "low")).alias("tile")), "near-copy-tiles"
+    )
+    here, after = F.element_at(parts, F.col("class")), F.try_element_at(parts, F.col("class") + 1)
+    partners = F.concat(
+        F.transform(F.sequence(F.col("part"), here.cast("int") - 1), lambda q: F.struct(F.col("class").alias("c"), q.alias("q"))),
+        F.when(after.isNull(), F.array().cast("array<struct<c: int, q: int>>")).otherwise(
+            F.transform(F.sequence(F.lit(0), after.cast("int") - 1), lambda q: F.struct((F.col("class") + 1).alias("c"), q.alias("q")))
+        ),
+    )
+    pairs = tiles.select(F.col("class").alias("left_class"), F.col("part").alias("left_part"), F.col("tile").alias("left_tile"), F.explode(partners).alias("r"))
+    right = tiles.select(F.col("class").alias("right_class"), F.col("part").alias("right_part"), F.col("tile").alias("right_tile"))
+    met = pairs.select(F.col("r.c").alias("right_class"), F.col("r.q").alias("right_part"), "left_class", "left_part", "left_tile").join(
+        right, ["right_class", "right_part"]
+    )
+    schema = ", ".join(f"{k} int" for k in _PAIR) + ", group bigint, node bigint"
+    found = materialize(met.mapInArrow(_compare, schema), "near-copy-candidates")
+    # the texts of candidates only
+    named = materialize(found.join(nodes.select("node", "first.*"), "node"), "near-copy-groups")
+    wanted = bit_filter.build(named.select(F.xxhash64("doc_id", "version").alias("h")))
+    held = docs.filter(bit_filter.may_hold(wanted, F.xxhash64("doc_id", "version")))
+    gathered = named.join(held, ["doc_id", "version"]).select(*_PAIR, "group", "node", "text")
+    return gathered.groupBy(*_PAIR, "group").applyInArrow(_verify, "a bigint, b bigint")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``component_id``, the smallest id of the documents that are connected; ``docs`` has ``doc_id`` and ``text``."""
+    docs = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
+    printed = docs.select("doc_id", "version", sketch(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "version", "s.*")
+    printed = materialize(printed, "near-copy-sketches")
+    nodes = printed.groupBy("node").agg(
+        F.min(F.struct("doc_id", "version")).alias("first"), *(F.min(c).alias(c) for c in ("n", "high", "low"))
+    )
+    nodes = materialize(nodes, "near-copy-nodes")
+    groups = components(links(docs, nodes), "near-copies")
+    labelled = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first.doc_id")
+    smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = labelled.join(smallest, "component").select("node", "component_id")
+    return printed.join(named, "node").select("doc_id", "component_id")

@@ -1,0 +1,48 @@
+import random
+
+import corpus_pipeline as P
+from gridweft.llm import near_copies as N
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    size = min(5, len(words))
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if words else set()
+
+
+def kept_by_hand(rows):
+    """Ids that are the smallest of their group, by exact similarity of all pairs."""
+    sets = {i: shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return {i for i in sets if label[i] == i}
+
+
+def copies(rng, groups):
+    rows = []
+    for _ in range(groups):
+        words = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(900)) for _ in range(rng.choice((5, 8, 9, 24, 60, 300)))]
+        for k in range(4):
+            text = list(words)
+            for _ in range(k * len(words) // 60):
+                text[rng.randrange(len(text))] = "changed" + str(rng.randrange(9))
+            rows.append((len(rows), " ".join(text[: len(text) - (k == 2)])))
+    return rows
+
+
+def test_near_copy_stage_equals_similarity_of_all_pairs(spark, docs_of, monkeypatch):
+    rows = copies(random.Random(6), 40)
+    want = kept_by_hand(rows)
+    assert 40 <= len(want) < 130
+    for tile in (N.TILE, 7):
+        monkeypatch.setattr(N, "TILE", tile)
+        assert {r.doc_id for r in P.drop_near_copies(spark, docs_of(rows), "").collect()} == want
+
+
+def test_near_copies_of_odd_rows(odd):
+    got = {r.doc_id: r.component_id for r in N.near_copies(odd).collect()}
+    assert got[1] == got[2] == got[3] == 1 and got[4] == got[6] == 4 and got[5] == 5 and None not in got
+    assert N.near_copies(odd.limit(0)).collect() == []
