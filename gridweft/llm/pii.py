@@ -90,7 +90,11 @@ INVISIBLE = "­​‌‍⁠﻿"
 # Digits as words.
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+ARTICLES = ("un",)  # digits only beside other digit words
 
 
 def plain_character(c: str) -> str:
@@ -108,24 +112,31 @@ def plain_character(c: str) -> str:
 
 
 _BEYOND = re.compile("[^\\x00-\\xac\\xae-\\u012f]")
-_WORDS = "|".join(DIGIT_WORDS)
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+_ALONE = "|".join(w for w in DIGIT_WORDS if w not in ARTICLES)
 _SPELLED = re.compile(
-    rf"(?<![A-Za-z])(?:(?:{_WORDS})(?:[ ,-]{{1,2}}(?:{_WORDS}))+|(?<=[0-9][ .-])(?:{_WORDS})|(?:{_WORDS})(?=[ .-][0-9]))(?![A-Za-z])",
+    rf"(?<![{_LETTER}])(?:(?:{_WORDS})(?:[ ,-]{{1,2}}(?:{_WORDS}))+|(?<=[0-9][ .-])(?:{_ALONE})|(?:{_ALONE})(?=[ .-][0-9]))(?![{_LETTER}])",
     re.IGNORECASE,
 )
 _WORD = re.compile(_WORDS, re.IGNORECASE)
 _PLUS = re.compile(r"(?<![A-Za-z0-9])plus[ ]?(?=[0-9])", re.IGNORECASE)
 _BRACKETED_AT = re.compile(r"[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?", re.IGNORECASE)
 _BRACKETED_DOT = re.compile(r"[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?", re.IGNORECASE)
-# Ends of host names after which "at" and "dot" are read as signs; elsewhere they are words.
+# Ends of host names after which "at" is read as a sign where no dot is spoken.
 HOST_ENDS = "com org net edu gov info io co uk de fr es it nl eu ch at us ca au".split()
+# Words before "dot" that make it a word of its own, as in "look at the dot on".
+DETERMINERS = "the a an this that these those every each any some one which his her its my your our their".split()
+_SPOKEN = r"(?: dot |[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?)"
+_LABEL = "[A-Za-z0-9-]{1,63}"
+_LABELS = rf"{_LABEL}(?:(?:{_SPOKEN}|\.){_LABEL}){{0,4}}"
 _SAID_AT = re.compile(
-    r"(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,4}(?: dot |\.)(?:"
-    + "|".join(HOST_ENDS)
-    + r")(?![A-Za-z0-9]))",
+    rf"(?<=[A-Za-z0-9]) at (?={_LABELS}(?:{_SPOKEN}|\.)(?:{'|'.join(HOST_ENDS)})(?![A-Za-z0-9])"
+    rf"|(?!(?:{'|'.join(DETERMINERS)}) dot ){_LABELS}{_SPOKEN}[A-Za-z]{{2,63}}(?![A-Za-z0-9-]))",
     re.IGNORECASE,
 )
 _SAID_DOT = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.IGNORECASE)
+_REST_OF_LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9._%+-]{1,64}){0,4}@", re.IGNORECASE)
 
 Traced = tuple[str, np.ndarray, np.ndarray]
 
@@ -154,8 +165,8 @@ def normalize(text: str) -> Traced:
         (_SPELLED, lambda m: "".join(DIGIT_WORDS[w.group().lower()] for w in _WORD.finditer(m.group()))),
         (_PLUS, lambda m: "+"),
         (_BRACKETED_AT, lambda m: "@"),
-        (_BRACKETED_DOT, lambda m: "."),
         (_SAID_AT, lambda m: "@"),
+        (_BRACKETED_DOT, lambda m: "."),
     ):
         traced = rewrite(traced, pattern, output)
     # a spoken dot counts only beside a sign or digit that an address has; elsewhere it is a word
@@ -165,7 +176,9 @@ def normalize(text: str) -> Traced:
 def _in_address(m: re.Match) -> bool:
     text, a, b = m.string, m.start(), m.end()
     before = text[max(0, a - 64) : a].rpartition(" ")[2]
-    return "@" in before or before.isdigit() and text[b].isdigit() or " dot " in text[max(0, a - 40) : a].lower() and "@" in text[max(0, a - 128) : a]
+    if "@" in before or before.isdigit() and text[b].isdigit() or " dot " in text[max(0, a - 40) : a].lower() and "@" in text[max(0, a - 128) : a]:
+        return True
+    return before.lower() not in DETERMINERS and _REST_OF_LOCAL.match(text, b) is not None
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
