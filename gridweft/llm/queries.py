@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import byte_bpe, chat_format, compression_rules, decontamination, line_dedup, pii, quality_model, simhash, suffix_dedup, token_counts
+from gridweft.llm import byte_bpe, chat_format, compression_rules, decontamination, filter_audit, line_dedup, pii, quality_model
+from gridweft.llm import sentence_pieces, simhash, spelling, suffix_dedup, token_counts
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 TOKEN_LIMIT = 2048
 
 
@@ -173,6 +175,69 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path(PIECE_VOCABULARY)
+    encoded = docs.select("doc_id", sentence_pieces.encode(text_of(docs), path, end=True).alias("e"))
+    both = encoded.select("doc_id", "e.*", sentence_pieces.decode(F.col("e.ids"), path).alias("decoded"))
+    # bytes of the source that pieces stand for: spans are in order and do not overlap
+    spanned = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda n, size: n + size)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        spanned.alias("n_spanned"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+counted AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+         length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')) AS capitals, min(doc_id) OVER (PARTITION BY t) AS least FROM texts),
+failed AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * capitals > 2 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask FROM counted),
+known AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS bad
+  FROM failed LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(name, bit)),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order,
+         [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f AS a, f AS b, f AS c, f AS d, f AS e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+  FROM orders, generate_series(1, 5) AS s(step)),
+counts AS (
+  SELECT part, filter_order, step, bit,
+         sum(n) FILTER (WHERE mask & (before | bit) = 0) AS kept,
+         sum(n) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS removed,
+         sum(n) FILTER (WHERE mask & bit > 0 AND mask & before > 0) AS redundant,
+         sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+         sum(good) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS good_lost,
+         sum(bad) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM counts
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -184,8 +249,12 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_chat_format": op9_chat_format,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op9_chat_format": OP9_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
