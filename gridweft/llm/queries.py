@@ -178,16 +178,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = public_tokenizers.path(PIECE_VOCABULARY)
-    encoded = docs.select("doc_id", sentence_pieces.encode(text_of(docs), path, end=True).alias("e"))
-    both = encoded.select("doc_id", "e.*", sentence_pieces.decode(F.col("e.ids"), path).alias("decoded"))
-    # bytes of the source that pieces stand for: spans are in order and do not overlap
-    spanned = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda n, size: n + size)
-    return both.select(
+    encoded = sentence_pieces.encode(docs.select("doc_id", "text"), path, end=True).select("doc_id", "pieces.*")
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        spanned.alias("n_spanned"),
+        F.sha2(sentence_pieces.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.col("spanned").alias("n_spanned"),
     )
 
 

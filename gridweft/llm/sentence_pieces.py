@@ -22,8 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 """Stands for a space inside pieces; fixed by the format."""
@@ -31,7 +32,9 @@ RUN = 1 << 16
 """Characters of a long text that the library gets at once.  It changes memory only."""
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces; fixed by the format
-ENCODED = "struct<ids: array<int>, starts: array<int>, ends: array<int>>"
+PORTION = 1 << 20
+"""Characters of many texts whose pieces a task holds at once."""
+ENCODED_FIELDS = "ids array<int>, starts array<int>, ends array<int>, spanned bigint"
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -136,7 +139,7 @@ class PieceModel:
     def _replaced(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes after the character map, each with the start and end of its source bytes."""
         raw = np.frombuffer(text.encode(), np.uint8)
-        here = np.arange(len(raw) + 1)
+        here = np.arange(len(raw) + 1, dtype=np.int32)
         if not self.longest or self.longest.keys().isdisjoint(text):
             return raw, here[:-1], here[1:]
         places = np.append(0, np.cumsum([len(c.encode()) for c in text]))
@@ -222,25 +225,44 @@ def pieces(path: str) -> PieceModel:
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
 
 
-def encode(text: Column, path: str, end: bool = False) -> Column:
-    """``ids``, and ``starts`` and ``ends`` in UTF-8 bytes of the source; ``end`` adds the end id, which spans nothing."""
+def _encoded(texts: list[str], model: PieceModel, end: bool) -> pa.StructArray:
+    columns: tuple[list, list, list] = ([], [], [])
+    spanned = []
+    for source, found in zip(texts, model.encode_all(texts)):
+        _, starts, ends = found
+        spanned.append(int(ends.sum() - starts.sum()))
+        size = len(source.encode()) if end else 0
+        for column, part, last in zip(columns, found, (model.end, size, size)):
+            column.append((np.append(part, last) if end else part).astype(np.int32))
+    return pa.StructArray.from_arrays([*map(_lists, columns), pa.array(spanned, pa.int64())], ["ids", "starts", "ends", "spanned"])
 
-    @F.arrow_udf(ENCODED)
-    def encoded(texts: pa.Array) -> pa.Array:
+
+def encode(docs: DataFrame, path: str, text: str = "text", end: bool = False) -> DataFrame:
+    """``docs`` with ``pieces``: ``ids``, ``starts`` and ``ends`` in UTF-8 bytes of the source, and their sum ``spanned``.
+
+    ``end`` adds the end id, which spans nothing.  All other columns stay; a column named ``pieces`` is replaced.  Rows leave a task
+    about ``PORTION`` characters at a time, so that its memory does not depend on the size of batches.
+    """
+    docs = docs.drop("pieces")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        columns: tuple[list, list, list] = ([], [], [])
-        for value in texts:
-            source = value.as_py() or ""
-            (found,) = model.encode_all([source])
-            extra = (model.end, len(source.encode()), len(source.encode()))
-            for column, part, last in zip(columns, found, extra):
-                column.append(np.append(part, last) if end else part)
-        return pa.StructArray.from_arrays([_lists(c) for c in columns], ["ids", "starts", "ends"])
+        for batch in batches:
+            column, start = batch.column(text), 0
+            texts: list[str] = []
+            size = 0
+            for at, value in enumerate(column, 1):
+                texts.append(value.as_py() or "")
+                size += len(texts[-1])
+                if size >= PORTION or at == batch.num_rows:
+                    part = batch.slice(start, len(texts))
+                    yield pa.RecordBatch.from_arrays([*part.columns, _encoded(texts, model, end)], [*part.schema.names, "pieces"])
+                    texts, size, start = [], 0, at
 
-    return encoded(text)
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField("pieces", T.StructType.fromDDL(ENCODED_FIELDS))]))
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -248,7 +270,9 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
-        model = pieces(path)
-        return pa.array([None if x is None else model.decoder.decode(x) for x in (v.as_py() for v in lists)], pa.string())
+        library = pieces(path).decoder
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        rows = zip(offsets[:-1], offsets[1:], lists.is_valid().to_numpy(zero_copy_only=False))
+        return pa.array([library.decode(values[a:b].tolist()) if valid else None for a, b, valid in rows], pa.string())
 
     return decoded(ids)

@@ -88,9 +88,11 @@ def test_op11_equals_the_library(spark):
 
 
 def test_odd_texts(odd):
-    rows = odd.select("doc_id", S.encode(F.col("text"), MODEL, True).alias("e")).withColumn("back", S.decode(F.col("e.ids"), MODEL)).collect()
-    assert len(rows) == 10
-    assert [(r.e.ids, r.e.starts, r.back) for r in rows if r.doc_id in (1, 2)] == [([2], [0], "")] * 2
+    frame = S.encode(odd.withColumn("pieces", F.lit("replaced")), MODEL, end=True)
+    rows = frame.withColumn("back", S.decode(F.col("pieces.ids"), MODEL)).collect()
+    assert len(rows) == 10 and frame.columns == [*odd.columns, "pieces"]
+    assert [(r.pieces.ids, r.pieces.starts, r.back) for r in rows if r.doc_id in (1, 2)] == [([2], [0], "")] * 2
     assert next(r.back for r in rows if r.doc_id == 7).startswith("日本語 é ñ")
-    assert odd.limit(0).select(S.encode(F.col("text"), MODEL)).collect() == []
+    assert all(r.pieces.spanned == len((r.text or "").encode()) for r in rows)
+    assert S.encode(odd.limit(0), MODEL).collect() == []
     assert odd.select(S.decode(F.lit(None).cast("array<int>"), MODEL).alias("t")).first().t is None
