@@ -185,6 +185,31 @@ def encode_with_offsets(text: Column, path: str, pattern: str) -> Column:
     return spans(text)
 
 
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """``ids`` of a text, and ``decoded``: the bytes that these ids stand for.
+
+    Where both are wanted, this encodes once: Spark puts a Python function of another's result beside it into one worker, which
+    then calls the inner one twice.
+    """
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        tokens = bpe(path, pattern)
+        none = np.zeros(0, np.int32)
+        ids, sizes, decoded, widths = [none], [none], [none.astype(np.uint8)], [none]
+        for some in portions(texts):
+            found, counts = tokens.encode_all(some)
+            ids.append(found)
+            sizes.append(counts)
+            decoded.append(tokens.decode(found))
+            widths.append(np.diff(np.append(0, np.cumsum(tokens.lengths[found]))[np.append(0, np.cumsum(counts))]))
+        places = np.append(0, np.cumsum(np.concatenate(widths))).astype(np.int32)
+        raw = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(places), pa.py_buffer(np.concatenate(decoded))])
+        return pa.StructArray.from_arrays([_list_array(np.concatenate(ids), np.concatenate(sizes)), raw], ["ids", "decoded"])
+
+    return both(text)
+
+
 def decode_bytes(ids: Column, path: str, pattern: str) -> Column:
     """Bytes that the ids stand for."""
 

@@ -47,8 +47,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocabulary = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN
-    ids = docs.select("doc_id", byte_bpe.encode(text_of(docs), *vocabulary).alias("ids"))
-    both = ids.select("doc_id", "ids", byte_bpe.decode_bytes(F.col("ids"), *vocabulary).alias("decoded"))
+    both = docs.select("doc_id", byte_bpe.round_trip(text_of(docs), *vocabulary).alias("r")).select("doc_id", "r.*")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -106,6 +106,13 @@ def test_op3_round_trip(spark, ranks):
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
 
 
+def test_round_trip_is_encoding_and_decoding(odd):
+    both = odd.select("text", B.round_trip(F.col("text"), RANKS, P.PATTERN).alias("r"), B.encode(F.col("text"), RANKS, P.PATTERN).alias("ids"))
+    rows = both.select("text", "r.*", F.col("ids").alias("only")).collect()
+    assert len(rows) == 10 and all(r.ids == r.only and bytes(r.decoded) == (r.text or "").encode() for r in rows)
+    assert odd.limit(0).select(B.round_trip(F.col("text"), RANKS, P.PATTERN)).collect() == []
+
+
 def test_odd_texts(odd):
     found = odd.select("doc_id", C.token_report(F.col("text"), WORDS, 9).alias("r"), B.encode(F.col("text"), RANKS, P.PATTERN).alias("i"))
     rows = found.collect()
