@@ -118,13 +118,14 @@ def _lengths(words: int) -> tuple[int, int]:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """``item_id``, ``words``, ``size`` and the distinct ``seeds`` of each item with tokens."""
+    """``item_id``, ``words``, ``size`` and the distinct ``seeds`` of each item with tokens, with the number of their ``places``."""
 
-    @F.arrow_udf("struct<words: array<string>, seeds: array<bigint>>")
+    @F.arrow_udf("struct<words: array<string>, seeds: array<bigint>, places: array<bigint>>")
     def split(texts: pa.Array) -> pa.Array:
         words = [tokens(t.as_py() or "") for t in texts]
-        seeds = [np.unique(seed_hashes(w, max(_lengths(len(w))[0], 1)).view(np.int64)) for w in words]
-        return pa.StructArray.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(seeds, pa.list_(pa.int64()))], ["words", "seeds"])
+        seeds = [np.unique(seed_hashes(w, max(_lengths(len(w))[0], 1)).view(np.int64), return_counts=True) for w in words]
+        columns = [pa.array(words, pa.list_(pa.string())), *(pa.array([x[k] for x in seeds], pa.list_(pa.int64())) for k in (0, 1))]
+        return pa.StructArray.from_arrays(columns, ["words", "seeds", "places"])
 
     found = materialize(benchmark.select("item_id", split("text").alias("t")), "benchmark-items")
     return found.select("item_id", "t.*", F.size("t.words").alias("size")).filter("size > 0")
@@ -173,7 +174,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     items = _items(benchmark)
     parts = []
     for size, least, some in _classes(items):
-        seeds = some.select("item_id", F.explode("seeds").alias("seed"))
+        seeds = some.select("item_id", F.explode(F.arrays_zip("seeds", "places")).alias("s"))
+        seeds = seeds.select("item_id", F.col("s.seeds").alias("seed"), F.col("s.places").alias("places"))
         filled = bit_filter.build(seeds.select("seed"), FILTER_BITS)
         # written before anything is chosen from it, so that texts are cut once
         cut = docs.select("doc_id", fragments(F.coalesce("text", F.lit("")), filled, size, least).alias("t"))
@@ -181,8 +183,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
         cut = cut.withColumn("same", F.sha2(F.to_json("found"), 256))
         kinds = cut.groupBy("same").agg(F.any_value("found").alias("found"), F.any_value("seeds").alias("seeds"))
         hashed = kinds.select("same", F.explode("seeds").alias("seed"))
-        pairs = hashed.join(seeds, "seed").groupBy("same", "item_id").agg(F.count("*").alias("shared"))
-        # tiles cover at most the shared seeds and the tokens that follow them
+        pairs = hashed.join(seeds, "seed").groupBy("same", "item_id").agg(F.sum("places").alias("shared"))
+        # a token under a tile lies in a shared seed, at one of the places that the seed has in the item
         joined = pairs.join(some, "item_id").filter((F.col("shared") * size) >= F.col("size") * coverage).join(kinds, "same")
         tiled = materialize(joined.select("same", "item_id", "size", _covered(F.col("words"), F.col("found"), least).alias("t")), "tiles")
         tiled = tiled.filter(F.col("t.covered") >= F.col("size") * coverage)
