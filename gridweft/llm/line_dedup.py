@@ -1,12 +1,14 @@
 """Repeated runs of lines, found by winnowing, with DataFrame operations only.
 
-The lines of a document that hold anything but white space form its sequence; other lines are passed over and kept.  A window is
-``RUN`` lines of the sequence in a row.  A line is deleted when it lies in a window that also starts earlier: in a document with a
-smaller id, or further up in the same document.
+The lines of a document that hold anything but white space form its sequence; other lines are passed over and kept.  A run of them
+that also starts earlier (in a document with a smaller id, or further up in the same document) is deleted when it has ``RUN`` lines or
+more than ``WORDS`` words.  So a window is ``RUN`` lines of the sequence in a row, or fewer with more than ``WORDS`` words, and a line is deleted when it
+lies in a window that also starts earlier.
 
-Each window is represented by its fingerprint: the smallest hash among its ``WINDOW`` grams of ``GRAM`` lines, the first one on a
+Each window of ``RUN`` lines is represented by its fingerprint: the smallest hash among its ``WINDOW`` grams of ``GRAM`` lines, the first one on a
 tie (``RUN = WINDOW + GRAM - 1``, so every repeated run of ``RUN`` lines shares a fingerprint for certain).  Windows of a document
-with the same fingerprint at the same place follow one another, and together span a short stretch of lines around it.
+with the same fingerprint at the same place follow one another, and together span a short stretch of lines around it.  A shorter window
+is its own fingerprint and a stretch of its own.
 
 Positions are joined by fingerprint.  Where the whole stretch equals an earlier one, all its windows are repeats.  First stretches
 that share a fingerprint with different stretches are extended both ways one window at a time.  No pairs inside a group of equal
@@ -28,6 +30,7 @@ from gridweft.session import materialize
 RUN = 3
 GRAM = 2
 WINDOW = RUN - GRAM + 1
+WORDS = 50
 
 BLANK = r"\A[ \t\x0b\f\r]*\z"
 _DOC = ["doc_id", "version"]
@@ -49,24 +52,31 @@ def stretches(docs: DataFrame) -> DataFrame:
     ``docs`` has ``doc_id``, ``version`` and ``text``.  A window ``w`` has its start ``q`` (counting lines that are not blank, from
     0), its hashes ``h`` and ``k``, and the places ``at`` of its lines.
     """
-    held = docs.select(*_DOC, _filled(_lines(F.col("text"))).alias("lines")).filter(F.size("lines") >= RUN)
+    held = docs.select(*_DOC, _filled(_lines(F.col("text"))).alias("lines")).filter(F.size("lines") > 0)
     hashed = held.select(
         *_DOC,
         F.col("lines.at").alias("at"),
-        # two hashes of each line
+        # two hashes of each line, and its words
         F.transform(
-            "lines", lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), F.xxhash64(F.lit("second"), x["line"]).alias("k"))
+            "lines",
+            lambda x: F.struct(
+                F.xxhash64(x["line"]).alias("h"),
+                F.xxhash64(F.lit("second"), x["line"]).alias("k"),
+                F.size(F.regexp_extract_all(x["line"], F.lit(r"[^ \t\x0b\f\r]+"), F.lit(0))).alias("words"),
+            ),
         ).alias("hs"),
     )
     line = lambda i: F.get("hs", i)
-    grams = F.transform(F.sequence(F.lit(0), F.size("hs") - GRAM), lambda i: F.xxhash64(*(line(i + j)["h"] for j in range(GRAM))))
+    # a document with fewer lines has no windows of RUN lines
+    starts = lambda size: F.when(F.size("hs") >= size, F.sequence(F.lit(0), F.size("hs") - size)).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(starts(GRAM), lambda i: F.xxhash64(*(line(i + j)["h"] for j in range(GRAM))))
     grammed = hashed.select(*_DOC, "at", "hs", grams.alias("grams"))
     # the smallest gram of a window; structs compare by hash, then by place
     least = lambda q: F.array_min(
         F.transform(F.slice("grams", q + 1, WINDOW), lambda g, j: F.struct(g.alias("gram"), (q + j).alias("place")))
     )
     windows = F.transform(
-        F.sequence(F.lit(0), F.size("hs") - RUN),
+        starts(RUN),
         lambda q: F.struct(
             q.alias("q"),
             least(q).alias("least"),
@@ -75,7 +85,8 @@ def stretches(docs: DataFrame) -> DataFrame:
             F.slice("at", q + 1, RUN).alias("at"),
         ),
     )
-    listed = grammed.select(*_DOC, windows.alias("ws"))
+    short = F.concat(*(_short_windows(size) for size in range(1, RUN)))
+    listed = grammed.select(*_DOC, windows.alias("ws"), short.alias("short"))
     window = lambda i: F.get("ws", i)
     # windows with the same fingerprint follow one another, at most WINDOW of them
     first = F.filter("ws", lambda w, i: (i == 0) | (window(i - 1)["least"] != w["least"]))
@@ -84,19 +95,43 @@ def stretches(docs: DataFrame) -> DataFrame:
         lambda w: F.struct(
             w["least"]["gram"].alias("gram"),
             w["q"].alias("start"),
-            F.filter(F.slice("ws", w["q"] + 1, WINDOW), lambda x: x["least"] == w["least"]).alias("windows"),
+            F.transform(
+                F.filter(F.slice("ws", w["q"] + 1, WINDOW), lambda x: x["least"] == w["least"]), lambda x: x.dropFields("least")
+            ).alias("windows"),
         ),
     )
-    return listed.select(*_DOC, F.explode(cut).alias("s")).select(
+    alone = F.transform("short", lambda w: F.struct(w["h"].alias("gram"), w["q"].alias("start"), F.array(w).alias("windows")))
+    return listed.select(*_DOC, F.explode(F.concat(cut, alone)).alias("s")).select(
         *_DOC,
         "s.gram",
         "s.start",
-        F.transform("s.windows", lambda w: w.dropFields("least")).alias("windows"),
+        "s.windows",
         F.xxhash64("s.windows.h").alias("h"),
         F.xxhash64(F.lit("second"), "s.windows.k").alias("k"),
     )
 
 
+def _short_windows(size: int) -> Column:
+    """Windows of ``size`` lines with more than ``WORDS`` words; their hashes hold the size, so they meet their like only."""
+    line = lambda i: F.get("hs", i)
+
+    def wordy(q: Column) -> Column:
+        words = line(q)["words"]
+        for j in range(1, size):
+            words = words + line(q + j)["words"]
+        return (q + size <= F.size("hs")) & (words > WORDS)
+
+    return F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("hs") - 1), wordy),
+        lambda q: F.struct(
+            q.alias("q"),
+            F.xxhash64(F.lit(size), *(line(q + j)["h"] for j in range(size))).alias("h"),
+            F.xxhash64(F.lit("second"), F.lit(size), *(line(q + j)["k"] for j in range(size))).alias("k"),
+            F.slice("at", q + 1, size).alias("at"),
+        ),
+    )
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``version`` and the window (``q``, ``at``) of every window that starts earlier too."""
     found = materialize(stretches(docs), "line-stretches")
@@ -122,13 +157,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     inputs = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     keyed = docs.select(*inputs, F.xxhash64("text").alias("__version"))
     repeated = repeated_windows(keyed.select("doc_id", F.col("__version").alias("version"), "text"))
+    numbers = F.sequence("q", F.col("q") + F.size("at") - 1)  # of the lines of a window that are not blank
     by_document = repeated.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(
-        F.sort_array(F.collect_set("q")).alias("__qs"), F.array_distinct(F.flatten(F.collect_set("at"))).alias("__gone")
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(numbers)))).alias("__qs"),
+        F.array_distinct(F.flatten(F.collect_set("at"))).alias("__gone"),
     )  # no longer than the document
     joined = keyed.withColumn("__id", F.col("doc_id")).join(by_document, ["__id", "__version"], "left")
     lines, qs = _lines(F.col("text")), F.col("__qs")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
-    breaks = F.filter(qs, lambda q, i: (i == 0) | (q > F.get(qs, i - 1) + RUN))
+    breaks = F.filter(qs, lambda q, i: (i == 0) | (q > F.get(qs, i - 1) + 1))
     counted = joined.withColumns(
         {
             "n_lines": F.size(_filled(lines)).cast("long"),

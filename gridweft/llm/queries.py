@@ -68,12 +68,17 @@ WITH lines AS (
 filled AS (
   SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS p
   FROM lines WHERE NOT regexp_full_match(line, '[ \t\x0b\f\r]*')),
+counted AS (SELECT *, len(regexp_extract_all(line, '[^ \t\x0b\f\r]+')) AS words FROM filled),
+following AS (
+  SELECT *, lead(line, 1) OVER d AS second, lead(line, 2) OVER d AS third, words + lead(words, 1) OVER d AS two
+  FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
 windows AS (
-  SELECT doc_id, p, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS body
-  FROM filled WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+  SELECT doc_id, p, 3 AS size, line || chr(10) || second || chr(10) || third AS body FROM following
+  UNION ALL SELECT doc_id, p, 2, line || chr(10) || second FROM following WHERE two > 50
+  UNION ALL SELECT doc_id, p, 1, line FROM following WHERE words > 50),
 numbered AS (
-  SELECT doc_id, p, row_number() OVER (PARTITION BY body ORDER BY doc_id, p) AS n FROM windows WHERE body IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, p + step AS p FROM numbered, (VALUES (0), (1), (2)) AS s(step) WHERE n > 1),
+  SELECT doc_id, p, size, row_number() OVER (PARTITION BY size, body ORDER BY doc_id, p) AS n FROM windows WHERE body IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, p + step AS p FROM numbered, (VALUES (0), (1), (2)) AS s(step) WHERE n > 1 AND step < size),
 runs AS (
   SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE NOT EXISTS (
     SELECT 1 FROM gone AS b WHERE b.doc_id = gone.doc_id AND b.p = gone.p - 1)) AS n_runs FROM gone GROUP BY doc_id),
