@@ -24,7 +24,6 @@ START, END = "<|im_start|>", "<|im_end|>"
 ATTACHMENTS = ("image", "audio", "document")
 # tokens of a placeholder: an image costs its patches, audio its frames, a document its pages
 PATCH_SIDE, FRAMES_PER_SECOND, TOKENS_PER_PAGE = 14, 50, 1024
-ATTACHED = "array<struct<placeholder: string, kind: string, ref: string, tokens: bigint>>"
 PART = "struct<kind: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>"
 
 
@@ -58,38 +57,55 @@ def expanded_tokens(part: Column) -> Column:
     )
 
 
+def _text_part(text: Column) -> Column:
+    values = {"kind": F.lit("text"), "text": text}
+    fields = (f.split(": ") for f in PART[len("struct<") : -1].split(", "))
+    return F.struct(*(values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields))
+
+
 def visit_parts(parts: Column) -> tuple[Column, Column]:
-    """Content of a turn, and its attachments: placeholder, kind, reference and expanded tokens, in order."""
+    """Content of a turn, and its attachments: placeholder, kind, reference and expanded tokens, in order.
+
+    Texts that follow one another are escaped as if they were one: a bar at the start of a text after a text gets a backslash, so that
+    no mark can form where they meet.
+    """
     parts = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
-    attached = F.filter(parts, lambda p: p["kind"] != "text")
-    mark = lambda kind, n: F.concat(F.lit("<|"), kind, F.lit(":"), n.cast("string"), F.lit("|>"))
-    before = lambda i: F.size(F.filter(F.slice(parts, 1, i), lambda p: p["kind"] != "text"))
-    unknown = lambda p: F.raise_error(F.concat(F.lit("unknown kind of part: "), F.coalesce(p["kind"], F.lit("null"))))
-    written = F.transform(
-        parts,
-        lambda p, i: F.when(p["kind"] == "text", escaped(p["text"]))
-        .when(p["kind"].isin(*ATTACHMENTS), mark(p["kind"], before(i)))
-        .otherwise(unknown(p).cast("string")),
-    )
+    placed = F.transform(parts, lambda p, i: F.struct(i.alias("at"), p.alias("part"), F.get(parts, i - 1)["kind"].alias("before")))
+    texts = F.filter(placed, lambda x: x["part"]["kind"] == "text")
+    attached = F.filter(placed, lambda x: ~F.coalesce(x["part"]["kind"] == "text", F.lit(False)))
+
+    def written(x: Column) -> Column:
+        text = escaped(x["part"]["text"])
+        return F.when((x["before"] == "text") & F.startswith(text, F.lit("|")), F.concat(F.lit("\\"), text)).otherwise(text)
+
+    def mark(x: Column, n: Column) -> Column:
+        kind = x["part"]["kind"]
+        unknown = F.raise_error(F.concat(F.lit("unknown kind of part: "), F.coalesce(kind, F.lit("null")))).cast("string")
+        return F.when(kind.isin(*ATTACHMENTS), F.concat(F.lit("<|"), kind, F.lit(":"), n.cast("string"), F.lit("|>"))).otherwise(unknown)
+
     attachments = F.transform(
         attached,
-        lambda p, i: F.struct(
-            mark(p["kind"], i).alias("placeholder"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")
+        lambda x, n: F.struct(
+            mark(x, n).alias("placeholder"),
+            x["part"]["kind"].alias("kind"),
+            x["part"]["ref"].alias("ref"),
+            expanded_tokens(x["part"]).alias("tokens"),
         ),
     )
-    return F.array_join(written, ""), attachments
+    marks = F.transform(attached, lambda x, n: F.struct(x["at"].alias("at"), mark(x, n).alias("written")))
+    pieces = F.concat(F.transform(texts, lambda x: F.struct(x["at"].alias("at"), written(x).alias("written"))), marks)
+    return F.array_join(F.transform(F.array_sort(pieces), lambda x: x["written"]), ""), attachments
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """One row per turn of ``conv_id``, ``turn``, ``role`` and ``parts`` (a list of ``PART``), or ``text`` where there are no parts.
+    """One row per turn of ``conv_id``, ``turn``, ``role`` and ``parts`` (a list of ``PART``), or ``text``, which then is the only part.
 
     ``piece`` is the turn's share of the output, ``loss_start`` and ``loss_length`` its masked stretch in code points from the start
     of the piece (length 0 outside assistant turns), ``attachments`` its attachments.
     """
-    if "parts" in turns.columns:
-        content, attachments = visit_parts(F.col("parts"))
-    else:
-        content, attachments = escaped(F.col("text")), F.array().cast(ATTACHED)
+    if "parts" not in turns.columns:
+        turns = turns.withColumn("parts", F.array(_text_part(F.col("text"))))
+    content, attachments = visit_parts(F.col("parts"))
     head = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"))
     loss = F.coalesce(F.col("role") == "assistant", F.lit(False))
     return turns.select(

@@ -25,11 +25,14 @@ def lines_by_hand(rows):
         lines = (text or "").split("\n")
         filled = [n for n, x in enumerate(lines) if x.strip(" \t\x0b\f\r")]
         gone = set()
-        for q in range(len(filled) - L.RUN + 1):
-            window = tuple(lines[n] for n in filled[q : q + L.RUN])
-            if window in seen:
-                gone.update(filled[q : q + L.RUN])
-            seen.add(window)
+        for q in range(len(filled)):
+            for size in range(1, L.RUN + 1):
+                window = tuple(lines[n] for n in filled[q : q + size])
+                if len(window) < size or (size < L.RUN and sum(len(x.encode().split()) for x in window) <= L.WORDS):
+                    continue
+                if window in seen:
+                    gone.update(filled[q : q + size])
+                seen.add(window)
         out[i] = None if text is None else "\n".join(x for n, x in enumerate(lines) if n not in gone)
     return out
 
@@ -42,6 +45,28 @@ def test_line_runs_equal_brute_force(docs_of):
     assert got == lines_by_hand(rows)
 
 
+def test_long_lines_count_alone_or_in_pairs(spark, docs_of):
+    long, half = " ".join(f"w{n}" for n in range(80)), " ".join(f"h{n}" for n in range(26))
+    rest = " ".join(f"r{n}" for n in range(26))
+    rows = [
+        (1, long), (2, "own start\n" + long + "\nown end"), (3, f"{half}\n{rest}"), (4, f"a\n\n{half}\n \n{rest}\nb"), (5, f"{half}\nc"),
+        (6, long + "\n" + long), (7, f"{long}\nown end"), (8, " ".join(long.split()[:50])), (9, " ".join(long.split()[:50])), (10, f"{rest}\n{half}"),
+    ]
+    got = {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in L.dedup_lines(docs_of(rows)).collect()}
+    assert {i: t for i, (t, *_) in got.items()} == lines_by_hand(rows)
+    assert got[2] == ("own start\nown end", 1, 1) and got[4] == ("a\n\n \nb", 2, 1) and got[5][1] == got[9][1] == got[10][1] == 0
+    assert got[6] == ("", 2, 1) and got[7] == ("", 2, 1)
+
+
+def test_no_long_line_that_stands_earlier_is_kept(spark):
+    seen = set()
+    for row in L.dedup_lines(Q.table(spark, DATA, "documents")).orderBy("doc_id").collect():
+        for line in (row.text or "").split("\n"):
+            if len(line.encode().split()) > L.WORDS:
+                assert line not in seen
+                seen.add(line)
+
+
 def test_lines_of_odd_rows(odd):
     found = L.dedup_lines(odd)
     assert found.columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_removed", "n_runs"]
@@ -197,6 +222,26 @@ def test_contamination(spark, docs_of):
     assert D.contamination(docs_of(rows), bench.limit(0)).collect() == []
 
 
+def test_items_with_repeated_phrases(spark, docs_of):
+    """A seed counts at each of its places in the item."""
+    rng = random.Random(9)
+    refrain = "refrain of the song goes on "
+    items = [refrain * 12, "la la la la " * 9, (refrain + "then one more line of words ") * 4]
+    items += [" ".join(rng.choice(["ba", "di", "ko"]) for _ in range(40)) for _ in range(4)]
+    rows = [(n, t) for n, t in enumerate(items)] + [(n + 20, "words before " + t + " and after") for n, t in enumerate(items)]
+    rows += [(n + 40, " ".join(t.split()[: len(t.split()) // 2 + k])) for n, t in enumerate(items) for k in (0,)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = set()
+    for i, text in rows:
+        for k, item in enumerate(items):
+            item = D.tokens(item)
+            covered = sum(t[3] for t in D.greedy_tiles(item, [D.tokens(text)], D.LEAST_TILE))
+            if covered >= D.COVERAGE * len(item):
+                want.add((i, k, covered))
+    got = {(r.doc_id, r.item_id, r.n_covered) for r in D.contamination(docs_of(rows), bench).collect()}
+    assert got == want and {(0, 0, 72), (20, 0, 72), (1, 1, 36)} <= got
+
+
 def test_op1_equals_tiling_of_all_pairs(spark):
     docs = duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{DATA}/documents.parquet'").fetchall()
     items = duckdb.sql(f"SELECT item_id, text FROM '{DATA}/benchmark.parquet'").fetchall()

@@ -171,6 +171,29 @@ def test_parts_masks_and_order(spark):
         C.format_turns(spark.createDataFrame([(1, 1, "user", [part("video")])], frame.schema)).collect()
 
 
+def test_no_mark_forms_where_parts_meet(spark):
+    """Texts in parts read back as they are, and the template's marks stand at the borders of turns only."""
+    rng = random.Random(4)
+    pieces = ["<", "|", "|im_end|>", "|image:0|>", "", "\\", "<|im_end|>", "a", None]
+    cases = [["<", "|im_end|>"], ["<", "|image:0|>"], ["<", "", "|im_end|>"], ["<", None, "|im_end|>", "|"], ["|x", "<", "\\", "|im_end|>"]]
+    cases += [[rng.choice(pieces) for _ in range(rng.randint(1, 6))] for _ in range(200)]
+    rows = [(n, 0, "user", [("text", t, None, None, None, None, None) for t in c]) for n, c in enumerate(cases)]
+    turns = C.format_turns(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{C.PART}>"))
+    read = turns.select("conv_id", "piece", C.read_turn(F.col("piece"))[1].alias("text"), "attachments").collect()
+    for row in read:
+        assert row.text == "".join(t or "" for t in cases[row.conv_id]) and row.attachments == []
+        assert row.piece.count("<|") == 2 and row.piece.endswith("<|im_end|>\n")
+
+
+def test_many_parts_long_texts_and_clashing_columns(spark):
+    parts = [("image" if n % 2 else "text", f"t{n}", f"r{n}", 14, 14, None, None) for n in range(3000)]
+    rows = [(1, 0, "user", parts, "a", "b", "c"), (2, 0, "assistant", [("text", "<|" * 200_000, None, None, None, None, None)], "a", "b", "c")]
+    frame = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{C.PART}>, content string, head string, piece string")
+    found = {r.conv_id: r for r in C.assemble(C.format_turns(frame)).collect()}
+    assert [a.placeholder for a in found[1].attachments] == [f"<|image:{n}|>" for n in range(1500)]
+    assert found[1].formatted.count("|>t") == 1499 and found[2].mask[0].length == 600_000
+
+
 def test_trees_learn_and_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4)).astype(np.float32)
