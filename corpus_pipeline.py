@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import byte_bpe, decontamination, line_dedup, near_copies, quality_model, queries
+from gridweft.llm import byte_bpe, decontamination, line_dedup, quality_model, queries, simhash
 from gridweft.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,9 +33,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (0.8 of their five-word shingles in common)."""
+    """The document with the smallest id of each group that the SimHash operator connects (3-word shingles, at most 3 bits apart)."""
     docs = docs.select(*COLUMNS)
-    copies = near_copies.near_copies(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    copies = simhash.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -49,9 +49,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and a hash of what they decode to."""
     vocabulary = public_tokenizers.path(queries.BYTE_VOCABULARY), public_tokenizers.PATTERN
-    ids = docs.select("doc_id", byte_bpe.encode(queries.text_of(docs), *vocabulary).alias("ids"))
-    decoded = byte_bpe.decode_bytes(F.col("ids"), *vocabulary)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(decoded, 256).alias("decoded_sha256"))
+    both = docs.select("doc_id", byte_bpe.round_trip(queries.text_of(docs), *vocabulary).alias("r")).select("doc_id", "r.*")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
