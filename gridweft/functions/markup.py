@@ -17,6 +17,8 @@ SECTION_TAGS = ("thead", "tbody", "tfoot", "caption", "colgroup")
 VOID_TAGS = ("area", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "wbr")
 
 MARK = "\u0001"
+HIDDEN = "\u0002"
+"""Stands for ``<`` inside a table in a cell, so that only the tags of the outer table are cut at."""
 
 _SECTIONS = "|".join(SECTION_TAGS)
 _VOID = "|".join(VOID_TAGS)
@@ -32,8 +34,8 @@ def _col(value: Column | str) -> Column:
 
 
 def strip_comments(html: Column | str) -> Column:
-    """The document without comments and without the control character that marks cuts."""
-    html = F.replace(_col(html), F.lit(MARK), F.lit(""))
+    """The document without comments and without the control characters that mark cuts and hidden tags."""
+    html = F.translate(_col(html), MARK + HIDDEN, "")
     return F.when(html.contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?-->", "")).otherwise(html)
 
 
@@ -43,17 +45,55 @@ def wrap_document(rows_html: Column | str) -> Column:
 
 
 def table_markup(clean: Column | str) -> Column:
-    """Text between the first ``<table>`` and its end tag; the input has no comments."""
-    return F.regexp_extract(_col(clean), r"(?is)<table(?:\s[^>]*)?>(.*?)(?:</table\s*>|\z)", 1)
+    """Text between the first ``<table>`` and its own end tag; the input has no comments.
+
+    Tables inside it are content of the cell that holds them: each ``<`` from the start tag of an inner table to its end tag is
+    ``HIDDEN``.  A table without an end tag goes on to the end of the document.
+    """
+    clean = _col(clean)
+    single = F.regexp_extract(clean, r"(?is)<table(?:\s[^>]*)?>(.*?)(?:</table\s*>|\z)", 1)
+    return F.when(F.regexp_count(clean, F.lit(r"(?i)<table[\s>]")) > 1, bind(clean, _outer_markup)).otherwise(single)
+
+
+def _outer_markup(clean: Column) -> Column:
+    """The balanced scan: a running depth over the start and end tags of tables."""
+    pieces = F.split(F.regexp_replace(clean, r"(?i)<(?=/?table[\s>])", MARK + "<"), MARK)
+    hidden = lambda text: F.replace(text, F.lit("<"), F.lit(HIDDEN))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth, ended = state["depth"], state["ended"]
+        closes = piece.startswith("</")
+        size = F.when(closes, F.instr(piece, ">")).otherwise(0)  # of the end tag, which belongs to the inner table
+        tag, rest = F.substr(piece, F.lit(1), size), F.substr(piece, size + 1)
+        inner = F.when(closes, F.concat(hidden(tag), F.when(depth > 2, hidden(rest)).otherwise(rest))).otherwise(hidden(piece))
+        opened = F.regexp_replace(piece, r"(?s)\A<[^>]*>", "")
+        added = F.when(closes, F.when(depth > 1, inner).otherwise("")).when(depth == 0, opened).otherwise(inner)
+        after = F.struct(
+            (depth + F.when(closes, -1).otherwise(1)).alias("depth"),
+            (closes & (depth <= 1)).alias("ended"),
+            F.concat(state["text"], added).alias("text"),
+        )
+        return F.when(ended | (closes & (depth == 0)), state).otherwise(after)
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("ended"), F.lit("").alias("text"))
+    tables = F.slice(pieces, 2, F.size(pieces))
+    return F.aggregate(tables, start, step, lambda state: state["text"])
+
+
+def restored(text: Column | str) -> Column:
+    """Content with the tags of inner tables; what follows an inner cell in its row belongs to no cell and goes."""
+    text = _col(text)
+    shown = F.regexp_replace(F.translate(text, HIDDEN, "<"), r"(?i)(</td\s*>)[^<]+", "$1")
+    return F.when(text.contains(HIDDEN), shown).otherwise(text)
 
 
-def table_status(clean: Column | str, markup: Column | str) -> Column:
-    """``ok``, ``empty``, ``no_table`` or ``nested_table`` of a document and its ``table_markup``.
+def table_status(clean: Column | str) -> Column:
+    """``ok``, ``empty`` or ``no_table`` of a document.
 
     The table has to be a direct child of the body of a full document.  Before it, every element that
     was opened must have been closed again; a paragraph is closed by the table itself.
     """
-    clean, markup = _col(clean), _col(markup)
+    clean = _col(clean)
     lead = F.regexp_extract(clean, r"(?is)\A(.*?)<table[\s>]", 1)
     lead = F.regexp_replace(lead, r"(?is)\A.*<body(?:\s[^>]*)?>", "")
     lead = F.regexp_replace(lead, r"(?is)\A\s*<!doctype[^>]*>|<head[\s>].*?</head\s*>|<html(?:\s[^>]*)?>", "")
@@ -66,14 +106,13 @@ def table_status(clean: Column | str, markup: Column | str) -> Column:
         .when(~clean.rlike(r"(?i)\A\s*<(?:html|!doctype)"), "no_table")
         .when(~clean.rlike(r"(?i)<table[\s>]"), "no_table")
         .when(opened != closed, "no_table")
-        .when(markup.rlike(r"(?i)<table[\s>]"), "nested_table")
         .otherwise("ok")
     )
 
 
 def node_count(markup: Column | str) -> Column:
-    """All elements below the table, inline elements included."""
-    return F.regexp_count(_col(markup), F.lit("<[A-Za-z]"))
+    """All elements below the table, inline elements and those of inner tables included."""
+    return F.regexp_count(_col(markup), F.lit(f"[<{HIDDEN}][A-Za-z]"))
 
 
 # ---------------------------------------------------------------- text
@@ -170,7 +209,7 @@ def _cells(row_markup: Column) -> Column:
             F.lower(F.substring(c["open"], 2, 2)).alias("tag"),
             F.when(F.length(c["open"]) > 4, _span(c["open"], "colspan")).otherwise(one).alias("colspan"),
             F.when(F.length(c["open"]) > 4, _span(c["open"], "rowspan")).otherwise(one).alias("rowspan"),
-            bind(inner, normalize_inline).alias("norm"),
+            bind(restored(inner), normalize_inline).alias("norm"),
         )
 
     return F.transform(split_up, cell)

@@ -51,6 +51,40 @@ LINEARIZED = {
 }
 
 
+INNER = "<table class='i'><tr><td>x</td> <td>y</td></tr></table>"
+NESTED = {
+    # inner markup is content of its cell: (rows, text, nodes, content of the cells)
+    "one": (HEAD + f"<tbody><tr><td>1{INNER}z</td><td>2</td></tr></tbody>", "a | 1xyz [SEP] b | 2 [SEP] ", 12,
+            ["1<table><tr><td>x</td><td>y</td></tr></table>z", "2"]),
+    "two in a cell": (HEAD + f"<tbody><tr><td>{INNER}{INNER}</td><td>2</td></tr></tbody>", "a | xyxy [SEP] b | 2 [SEP] ", 16,
+                      ["<table><tr><td>x</td><td>y</td></tr></table>" * 2, "2"]),
+    "three levels": (HEAD + f"<tbody><tr><td><table><tr><td>{INNER}</td></tr></table></td><td>2</td></tr><tr><td>3</td><td>4</td></tr></tbody>",
+                     "a | xy [SEP] b | 2 [X_SEP] a | 3 [SEP] b | 4 [SEP] ", 18,
+                     ["<table><tr><td><table><tr><td>x</td><td>y</td></tr></table></td></tr></table>", "2", "3", "4"]),
+    "sections inside": (HEAD + "<tbody><tr><td><TABLE><thead><tr><th>h</th></tr></thead><tbody><tr><td>v</td></tr></tbody></TABLE></td><td>2</td></tr></tbody>",
+                        "a | hv [SEP] b | 2 [SEP] ", 15,
+                        ["<table><thead><tr><th>h</th></tr></thead><tbody><tr><td>v</td></tr></tbody></table>", "2"]),
+    "a table after it": (HEAD + f"<tbody><tr><td>{INNER}</td><td>2</td></tr></tbody></table><table><tr><td>9</td></tr>", "a | xy [SEP] b | 2 [SEP] ", 12,
+                         ["<table><tr><td>x</td><td>y</td></tr></table>", "2"]),
+}
+
+
+def test_tables_in_cells(spark):
+    docs = spark.createDataFrame([(k, doc(v[0])) for k, v in NESTED.items()], "file string, html string")
+    assert {r["file"]: r["input"] for r in linearize(docs).collect()} == {k: v[1] for k, v in NESTED.items()}
+    parsed = C.parse_tables(docs)
+    assert {r["file"]: (r["status"], r["n_nodes"]) for r in parsed.collect()} == {k: ("ok", v[2]) for k, v in NESTED.items()}
+    cells = C.explode_cells(parsed).filter("tag = 'td'").orderBy("row_no", "cell_no").collect()
+    assert {k: [c["norm"] for c in cells if c["file"] == k] for k in NESTED} == {k: v[3] for k, v in NESTED.items()}
+    # an inner tag counts as one symbol of the outer cell: nine tags and three characters, one of them another
+    pair = [("p", doc("<tr><td>1" + INNER + "z</td></tr>"), doc("<tr><td>1" + INNER + "q</td></tr>"))]
+    for unrestricted in (False, True):
+        row = score_tables(spark.createDataFrame(pair, "file string, true_html string, pred_html string"), unrestricted=unrestricted).first()
+        assert (row["n_true"], row["flag"]) == (6, "ok") and abs(row["distance"] - 1 / 12) < 1e-9
+    same = [(k, doc(v[0]), doc(v[0])) for k, v in NESTED.items()]
+    assert {r["score"] for r in score_tables(spark.createDataFrame(same, "file string, true_html string, pred_html string")).collect()} == {1.0}
+
+
 def test_linearized_texts(spark):
     docs = spark.createDataFrame([(k, doc(v[0])) for k, v in LINEARIZED.items()], "file string, html string")
     got = {r["file"]: r["input"] for r in linearize(docs).collect()}
@@ -66,7 +100,7 @@ def test_prompt_and_ignored_tags(spark):
     ("", "empty"), ("plain", "no_table"), ("<table><tr><td>1</td></tr></table>", "no_table"),
     ("<html><body><div><table></table></div></body></html>", "no_table"),
     ("<html><body><div>x</div><br><table></table></body></html>", "ok"),
-    (doc("<tr><td><table></table></td></tr>"), "nested_table"),
+    (doc("<tr><td><table></table></td></tr>"), "ok"),
     ("<!DOCTYPE html><html><head><title>t</title></head><body><p>x<table></table>", "ok"),
 ])
 def test_status(spark, html, status):
