@@ -122,6 +122,17 @@ def single_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tables(spark, sf_dir).filter(F.col("variation") % 4 == 0).select("file", F.col("true_html").alias("html"))
 
 
+def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True documents whose body begins with a row that holds a table in its first cell; predictions differ in one character of it."""
+
+    def with_inner(value: str) -> Column:
+        inner = f"<table><tr><td>p</td><td>{value}</td></tr></table>"
+        return F.replace("true_html", F.lit("<tbody>"), F.lit(f"<tbody><tr><td>{inner}</td><td>-</td></tr>"))
+
+    docs = html_tables(spark, sf_dir)
+    return docs.select("file", with_inner("x").alias("true_html"), with_inner("y").alias("pred_html"))
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary pairs: per customer a generated and a true sentence in the style of a short report."""
     c = table(spark, sf_dir, "customer").join(
