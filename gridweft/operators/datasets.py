@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweft.operators.ordering import mark_by_hash
+from gridweft.operators.ordering import mark_by_hash, running_index
 
 
 def concat_datasets(parts: Mapping[str, DataFrame]) -> DataFrame:
@@ -52,6 +52,26 @@ def mix_by_ratio(
     return marked if mode == 2 else marked.filter("used").drop("used")
 
 
+def batches_by_ratio(df: DataFrame, source: str, key: str, ratios: Mapping[str, float], size: int, seed: int = 0, mode: int = 0) -> DataFrame:
+    """``mix_by_ratio`` (mode 0 or 1) with a column ``batch``: each batch of ``size`` rows has the shares of ``ratios``, to the next whole row.
+
+    Rows of a source are numbered in the order of its hashes and spread evenly: row r of a source with the share s stands at
+    (r + 1/2) / s of the mixture, and batches are stretches of it.  When a source is used up, the batches after it go on without it.
+    Sources are numbered by one running index, so no source has to fit in one task.
+    """
+    if mode not in (0, 1):
+        raise ValueError(f"no batches in mode {mode}")
+    if size < 1:
+        raise ValueError("a batch has at least one row")
+    mixed = mix_by_ratio(df, source, key, ratios, seed, mode)
+    order = {"_hash": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), "_row": F.xxhash64(*mixed.columns)}
+    numbered = running_index(mixed.withColumns(order), [source, "_hash", "_row"], "_index")
+    firsts = numbered.groupBy(source).agg(F.min("_index").alias("_first"))  # a row for each source of ``ratios`` at most
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in ratios.items() for x in kv]), F.col(source))
+    placed = (F.col("_index") - F.col("_first") + 0.5) / (share * size)
+    return numbered.join(F.broadcast(firsts), source).select(*mixed.columns, F.floor(placed).cast("bigint").alias("batch"))
+
+
 def select_split(df: DataFrame, split: str, known: tuple[str, ...] = ("training", "validation", "test")) -> DataFrame:
     """Rows of one split; an unknown name is refused."""
     if split not in known:

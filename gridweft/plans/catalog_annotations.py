@@ -372,6 +372,13 @@ def u_3(spark, sf):
     return DS.mix_by_ratio(_orders(spark, sf), "source", "o_orderkey", _RATIOS, seed=7)
 
 
+@query("U_3_mix_batches", f"""WITH {_MIX.format(r='0.5', lead='F')}
+SELECT o_orderkey, source, CAST(floor((rn - 0.5::DOUBLE) / (CASE source WHEN 'F' THEN 0.5::DOUBLE WHEN 'O' THEN 0.3::DOUBLE
+       ELSE 0.2::DOUBLE END * 64)) AS BIGINT) AS batch FROM ranked, lead WHERE rn <= {_SHARE}""")
+def u_3_batches(spark, sf):
+    return DS.batches_by_ratio(_orders(spark, sf), "source", "o_orderkey", _RATIOS, 64, seed=7)
+
+
 @query("U_3_mix_last_leads", f"""WITH {_MIX.format(r='0.2', lead='P')}
 SELECT o_orderkey, source FROM ranked, lead WHERE rn <= {_SHARE}""")
 def u_3_last(spark, sf):

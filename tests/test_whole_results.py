@@ -1,6 +1,7 @@
 """Nothing is lost or changed without a word: nulls, copies, line ends, repeated keys, many annotations."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,20 @@ def test_tree_distance_equals_brute_force(spark):
     )
     got = {r.i: r.distance for r in score_tables(frame, unrestricted=True).collect()}
     assert got == {i: pytest.approx(tables.tree_distance(tables.as_forest(a), tables.as_forest(b))) for i, (a, b) in enumerate(pairs)}
+
+
+def test_each_batch_has_the_shares(spark):
+    rows = [("a", n) for n in range(600)] + [("b", n) for n in range(300)] + [("c", n) for n in range(150)] + [("c", 149), (None, 7)]
+    frame = spark.createDataFrame(rows, "source string, k long")
+    ratios = {"a": 0.5, "b": 0.35, "c": 0.15}
+    got = DS.batches_by_ratio(frame, "source", "k", ratios, 20, seed=3).collect()
+    assert sorted((r.source, r.k) for r in got) == sorted((r.source, r.k) for r in DS.mix_by_ratio(frame, "source", "k", ratios, 3).collect())
+    counts = Counter((r.batch, r.source) for r in got)
+    # 1,200 rows by the first source; b and c are too small and are used up
+    assert max(r.batch for r in got) == 59
+    assert all(counts[b, "a"] == 10 for b in range(60)) and all(counts[b, "b"] == 7 for b in range(42)) and counts[44, "b"] == 0
+    assert all(counts[b, "c"] == 3 for b in range(50)) and sum(counts[b, "c"] for b in range(60)) == 151
+    for wrong in ({"mode": 2}, {"mode": -1}):
+        with pytest.raises(ValueError):
+            DS.batches_by_ratio(frame, "source", "k", ratios, 20, **wrong)
+    assert DS.batches_by_ratio(frame.limit(0), "source", "k", ratios, 20).collect() == []
