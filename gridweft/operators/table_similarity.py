@@ -128,29 +128,38 @@ def _section_cost(a: Column, b: Column) -> Column:
     return F.when(p == q, F.lit(0.0)).otherwise(changed)
 
 
-def table_distance(
+def coded_sides(
     true_sections: Column,
     pred_sections: Column,
     cell_tags: tuple[str, ...] = ("td",),
     structure_only: bool = False,
 ) -> Column:
-    def with_codes(codes: Column) -> Column:
-        env = F.struct(
+    """Both tables of a pair, ``t`` and ``p``, with comparable cells and weights."""
+    return bind(
+        _tag_codes(true_sections, pred_sections),
+        lambda codes: F.struct(
             _weighted(true_sections, codes, cell_tags, structure_only).alias("t"),
             _weighted(pred_sections, codes, cell_tags, structure_only).alias("p"),
-        )
-        return bind(
-            env,
-            lambda e: align_cost(
-                e["t"],
-                e["p"],
-                F.transform(e["t"], lambda s: s["weight"]),
-                F.transform(e["p"], lambda s: s["weight"]),
-                _section_cost,
-            ),
-        )
+        ),
+    )
 
-    return bind(_tag_codes(true_sections, pred_sections), with_codes)
+
+def table_distance(
+    true_sections: Column,
+    pred_sections: Column,
+    cell_tags: tuple[str, ...] = ("td",),
+    structure_only: bool = False,
+) -> Column:
+    return bind(
+        coded_sides(true_sections, pred_sections, cell_tags, structure_only),
+        lambda e: align_cost(
+            e["t"],
+            e["p"],
+            F.transform(e["t"], lambda s: s["weight"]),
+            F.transform(e["p"], lambda s: s["weight"]),
+            _section_cost,
+        ),
+    )
 
 
 # ---------------------------------------------------------------- scores
@@ -189,14 +198,8 @@ def score_tables(
     )
     if unrestricted:
         both = both.withColumn("_differ", usable & ~F.col("_same") & (F.col("t_sections") != F.col("p_sections")))
-        codes = bind(
-            _tag_codes(F.col("t_sections"), F.col("p_sections")),
-            lambda c: F.struct(
-                _weighted(F.col("t_sections"), c, cell_tags, structure_only).alias("t"),
-                _weighted(F.col("p_sections"), c, cell_tags, structure_only).alias("p"),
-            ),
-        )
-        both = both.withColumn("_coded", F.when(F.col("_differ"), codes))
+        sides = coded_sides(F.col("t_sections"), F.col("p_sections"), cell_tags, structure_only)
+        both = both.withColumn("_coded", F.when(F.col("_differ"), sides))
         both = both.withColumn("_tree", tree_distance(F.col("_coded.t"), F.col("_coded.p"))).drop("_coded")
         distance = F.when(F.col("_differ"), F.col("_tree")).otherwise(F.lit(0.0))
     out = both.withColumn("distance", F.when(usable, distance))

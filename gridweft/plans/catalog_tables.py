@@ -10,6 +10,7 @@ from gridweft.operators import cells as C
 from gridweft.operators import linearize as L
 from gridweft.operators import summaries as S
 from gridweft.operators import table_similarity as TS
+from gridweft.operators.edit_script import edit_script, table_distances
 from gridweft.plans import derived as D
 from gridweft.plans.registry import CELLS, HEADERS, LINES, ROWS, file_of, query
 from gridweft.streaming.incremental import pending
@@ -299,27 +300,28 @@ def f9(spark, sf):
     return pending(D.html_true(spark, sf).select("file"), D.html_pred(spark, sf))
 
 
+_NO_PLACE = "-1"
+_EDITS = f"""edits AS (
+  SELECT {file_of('k', 'page * 4 + 1')} AS file, 'cell' AS level, 'change' AS op, 1 AS true_section, CAST(i AS INTEGER) AS true_row,
+         1 AS true_cell, 1 AS pred_section, CAST(i AS INTEGER) AS pred_row, 1 AS pred_cell, round(1 / 3.0::DOUBLE, 6) AS cost
+  FROM rows WHERE ls = 'O'
+  UNION ALL SELECT {file_of('k', 'page * 4 + 2')}, 'row', 'delete', 1, CAST(i AS INTEGER), {_NO_PLACE}, {_NO_PLACE}, {_NO_PLACE},
+         {_NO_PLACE}, 5.0 FROM rows WHERE i = m - 1
+  UNION ALL SELECT {file_of('k', 'page * 4 + 3')}, 'cell', 'change', 1, CAST(i AS INTEGER), 0, 1, CAST(i AS INTEGER), 0, 1.0
+  FROM rows WHERE flag = 'R')"""
+
+
 @query("J12_changed_cells", f"""
-WITH {LINES}, {ROWS}
-SELECT {file_of('k', 'page * 4 + 1')} AS file, CAST(i AS INTEGER) AS row_no, 1 AS cell_no, round(1 / 3.0::DOUBLE, 6) AS cost
-FROM rows WHERE ls = 'O'
-UNION ALL SELECT {file_of('k', 'page * 4 + 3')}, CAST(i AS INTEGER), 0, 1.0 FROM rows WHERE flag = 'R'""")
+WITH {LINES}, {ROWS}, {_EDITS} SELECT * FROM edits""")
 def j12(spark, sf):
-    docs = D.html_tables(spark, sf)
-    true = C.explode_cells(C.parse_tables(docs.select("file", F.col("true_html").alias("html"))))
-    pred = C.explode_cells(C.parse_tables(docs.select("file", F.col("pred_html").alias("html"))))
-    # band of width 0: the cell at the same place of the other table
-    on = ["file", "section_no", "row_no", "cell_no"]
-
-    def side(df, name):
-        # an inline tag counts as one symbol
-        text = F.replace(F.replace("norm", F.lit("<b>"), F.lit("\U00100000")), F.lit("</b>"), F.lit("\U00100001"))
-        cell = F.struct("tag", "colspan", "rowspan", M.decode_entities(text).alias("text"), F.lit("").alias("kids"))
-        return df.select(*on, cell.alias(name))
-
-    both = side(true, "t").join(side(pred, "p"), on)
-    cost = TS.cell_cost(F.col("t"), F.col("p"))
-    return both.filter(F.col("t") != F.col("p")).select("file", "row_no", "cell_no", F.round(cost, 6).alias("cost"))
+    return edit_script(D.html_tables(spark, sf)).withColumn("cost", F.round("cost", 6)).fillna(-1)
+
+
+@query("A4_distance_by_blocks", f"""
+WITH {LINES}, {ROWS}, {_DAMAGE}
+SELECT file, round(distance, 6) AS distance FROM damage WHERE distance > 0""")
+def a4_blocks(spark, sf):
+    return table_distances(D.html_tables(spark, sf)).withColumn("distance", F.round("distance", 6))
 
 
 @query("A5_edit_distance", """
