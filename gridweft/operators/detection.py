@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from gridweft.functions import geometry as G
 from gridweft.operators.overlap import overlap_pairs, representatives
@@ -158,14 +160,21 @@ def top_per_image(detections: DataFrame, k: int = 1000, salts: int = 32) -> Data
     return cut.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
 
 
+TILE_BOXES = 2000
+"""Undecided boxes that are walked through by one task, at most."""
+
+
 def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5) -> DataFrame:
     """Greedy non-maximum suppression: ``image, det_no, score`` of the kept boxes.
 
-    A box is kept when no kept box of higher rank (score, then lower number) overlaps it by more than
-    ``min_iou``.  Instead of walking through an image in order, each round keeps all boxes that have no
-    undecided better neighbour and drops their neighbours.  The result is the same, and rounds
-    follow the longest chain of overlapping boxes, not the number of boxes.  Each round is written to the
-    checkpoint folder, so lost executors do not restart the loop.  Copies of a box are
+    A box is kept when no kept box of higher rank (score, then lower number) overlaps it by more than ``min_iou``.  Instead of walking
+    through an image in order, all tiles of all images are walked through at the same time.  Inside a tile a box is dropped if a
+    better neighbour is kept, kept if all of them are dropped, and left for the next round if that depends on an undecided box of
+    another tile.  The tiles of the next round are larger, so a chain of boxes that goes through many tiles is soon settled inside
+    one; a tile with too many undecided boxes is cut into smaller ones.  How boxes are dealt into tiles changes the number of rounds,
+    not the result.
+
+    Each round is written to the checkpoint folder, so lost executors do not restart the loop.  Copies of a box are
     represented by the best one, since all others are dropped by it.
     """
     flat = G.box_area(F.col("box")) <= 0
@@ -178,30 +187,92 @@ def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5) -> DataFrame:
         (F.col("iou") > min_iou)
         & ((F.col("by_score") > F.col("score")) | ((F.col("by_score") == F.col("score")) & (F.col("by_no") < F.col("det_no"))))
     )
-    edges = materialize(edges.select("image", "det_no", "by_no"), "nms-edges")
-    # boxes without a better neighbour are kept at once; only the others take part in the rounds
-    free = boxes.join(edges.select("image", "det_no"), ["image", "det_no"], "left_anti").select("image", "det_no")
+    edges = materialize(edges.select("image", "det_no", "by_no", F.lit(False).alias("hit")), "nms-edges")
     spark, paths = detections.sparkSession, []
+    number = ["image", "det_no"]
 
-    def kept(numbers: DataFrame) -> DataFrame:
+    def decided(found: DataFrame) -> DataFrame:
         # a folder for each round; all are read as one at the end, so plans do not grow with the rounds
-        paths.append(scratch_path(spark, "nms-kept"))
-        numbers.write.parquet(paths[-1])
-        return spark.read.schema(numbers.schema).parquet(paths[-1])
-
-    newest, left = kept(free), edges
-    while True:
-        hit = left.join(newest.withColumnRenamed("det_no", "by_no"), ["image", "by_no"], "left_semi")
-        dropped = hit.select("image", "det_no").distinct()
-        # edges into dropped boxes are settled; edges out of them no longer block anybody
-        rest = left.join(dropped, ["image", "det_no"], "left_anti").withColumn("open", F.lit(True))
-        gone = dropped.select("image", F.col("det_no").alias("by_no"), F.lit(True).alias("gone"))
-        rest = rest.join(gone, ["image", "by_no"], "left")
-        rest = materialize(rest.select("image", "det_no", "by_no", F.col("gone").isNull().alias("open")), "nms-round")
-        if rest.isEmpty():
-            break
-        left = rest.filter("open").select("image", "det_no", "by_no")
-        settled = rest.groupBy("image", "det_no").agg(F.max("open").alias("open")).filter(~F.col("open"))
-        newest = kept(settled.select("image", "det_no"))
-    numbers = spark.read.schema(free.schema).parquet(*paths)
-    return boxes.join(numbers, ["image", "det_no"], "left_semi").select("image", "det_no", "score")
+        paths.append(scratch_path(spark, "nms-decided"))
+        found.write.parquet(paths[-1])
+        return spark.read.schema(found.schema).parquet(paths[-1])
+
+    # boxes without a better neighbour are kept at once; only the others take part in the rounds
+    newest = decided(boxes.join(edges.select(number), number, "left_anti").select(*number, F.lit(True).alias("kept")))
+    low, high = (lambda a: F.get("box", a)), (lambda a: F.get("box", a + 2))
+    waiting = boxes.join(newest.select(number), number, "left_anti").select(
+        *number, "score", *[((low(a) + high(a)) / 2).alias(n) for a, n in ((0, "cx"), (1, "cy"))],
+        F.greatest(high(0) - low(0), high(1) - low(1)).alias("extent"),
+    )
+    waiting = materialize(waiting, "nms-waiting")
+    size = waiting.groupBy("image").agg(F.max("extent").alias("unit"))
+    waiting = materialize(waiting.drop("extent").join(size, "image"), "nms-waiting")
+    reach = 256.0
+    while not waiting.isEmpty():
+        before = newest.select("image", F.col("det_no").alias("by_no"), "kept")
+        edges = edges.join(newest.select(number), number, "left_anti").drop("hit").join(before, ["image", "by_no"], "left")
+        # an edge to a dropped box blocks nobody, one to a kept box decides
+        edges = edges.filter("kept IS NULL OR kept").select(*number, "by_no", F.col("kept").isNotNull().alias("hit"))
+        edges = materialize(edges, "nms-edges")
+        tiles = materialize(_tiles(waiting, reach), "nms-tiles")
+        newest = decided(_settled(tiles, edges))
+        waiting = materialize(waiting.join(newest.select(number), number, "left_anti"), "nms-waiting")
+        reach *= 16
+    everything = spark.read.schema(newest.schema).parquet(*paths)
+    return boxes.join(everything.filter("kept"), number, "left_semi").select("image", "det_no", "score")
+
+
+def _tiles(waiting: DataFrame, reach: float) -> DataFrame:
+    """``image, det_no, score, tile``: squares of ``reach`` times the largest box, smaller ones where they hold too many boxes.
+
+    Where even the smallest squares hold too many, their boxes are dealt out by number.
+    """
+
+    def square(level: int) -> Column:
+        side = F.col("unit") * (reach / 8**level)
+        return F.struct(F.lit(level).alias("level"), *[F.floor(F.col(c) / side).alias(c) for c in ("cx", "cy")])
+
+    parts = F.lit(1).cast("long")
+    tile = square(2)
+    for level in (2, 1, 0):
+        counts = waiting.groupBy("image", square(level).alias(f"s{level}")).agg(F.count(F.lit(1)).alias(f"n{level}"))
+        waiting = waiting.withColumn(f"s{level}", square(level)).join(counts, ["image", f"s{level}"])
+        few = F.col(f"n{level}") <= TILE_BOXES
+        tile = F.when(few, F.col(f"s{level}")).otherwise(tile if level < 2 else F.col("s2"))
+        crowded = F.ceil(F.col("n2") / TILE_BOXES)
+        parts = F.when(few, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("det_no"), crowded) if level == 2 else parts)
+    return waiting.select("image", "det_no", "score", F.struct(tile.alias("square"), parts.alias("part")).alias("tile"))
+
+
+def _settled(tiles: DataFrame, edges: DataFrame) -> DataFrame:
+    """``image, det_no, kept`` of the boxes that can be decided inside their tile.
+
+    Only the edges inside a tile travel as a list, of at most ``TILE_BOXES`` numbers; all others are two flags.
+    """
+    own = tiles.select("image", "det_no", "tile")
+    theirs = tiles.select("image", F.col("det_no").alias("by_no"), F.col("tile").alias("by_tile"))
+    placed = edges.join(own, ["image", "det_no"]).join(theirs, ["image", "by_no"], "left")
+    inside = F.col("tile") == F.col("by_tile")
+    flags = placed.groupBy("image", "det_no").agg(
+        F.max("hit").alias("hit"),
+        F.max(~F.col("hit") & ~inside).alias("outside"),
+        F.collect_list(F.when(~F.col("hit") & inside, F.col("by_no"))).alias("by"),
+    )
+    grouped = tiles.join(flags, ["image", "det_no"], "left").groupBy("image", "tile")
+    fields = {f.name: f for f in tiles.schema.fields}
+    schema = StructType([fields["image"], fields["det_no"], StructField("kept", BooleanType())])
+    return grouped.applyInPandas(_walk, schema)
+
+
+def _walk(tile: pd.DataFrame) -> pd.DataFrame:
+    """Boxes of a tile from the best to the worst; those that depend on an undecided box stay undecided."""
+    state: dict = {}
+    tile = tile.sort_values(["score", "det_no"], ascending=[False, True])
+    for number, hit, outside, by in zip(tile["det_no"], tile["hit"].eq(True), tile["outside"].eq(True), tile["by"]):
+        above = [state[b] for b in by] if by is not None else []
+        if hit or True in above:
+            state[number] = False
+        else:
+            state[number] = None if outside or None in above else True
+    kept = tile["det_no"].map(state)
+    return pd.DataFrame({"image": tile["image"], "det_no": tile["det_no"], "kept": kept})[kept.notna()]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridweft import schemas
 from gridweft.functions import geometry as G
 from gridweft.functions import markup as M
+from gridweft.functions.names import variation
 from gridweft.operators import annotations as A
 from gridweft.operators import generation as GEN
 from gridweft.operators import linearize as L
@@ -23,7 +24,7 @@ from gridweft.plans.registry import BOXES, LINES, ROWS, query
 from gridweft.session import scratch_path
 from gridweft.sources import readers as RD
 from gridweft.sources import writers as WR
-from gridweft.streaming.incremental import score_new_predictions
+from gridweft.streaming.incremental import read_scores, score_new_predictions
 
 
 def _text_of(coords: str = "coords"):
@@ -450,21 +451,42 @@ def k12(spark, sf):
 # ---------------------------------------------------------------- incremental
 
 
+_HAS_PREDICTION = "k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"
+
+
+def arrivals(spark, sf, pred, late, **options):
+    """Predictions that arrive in two parts, the even variations first; the folder of their scores."""
+    base = scratch_path(spark, "t1")
+    D.html_tables(spark, sf).select("file", F.col("true_html").alias("html")).write.parquet(f"{base}/true")
+    truth = spark.read.parquet(f"{base}/true").filter(options.pop("truth", F.lit(True)))
+    for part in (pred.filter(~late), pred.filter(late)):
+        part.write.mode("append").parquet(f"{base}/pred")
+        score_new_predictions(spark, truth, f"{base}/pred", f"{base}/scores", f"{base}/state", **options)
+    return f"{base}/scores"
+
+
+def is_late():
+    return variation("file") % 2 == 1
+
+
 @query("T1_incremental_scores", f"""
 WITH {LINES}, {ROWS}, {_DAMAGE}
 SELECT file, CAST(n_true AS INTEGER) AS n_true, CAST(n_pred AS INTEGER) AS n_pred,
-  round(1 - distance / greatest(n_true, n_pred), 6) AS score FROM damage
-WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW')""")
+  round(1 - distance / greatest(n_true, n_pred), 6) AS score FROM damage WHERE {_HAS_PREDICTION}""")
 def t1(spark, sf):
-    base = scratch_path(spark, "t1")
-    docs = D.html_tables(spark, sf)
-    docs.select("file", F.col("true_html").alias("html")).write.parquet(f"{base}/true")
-    truth = spark.read.parquet(f"{base}/true")
-    pred = D.html_pred(spark, sf)
-    # two arrivals: the even variations first; each is scored once
-    late = F.regexp_extract("file", r"Variation[0-9]*([0-9])\.", 1).cast("int") % 2 == 1
-    for part in (pred.filter(~late), pred.filter(late)):
-        part.write.mode("append").parquet(f"{base}/pred")
-        score_new_predictions(spark, truth, f"{base}/pred", f"{base}/scores", f"{base}/state")
-    scores = spark.read.parquet(f"{base}/scores")
+    scores = read_scores(spark, arrivals(spark, sf, D.html_pred(spark, sf), is_late()))
     return scores.select("file", "n_true", "n_pred", F.round("score", 6).alias("score"))
+
+
+@query("T1_names_sent_twice", f"""
+WITH {LINES}, {ROWS}, {_DAMAGE}
+SELECT file, CASE WHEN v = 3 THEN -1.0 ELSE round(1 - distance / greatest(n_true, n_pred), 6) END AS score,
+  CASE WHEN v = 3 THEN 'no_truth' ELSE 'ok' END AS flag FROM damage WHERE {_HAS_PREDICTION}""")
+def t1_twice(spark, sf):
+    """Every name of the first part comes again in the second, then as an empty document; no truth for the last variation of a table."""
+    pred = D.html_pred(spark, sf).withColumn("again", F.lit(False))
+    again = pred.filter(~is_late()).select("file", F.lit("").alias("html"), F.lit(True).alias("again"))
+    late = is_late() | F.col("again")
+    path = arrivals(spark, sf, pred.unionByName(again), late, truth=variation("file") % 4 != 3)
+    scores = read_scores(spark, path)
+    return scores.select("file", F.coalesce(F.round("score", 6), F.lit(-1.0)).alias("score"), "flag")

@@ -64,6 +64,29 @@ def test_suppression_equals_greedy_walk(spark, threshold):
     assert got == {k[2] for k in kept}
 
 
+@pytest.mark.parametrize("limit", [1, 7, 2000])
+def test_long_chains_are_settled_in_few_rounds(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(DT, "TILE_BOXES", limit)
+    monkeypatch.setattr(DT, "scratch_path", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    n = {1: 10, 7: 25, 2000: 1000}[limit]
+    rows = [(0, [3.0 * i, 0.0, 3.0 * i + 10, 10.0], i, 0.9 - i / 2000) for i in range(n)]
+    frame = spark.createDataFrame(rows, "image int, box array<double>, det_no int, score double")
+    # every second box overlaps a kept one by more than half of it
+    assert {r["det_no"] for r in DT.suppress_overlaps(frame, 0.5).collect()} == set(range(0, n, 2))
+    if limit == 2000:
+        assert len(list(tmp_path.iterdir())) <= 1 + 2  # boxes free from the start, then two rounds
+
+
+def test_tiles_hold_no_more_than_their_limit(spark, monkeypatch):
+    monkeypatch.setattr(DT, "TILE_BOXES", 10)
+    rng = random.Random(8)
+    places = [(rng.uniform(0, 5), rng.uniform(0, 5)) for _ in range(300)] + [(rng.uniform(0, 9000), 0.0) for _ in range(300)]
+    frame = spark.createDataFrame([(0, i, 0.5, x, y, 10.0) for i, (x, y) in enumerate(places)],
+                                  "image int, det_no int, score double, cx double, cy double, unit double")
+    sizes = [r["count"] for r in DT._tiles(frame, 16.0).groupBy("tile").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 25  # dealt by hash, so a share may be somewhat above 10
+
+
 def test_match_and_scores_against_brute_force(spark):
     rng = random.Random(6)
     gt = [(i, b, k, int(rng.random() < 0.2)) for k, (i, b) in enumerate(boxes(rng, 50) + boxes(rng, 20, 1))]

@@ -16,7 +16,7 @@ from gridweft.operators import vocabulary as V
 from gridweft.operators.ordering import running_index
 from gridweft.sources import readers as RD
 from gridweft.sources import writers as WR
-from gridweft.streaming.incremental import score_new_predictions
+from gridweft.streaming.incremental import latest_scores, score_new_predictions
 
 
 def test_line_numbers_over_many_blocks(spark, tmp_path):
@@ -148,3 +148,43 @@ def test_new_predictions_are_scored_once(spark, tmp_path):
         score_new_predictions(spark, truth, pred, out, state)
     score_new_predictions(spark, truth, pred, out, state)
     assert sorted((r["file"], r["score"]) for r in spark.read.parquet(out).collect()) == [("a", 1.0), ("b", 1.0)]
+
+
+@pytest.mark.parametrize("repeated", ["skip", "replace"])
+def test_names_sent_twice_and_predictions_without_truth(spark, tmp_path, repeated):
+    def html(cell):
+        return f"<html><body><table><tr><td>{cell}</td></tr></table></body></html>"
+
+    truths = [("a", html(1)), ("b", html(1)), ("late", html(1))]
+    pred, out, state = (str(tmp_path / d) for d in ("pred", "out", "state"))
+    batches = [
+        [("a", html(1)), ("late", html(1)), ("stray", html(1)), ("null", None)],
+        [("a", html(2)), ("b", html(3)), ("b", html(1)), ("b", html(1)), ("late", html(1))],  # b thrice in one batch
+    ]
+    for number, batch in enumerate(batches):
+        truth = spark.createDataFrame(truths[: 2 + number], "file string, html string")
+        spark.createDataFrame(batch, "file string, html string").coalesce(1).write.mode("append").parquet(pred)
+        score_new_predictions(spark, truth, pred, out, state, repeated=repeated)
+    rows = {r["file"]: r for r in latest_scores(spark, out).collect()}
+    assert rows["a"]["score"] == (1.0 if repeated == "skip" else pytest.approx(1 - 1 / 2))
+    assert (rows["b"]["score"], rows["late"]["score"], rows["late"]["flag"]) == (1.0, 1.0, "ok")
+    assert [(rows[k]["score"], rows[k]["flag"]) for k in ("stray", "null")] == [(None, "no_truth")] * 2
+    assert spark.read.parquet(out).filter("file = 'a'").count() == (1 if repeated == "skip" else 2)
+
+
+def test_a_repeated_batch_replaces_its_first_attempt(spark, tmp_path):
+    html = "<html><body><table><tr><td>1</td></tr></table></body></html>"
+    truth = spark.createDataFrame([("a", html)], "file string, html string")
+    pred, out, state = (str(tmp_path / d) for d in ("pred", "out", "state"))
+    truth.write.parquet(pred)
+    score_new_predictions(spark, truth, pred, out, state)
+    # the commit of the batch is lost after its rows were written
+    for commit in (tmp_path / "state" / "commits").iterdir():
+        commit.unlink()
+    score_new_predictions(spark, truth, pred, out, state)
+    assert [(r["file"], r["batch"]) for r in spark.read.parquet(out).collect()] == [("a", 0)]
+
+
+def test_unknown_rule_for_repeated_names(spark, tmp_path):
+    with pytest.raises(ValueError):
+        score_new_predictions(spark, None, "", "", "", repeated="sum")
