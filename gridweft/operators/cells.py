@@ -26,13 +26,59 @@ def parse_tables(tables: DataFrame, html: str = "html", ignore_tags: tuple[str,
     return parsed.drop("_clean", "_inner", "_markup")
 
 
-def explode_cells(parsed: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """One row per cell: ``keys, section_no, section, row_no, cell_no, tag, colspan, rowspan, norm``."""
+def explode_cells(parsed: DataFrame, keys: tuple[str, ...] = ("file",), span_aware: bool = False) -> DataFrame:
+    """One row per cell: ``keys, section_no, section, row_no, cell_no, tag, colspan, rowspan, norm``.
+
+    With ``span_aware`` there is also ``grid_col``, the first column of the cell in the grid of its section.
+    """
     k = list(keys)
     sections = parsed.select(*k, F.posexplode("sections").alias("section_no", "s"))
-    rows = sections.select(*k, "section_no", F.col("s.section").alias("section"), F.posexplode("s.rows").alias("row_no", "r"))
-    cells = rows.select(*k, "section_no", "section", "row_no", F.posexplode("r").alias("cell_no", "c"))
-    return cells.select(*k, "section_no", "section", "row_no", "cell_no", "c.tag", "c.colspan", "c.rowspan", "c.norm")
+    placed = F.arrays_zip(F.col("s.rows").alias("cells"), grid_columns(F.col("s.rows")).alias("starts")) if span_aware else F.col("s.rows")
+    rows = sections.select(*k, "section_no", F.col("s.section").alias("section"), F.posexplode(placed).alias("row_no", "r"))
+    cells = rows.select(*k, "section_no", "section", "row_no", "r", F.posexplode("r.cells" if span_aware else "r").alias("cell_no", "c"))
+    columns = [*k, "section_no", "section", "row_no", "cell_no", "c.tag", "c.colspan", "c.rowspan", "c.norm"]
+    return cells.select(*columns, *([F.get("r.starts", F.col("cell_no")).alias("grid_col")] if span_aware else []))
+
+
+def grid_columns(rows: Column) -> Column:
+    """The first column of every cell of the rows of a section, in order.
+
+    A cell takes the first column that is free, behind the cell before it.  Columns are taken by cells above for as many rows as they
+    span; 0 rows means all that follow.  A column span of 0 counts as 1, as browsers have it, and at most 1000 columns are spanned.
+    Spans end with the section.
+    """
+
+    def place(taken: Column, at: Column) -> Column:
+        # the parts taken by cells above are in order, so one walk over them finds the first free column
+        return F.aggregate(taken, at, lambda c, t: F.when((t["lo"] <= c) & (c < t["hi"]), t["hi"]).otherwise(c))
+
+    def next_row(state: Column, cells: Column) -> Column:
+        taken = state["taken"]
+
+        def next_cell(row: Column, cell: Column) -> Column:
+            def put(lo: Column) -> Column:
+                hi = lo + F.greatest(F.least(cell["colspan"], F.lit(1000)), F.lit(1))
+                below = F.when(cell["rowspan"] == 0, F.lit(2**31 - 1)).otherwise(cell["rowspan"])
+                part = F.struct(lo.alias("lo"), hi.alias("hi"), below.alias("rows"))
+                # a cell of this row alone is of no use to the rows below
+                parts = F.when(below > 1, F.concat(row["parts"], F.array(part))).otherwise(row["parts"])
+                return F.struct(hi.alias("at"), F.concat(row["starts"], F.array(lo)).alias("starts"), parts.alias("parts"))
+
+            return bind(place(taken, row["at"]), put)
+
+        def below(row: Column) -> Column:
+            left = F.transform(F.concat(taken, row["parts"]), lambda t: t.withField("rows", t["rows"] - 1))
+            still = F.sort_array(F.filter(left, lambda t: t["rows"] > 0))
+            return F.struct(still.alias("taken"), F.concat(state["starts"], F.array(row["starts"])).alias("starts"))
+
+        start = F.struct(F.lit(0).alias("at"), no_starts.alias("starts"), no_parts.alias("parts"))
+        return bind(F.aggregate(cells, start, next_cell), below)
+
+    no_starts, no_parts = F.array().cast("array<int>"), F.array().cast("array<struct<lo:int,hi:int,rows:int>>")
+    start = F.struct(no_parts.alias("taken"), F.array().cast("array<array<int>>").alias("starts"))
+    plain = F.forall(rows, lambda r: F.forall(r, lambda c: (c["colspan"] == 1) & (c["rowspan"] == 1)))
+    in_order = F.transform(rows, lambda r: F.transform(r, lambda c, i: i))
+    return F.when(plain, in_order).otherwise(F.aggregate(rows, start, next_row, lambda s: s["starts"]))
 
 
 def with_text(cells: DataFrame) -> DataFrame:
@@ -64,10 +110,16 @@ def header_ranges(cells: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFr
     )
 
 
-def body_positions(cells: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Data cells with their running position in the row; header cells in the body do not count."""
+def body_positions(cells: DataFrame, keys: tuple[str, ...] = ("file",), span_aware: bool = False) -> DataFrame:
+    """Data cells with their running position in the row; header cells in the body do not count.
+
+    With ``span_aware`` the position is the column in the grid (``grid_col``), where header cells and cells that reach down from
+    rows above take their columns too.
+    """
     w = Window.partitionBy(*keys, "section_no", "row_no").orderBy("cell_no")
     body = cells.filter((F.col("section") != "thead") & (F.col("tag") == "td"))
+    if span_aware:
+        return body.withColumnRenamed("grid_col", "pos")
     return body.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
 
 
@@ -133,6 +185,11 @@ def header_paths(sections: Column) -> Column:
     above it is continued by the cells above.  A single root over the whole table is left out of
     longer paths.
     """
+    return F.transform(header_leaves(sections), lambda leaf: leaf["path"])
+
+
+def header_leaves(sections: Column) -> Column:
+    """``lo, hi, path`` of every leaf column: the columns it covers, half-open, and its header path."""
 
     def build(env: Column) -> Column:
         levels, width = env["levels"], env["width"]
@@ -162,7 +219,17 @@ def header_paths(sections: Column) -> Column:
             cut = bind(names, lambda n: F.when(one_root & (F.size(n) > 1), F.slice(n, 2, F.size(n))).otherwise(n))
             return M.strip_tags(F.array_join(cut, " "))
 
-        return bind(one_root, lambda root: F.transform(leaves, lambda p: path_of(p, root)))
+        def leaf(all_starts: Column, root: Column) -> Column:
+            return F.transform(
+                all_starts,
+                lambda p, i: F.struct(
+                    p.alias("lo"),
+                    F.coalesce(F.get(all_starts, i + 1), F.array_max(width)).alias("hi"),
+                    path_of(p, root).alias("path"),
+                ),
+            )
+
+        return bind(one_root, lambda root: bind(leaves, lambda starts: leaf(starts, root)))
 
     def with_width(levels: Column) -> Column:
         width = F.transform(levels, lambda lv: F.array_max(F.transform(lv, lambda h: h["hi"])))

@@ -324,6 +324,30 @@ def a4_blocks(spark, sf):
     return table_distances(D.html_tables(spark, sf)).withColumn("distance", F.round("distance", 6))
 
 
+_SPANNED_TEXT = """concat_ws(' [SEP] ', CASE WHEN i % 2 = 0 THEN 'Amount qty | ' || qty END, 'Amount flag | ' || flag,
+     CASE WHEN status NOT IN ('-', 'done') THEN 'State Unknown | ' || replace(status, '''', '"') END, 'State line | L&' || n)"""
+
+
+@query("A2_linearize_spans", f"""
+WITH {LINES}, {ROWS}
+SELECT {file_of('k', 'page * 4')} AS file, string_agg({_SPANNED_TEXT}, ' [X_SEP] ' ORDER BY n) || ' [SEP] ' AS input
+FROM rows GROUP BY k, page""")
+def a2_spans(spark, sf):
+    return L.linearize(D.spanned_tables(spark, sf), span_aware=True).select("file", "input")
+
+
+@query("J4_grid_headers", f"""
+WITH {LINES}, {ROWS}
+SELECT {file_of('k', 'page * 4')} AS file, CAST(i AS INTEGER) AS row_no, CAST(cell_no AS INTEGER) AS cell_no, pos, name FROM (
+  SELECT k, page, i, pos, name, row_number() OVER (PARTITION BY k, page, i ORDER BY pos) - 1 AS cell_no
+  FROM rows, (VALUES (0, 'qty'), (1, 'flag'), (2, 'Unknown'), (3, 'line')) AS c(pos, name)
+  WHERE NOT (pos = 0 AND i % 2 = 1) AND NOT (pos = 2 AND status = 'done'))""")
+def j4_grid(spark, sf):
+    cells = C.explode_cells(C.parse_tables(D.spanned_tables(spark, sf)), span_aware=True)
+    found = C.attach_headers(C.body_positions(cells, span_aware=True), C.header_ranges(cells))
+    return found.filter("level = 2").select("file", "row_no", "cell_no", "pos", "name")
+
+
 @query("A5_edit_distance", """
 SELECT p_partkey, levenshtein(p_name, p_brand) AS distance,
        round(levenshtein(p_name, p_brand) / greatest(length(p_name), length(p_brand))::DOUBLE, 6) AS ratio FROM part""")

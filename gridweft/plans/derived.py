@@ -133,6 +133,25 @@ def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("file", with_inner("x").alias("true_html"), with_inner("y").alias("pred_html"))
 
 
+def spanned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True documents in which every other quantity spans two rows, and the flag of done lines spans the status too."""
+    rows = lines(spark, sf_dir).select(
+        F.col("l_orderkey").alias("order_id"), F.floor(F.col("l_linenumber") / 50).cast("int").alias("page"),
+        F.struct(F.col("l_linenumber").alias("n"), _row(F.col("l_returnflag"), F.lit("")).alias("row")).alias("r"),
+    )
+    docs = rows.groupBy("order_id", "page").agg(F.sort_array(F.collect_list("r")).alias("r"))
+
+    def spanned(r: Column, i: Column) -> Column:
+        wide = F.regexp_replace(r["row"], "<td>(<b>.</b>)</td><td>done</td>", '<td colspan="2">$1</td>')
+        below = F.regexp_replace(wide, "^<tr><td>[0-9]+</td>", "<tr>")
+        above = F.regexp_replace(wide, "^<tr><td>", '<tr><td rowspan="2">')
+        return F.when(i % 2 == 1, below).when(i < F.size("r") - 1, above).otherwise(wide)
+
+    html = _document("order_id", F.array_join(F.transform("r", spanned), ""))
+    docs = docs.withColumn("variation", F.col("page") * 4)
+    return docs.select(_file("order_id", "variation").alias("file"), html.alias("html"))
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary pairs: per customer a generated and a true sentence in the style of a short report."""
     c = table(spark, sf_dir, "customer").join(

@@ -85,6 +85,39 @@ def test_tables_in_cells(spark):
     assert {r["score"] for r in score_tables(spark.createDataFrame(same, "file string, true_html string, pred_html string")).collect()} == {1.0}
 
 
+GRIDS = {
+    "plain": ('<tr><td>a</td><td>b</td></tr><tr><td>c</td></tr>', [[0, 1], [0]]),
+    "rows": ('<tr><td rowspan="2">a</td><td>b</td></tr><tr><td>c</td></tr><tr><td>d</td></tr>', [[0, 1], [1], [0]]),
+    "columns": ('<tr><td colspan="3">a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr>', [[0, 3], [0, 1]]),
+    "a block between cells": ('<tr><td>a</td><td rowspan="3" colspan="2">b</td><td>c</td></tr><tr><td>d</td><td>e</td></tr><tr></tr><tr><td>f</td><td>g</td></tr>',
+                              [[0, 1, 3], [0, 3], [], [0, 1]]),
+    "two spans side by side": ('<tr><td>a</td><td rowspan="2">b</td></tr><tr><td rowspan="2">c</td><td>d</td></tr><tr><td>e</td><td>f</td></tr>',
+                               [[0, 1], [0, 2], [1, 2]]),
+    "to the end": ('<tr><td rowspan="0">a</td><td>b</td></tr><tr><td>c</td></tr><tr><td>d</td></tr>', [[0, 1], [1], [1]]),
+    "no width": ('<tr><td colspan="0">a</td><td>b</td></tr>', [[0, 1]]),
+    "header cell": ('<tr><th rowspan="2">a</th><td>b</td></tr><tr><td>c</td></tr>', [[0, 1], [1]]),
+    "very wide": ('<tr><td colspan="99999999999">a</td><td>b</td></tr>', [[0, 1000]]),
+}
+
+
+def test_grid_columns(spark):
+    docs = spark.createDataFrame([(k, doc(f"<tbody>{v[0]}</tbody>")) for k, v in GRIDS.items()], "file string, html string")
+    found = C.parse_tables(docs).select("file", C.grid_columns(F.get("sections", 0)["rows"]).alias("g")).collect()
+    assert {r["file"]: r["g"] for r in found} == {k: v[1] for k, v in GRIDS.items()}
+    cells = C.body_positions(C.explode_cells(C.parse_tables(docs), span_aware=True), span_aware=True).filter("file = 'header cell'")
+    assert sorted((r["row_no"], r["cell_no"], r["pos"]) for r in cells.collect()) == [(0, 1, 1), (1, 0, 1)]
+
+
+def test_texts_by_grid_column(spark):
+    body = ('<tbody><tr><td rowspan="2">1</td><td>2</td></tr><tr><td>3</td></tr><tr><td colspan="2">4</td><td>5</td></tr></tbody>'
+            "<tfoot><tr><td>6</td><td>7</td></tr></tfoot>")
+    assert text_of(spark, doc(HEAD + body), span_aware=True) == "a | 1 [SEP] b | 2 [X_SEP] b | 3 [X_SEP] a | 4 [X_SEP] a | 6 [SEP] b | 7 [SEP] "
+    # a leaf of two columns holds both cells below it
+    wide = '<thead><tr><th colspan="2">g</th><th>h</th></tr></thead><tbody><tr><td>1</td><td>2</td><td>3</td></tr></tbody>'
+    assert text_of(spark, doc(wide), span_aware=True) == "g | 1 [SEP] g | 2 [SEP] h | 3 [SEP] "
+    assert text_of(spark, doc("<tr><td colspan='2'>1</td><td>2</td></tr>"), span_aware=True) == "Unknown | 1 [SEP] Unknown | 2 [SEP] "
+
+
 def test_linearized_texts(spark):
     docs = spark.createDataFrame([(k, doc(v[0])) for k, v in LINEARIZED.items()], "file string, html string")
     got = {r["file"]: r["input"] for r in linearize(docs).collect()}
