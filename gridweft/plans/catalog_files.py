@@ -19,7 +19,7 @@ from gridweft.plans.catalog_evaluation import _LABELS, label_pairs
 from gridweft.plans.catalog_tables import _CUSTOMER_TEXT, _DAMAGE
 from gridweft.operators import summaries as S
 from gridweft.operators import text_scores as X
-from gridweft.plans.catalog_text import _BLEU, _LCS, _MAP, _ORDER_GOLD, _PAIRS, _ngram_counts, _rouge_words, gold_lines, id_map
+from gridweft.plans.catalog_text import _BLEU, _BLEU_SCORE, _LCS, _MAP, _ORDER_GOLD, _PAIRS, _ngram_counts, _rouge_words, gold_lines, id_map
 from gridweft.plans.registry import BOXES, LINES, ROWS, query
 from gridweft.session import scratch_path
 from gridweft.sources import readers as RD
@@ -320,17 +320,16 @@ def k2(spark, sf):
     return RD.read_numbered_lines(spark, path)
 
 
-@query("K3_metric_records", """
-SELECT c_nationkey AS table_id, CAST(c_custkey AS BIGINT) AS variation, length(c_name)::DOUBLE AS translation_length, c_acctbal AS bleu FROM customer""")
+@query("K3_metric_records", f"""{_BLEU}
+SELECT CAST(pair_id % 25 AS INTEGER) AS table_id, CAST(pair_id AS BIGINT) AS variation, lp::DOUBLE AS translation_length,
+       round({_BLEU_SCORE}, 6) AS bleu FROM bleu""")
 def k3(spark, sf):
     path = scratch_path(spark, "k3")
-    c = D.table(spark, sf, "customer")
-    records = c.select(
-        F.col("c_nationkey").alias("table_id"), F.col("c_custkey").alias("variation"),
-        F.length("c_name").cast("double").alias("translation_length"), F.col("c_acctbal").alias("bleu"),
-    )
+    scored = X.bleu(D.sentences(spark, sf)).withColumn("table_id", (F.col("pair_id") % 25).cast("int"))
+    records = scored.select("table_id", F.col("pair_id").alias("variation"), F.col("translation_length").cast("double"), "bleu")
     WR.write_metric_records(records, path)
-    return spark.read.schema("variation bigint, translation_length double, bleu double, table_id int").json(path)
+    written = spark.read.schema("variation bigint, translation_length double, bleu double, table_id int").json(path)
+    return written.withColumn("bleu", F.round("bleu", 6))
 
 
 _CHAIN_PAIRS = f"""{_MAP},

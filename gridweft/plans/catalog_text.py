@@ -143,34 +143,55 @@ def a9_sum_turns(spark, sf):
     return scored.select("conv_id", "turn", "rougeLsum")
 
 
-@query("A10_merge_metrics", f"""{_BLEU}
-SELECT pair_id, round(p1, 6) AS precision_1, round(bp, 6) AS brevity_penalty, lp::DOUBLE AS translation_length FROM bleu""")
+def _stemmed_words(column: str) -> str:
+    # the only words of the sentences of customers that are equal after stemming alone
+    return f"""list_transform({_rouge_words(column)}, lambda w:
+      CASE w WHEN 'ordering' THEN 'orders' WHEN 'segments' THEN 'segment' ELSE w END)"""
+
+
+_ROUGE_GRAMS = _ngram_counts("rwords", "(1), (2)").replace("grams", "rgrams").replace("hits", "rhits")
+_STEMMED_ROUGE = f"""rwords AS (SELECT pair_id, {_stemmed_words('prediction')} AS p, {_stemmed_words('reference')} AS r FROM pairs),
+{_ROUGE_GRAMS},
+counted AS (
+  SELECT pair_id, 2.0::DOUBLE * coalesce(max(h) FILTER (WHERE n = 1), 0) / (any_value(len(p)) + any_value(len(r))) AS rouge1,
+         2.0::DOUBLE * coalesce(max(h) FILTER (WHERE n = 2), 0) / (any_value(len(p)) + any_value(len(r)) - 2) AS rouge2
+  FROM rwords LEFT JOIN rhits USING (pair_id) GROUP BY pair_id),
+rouge AS (SELECT *, 2.0::DOUBLE * {_LCS} / (len(p) + len(r)) AS l FROM counted JOIN rwords USING (pair_id))"""
+_BLEU_SCORE = "CASE WHEN least(p1, p2, p3, p4) > 0 THEN bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) ELSE 0.0::DOUBLE END"
+
+
+@query("A8_rouge_stemmed_sentences", f"""WITH {_PAIRS}, {_STEMMED_ROUGE}
+SELECT pair_id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(l, 6) AS "rougeL", round(l, 6) AS "rougeLsum" FROM rouge""")
+def a8_sentences(spark, sf):
+    return X.rouge(D.sentences(spark, sf)).select("pair_id", *[F.round(f, 6).alias(f) for f in X.ROUGE_FIELDS])
+
+
+def both_metrics(spark, sf):
+    """BLEU and ROUGE of the sentences of customers, a row for each field."""
+    names = ["bleu", "rouge"]
+    return X.long_metrics(X.score_text(D.sentences(spark, sf), names), names, ["pair_id"])
+
+
+@query("A10_merge_metrics", f"""{_BLEU}, {_STEMMED_ROUGE}
+SELECT pair_id, round(p1, 6) AS precision_1, round(bp, 6) AS brevity_penalty, lp::DOUBLE AS translation_length,
+       round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(l, 6) AS "rougeL" FROM bleu JOIN rouge USING (pair_id)""")
 def a10(spark, sf):
-    long = X.long_metrics(X.score_text(D.sentences(spark, sf), ["bleu"]), ["bleu"], ["pair_id"])
-    wide = X.wide_metrics(long, ["pair_id"], ["precision_1", "brevity_penalty", "translation_length"])
-    return wide.select(
-        "pair_id",
-        F.round("precision_1", 6).alias("precision_1"),
-        F.round("brevity_penalty", 6).alias("brevity_penalty"),
-        "translation_length",
-    )
-
-
-@query("U1_metric_by_name", f"""{_BLEU}
-SELECT 'brevity_penalty' AS metric, count(*) AS n, round(avg(bp), 6) AS mean FROM bleu
-UNION ALL SELECT 'length_ratio', count(*), round(avg(lp / lr::DOUBLE), 6) FROM bleu
-UNION ALL SELECT 'precision_1', count(*), round(avg(p1), 6) FROM bleu
-UNION ALL SELECT 'precision_2', count(*), round(avg(p2), 6) FROM bleu
-UNION ALL SELECT 'precision_3', count(*), round(avg(p3), 6) FROM bleu
-UNION ALL SELECT 'precision_4', count(*), round(avg(p4), 6) FROM bleu
-UNION ALL SELECT 'reference_length', count(*), round(avg(lr), 6) FROM bleu
-UNION ALL SELECT 'translation_length', count(*), round(avg(lp), 6) FROM bleu
-UNION ALL SELECT 'bleu', count(*), round(avg(CASE WHEN least(p1, p2, p3, p4) > 0
-   THEN bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) ELSE 0.0 END), 6) FROM bleu""")
+    fields = ["precision_1", "brevity_penalty", "translation_length", "rouge1", "rouge2", "rougeL"]
+    wide = X.wide_metrics(both_metrics(spark, sf), ["pair_id"], fields)
+    return wide.select("pair_id", *[F.round(f, 6).alias(f) for f in fields])
+
+
+_MEANS = {
+    "brevity_penalty": "bp", "length_ratio": "lp / lr::DOUBLE", "precision_1": "p1", "precision_2": "p2", "precision_3": "p3",
+    "precision_4": "p4", "reference_length": "lr", "translation_length": "lp", "bleu": _BLEU_SCORE, "rouge1": "rouge1",
+    "rouge2": "rouge2", "rougeL": "l", "rougeLsum": "l",
+}
+
+
+@query("U1_metric_by_name", f"""{_BLEU}, {_STEMMED_ROUGE}, """ + "scored AS (SELECT * FROM bleu JOIN rouge USING (pair_id)) " + " UNION ALL ".join(
+    f"SELECT '{name}' AS metric, count(*) AS n, round(avg({value}), 6) AS mean FROM scored" for name, value in _MEANS.items()))
 def u1(spark, sf):
-    names = ["bleu"]
-    long = X.long_metrics(X.score_text(D.sentences(spark, sf), names), names, ["pair_id"])
-    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return both_metrics(spark, sf).groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query("U2_generate", """

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from gridweft import schemas
 from gridweft.functions.names import base_name, dir_name, is_image, truth_path
 from gridweft.operators.annotations import parse_curve_line, parse_quad_line
+from gridweft.session import materialize
 from gridweft.sources.writers import NULL_LINE
 
 
@@ -47,9 +48,10 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Files stay splittable.  Rows of one block follow each other in one task, so the number of a line is its
     position in the block plus the number of lines in the blocks before it; only the list of blocks
-    is sorted.
+    is sorted.  The files are scanned once, and lines are written with their place: counts and numbers come from the same cut into
+    blocks, whatever the settings are when the result is read.
     """
-    rows = spark.read.text(path).select("value", *_line_place())
+    rows = materialize(spark.read.text(path).select("value", *_line_place()), "numbered-lines")
     blocks = rows.groupBy(*_PLACE).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -33,6 +33,20 @@ def test_line_numbers_over_many_blocks(spark, tmp_path):
     assert got == expected
 
 
+def test_line_numbers_do_not_depend_on_later_settings(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.range(5000).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("value")).coalesce(1).write.text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        numbered = RD.read_numbered_lines(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        assert all(r["value"] == f"line {r['line_no']}" for r in numbered.collect())
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert numbered.filter("value = concat('line ', line_no)").count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_id_map_keeps_the_last_line(spark, tmp_path):
     path = tmp_path / "map.txt"
     path.write_bytes(b"7\r\n8\r\n7\r\n")
