@@ -4,7 +4,7 @@ The distance is the one of ``score_tables`` (levels are kept), but the rows of a
 matrix of a pair of sections is cut into blocks, and a block is a row of Spark.  Three things keep the work small without
 changing the result:
 
-* Equal rows at the head and at the tail of two sections are matched and not compared.  Two rows weigh apart by no more than it costs to
+* Equal sections at the head of two tables, and equal rows at the head and at the tail of two sections, are matched and not compared.  Two rows weigh apart by no more than it costs to
   change one into the other, so some best alignment matches them.
 * Rows that are equal and stand once on either side are anchors.  The longest chain of them gives an alignment, hence a bound.  A block
   that no path within that bound can reach is not made.  Anchors need not be matched in the end, so the result stays exact.
@@ -363,7 +363,20 @@ def _coded(pairs: DataFrame, key: str, cell_tags: tuple[str, ...], ignore_tags:
     usable = (F.col("_t_status") == "ok") & (F.col("_p_status") == "ok") & (F.col("_t") != F.col("_p"))
     sides = coded_sides(F.col("_t"), F.col("_p"), cell_tags, structure_only)
     both = both.withColumn("c", F.when(usable, sides)).withColumn("pair", F.monotonically_increasing_id())
-    return both.select("pair", "_key", "c.t", "c.p").filter("t IS NOT NULL AND t <> p")
+    both = both.select("pair", "_key", "c.t", "c.p").filter("t IS NOT NULL AND t <> p").withColumn("head", _equal_head(F.col("t"), F.col("p")))
+    rest = lambda side: F.slice(side, F.col("head") + 1, F.size(side))
+    return both.withColumns({"t": rest("t"), "p": rest("p")})
+
+
+def _equal_head(xs: Column, ys: Column) -> Column:
+    """How many sections at the head are equal; they are matched, as equal rows are."""
+
+    def step(state: Column, pair: Column) -> Column:
+        goes_on = state["open"] & F.coalesce(pair["x"] == pair["y"], F.lit(False))
+        return F.struct((state["n"] + goes_on.cast("int")).alias("n"), goes_on.alias("open"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"))
+    return F.aggregate(F.arrays_zip(xs.alias("x"), ys.alias("y")), start, step, lambda s: s["n"])
 
 
 def edit_script(
@@ -410,16 +423,20 @@ def edit_script(
 
     # a matched pair of sections costs its own difference here, its rows are listed below
     own = inside.filter("own > 0").select("pair", F.lit("change").alias("op"), F.col("ts").alias("i"), F.col("ps").alias("j"), F.col("own").alias("cost"))
-    whole = section_ops.filter("op <> 'change'").unionByName(own)
+    of_sections = section_ops.filter("op <> 'change'").unionByName(own)
     one_sided = row_ops.filter("op <> 'change'")
     # only the side that has the part names a section
     true_side, pred_side = F.when(F.col("op") != "insert", F.col("ts")), F.when(F.col("op") != "delete", F.col("ps"))
     out = (
-        listed(whole, "section", (at("i"), None, None, at("j"), None, None))
+        listed(of_sections, "section", (at("i"), None, None, at("j"), None, None))
         .unionByName(listed(one_sided, "row", (true_side, at("i"), None, pred_side, at("j"), None)))
         .unionByName(listed(cells, "cell", (F.col("ts"), F.col("tr"), at("i"), F.col("ps"), F.col("pr"), at("j"))))
     )
-    return coded.select("pair", F.col("_key").alias(key)).join(out, "pair").drop("pair")
+    for side in ("true_section", "pred_section"):
+        out = out.withColumnRenamed(side, f"_{side}")
+    whole = coded.select("pair", F.col("_key").alias(key), "head").join(out, "pair")
+    sections = {name: (F.col(f"_{name}") + F.col("head")).cast("int") for name in ("true_section", "pred_section")}
+    return whole.withColumns(sections).select(key, "level", "op", *_PLACES, "cost")
 
 
 def table_distances(pairs: DataFrame, key: str = "file", **options) -> DataFrame:
