@@ -3,7 +3,8 @@
 Plain detectors find e-mail addresses, IP addresses, card numbers and phone numbers.  Then transducers rewrite the text: characters
 that look like ASCII ones become those, invisible ones go, spelled digits become digits, and ``[at]``, ``(dot)`` and the like become
 signs.  Each transducer hands on, for every character that it writes, the span of the source that the character stands for, so
-what the detectors find in the rewritten text is mapped back.  A span found only there is added when it overlaps no plain one.
+what the detectors find in the rewritten text is mapped back.  A span found only there is added when it overlaps no plain one, or holds
+more than each plain one that it overlaps: plain ones stay, and ``redact`` takes what any span covers.
 
 Spans are ``(kind, start, end)`` in code points, end exclusive.  Null and empty texts have none.  All patterns take time in
 proportion to the text, so very long texts and long runs of digits or letters are scanned whole.
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -181,18 +184,31 @@ def _in_address(m: re.Match) -> bool:
     return before.lower() not in DETERMINERS and _REST_OF_LOCAL.match(text, b) is not None
 
 
+def _adds(span: tuple[str, int, int], base: list[tuple[str, int, int]], begins: list[int], reach: list[int]) -> bool:
+    """Whether a span holds more than each plain one that it overlaps; ``reach`` is the largest end so far."""
+    _, a, b = span
+    i = bisect_left(begins, b) - 1
+    while i >= 0 and reach[i] > a:
+        _, start, end = base[i]
+        if end > a and (start < a or end > b or (start, end) == (a, b)):
+            return False
+        i -= 1
+    return True
+
+
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Plain spans, and all spans."""
     base = detect(text)
     plain, starts, ends = normalize(text)
     if plain == text:
         return base, base
-    taken = [(a, b) for _, a, b in base]
+    known, begins = set(base), [a for _, a, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))
     added = []
     for kind, a, b in detect(plain):
-        span = int(starts[a]), int(ends[b - 1])
-        if not any(span[0] < end and start < span[1] for start, end in taken):
-            added.append((kind, *span))
+        span = kind, int(starts[a]), int(ends[b - 1])
+        if span not in known and _adds(span, base, begins, reach):
+            added.append(span)
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -213,7 +229,7 @@ def personal_data(text: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans the earlier one counts."""
+    """The text with each span replaced by its kind in angle brackets; overlapping spans go as one, under the kind of the earliest."""
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("done"))
 
     def step(acc: Column, span: Column) -> Column:
@@ -221,6 +237,8 @@ def redact(text: Column, spans: Column) -> Column:
             acc["out"], F.substr(text, acc["done"].cast("int") + 1, (span["start"] - acc["done"]).cast("int")),
             F.lit("<"), span["kind"], F.lit(">"),
         )
-        return F.when(span["start"] >= acc["done"], F.struct(piece.alias("out"), span["end"].alias("done"))).otherwise(acc)
+        return F.when(span["start"] >= acc["done"], F.struct(piece.alias("out"), span["end"].alias("done"))).otherwise(
+            F.struct(acc["out"].alias("out"), F.greatest(acc["done"], span["end"]).alias("done"))
+        )
 
     return F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["done"].cast("int") + 1)))
