@@ -124,6 +124,15 @@ def coco_frames(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return images, annotations
 
 
+def coco_rows(nested: DataFrame, split: Column) -> tuple[DataFrame, DataFrame]:
+    """Images and annotations, a row each, with their split; ids as in ``coco_documents``."""
+    image = [F.col("image_id").cast("bigint").alias("id"), "file_name", "height", "width", "segm_file"]
+    images = nested.select(split.alias("split"), *image).distinct()
+    base = F.shiftleft(F.col("image_id").cast("bigint"), 32) + F.col("first_no")
+    rows = nested.select(split.alias("split"), F.col("image_id").cast("bigint").alias("image_id"), base.alias("_base"), F.posexplode("annotations").alias("_i", "a"))
+    return images, rows.select("split", (F.col("_base") + F.col("_i")).alias("id"), "image_id", "a.*")
+
+
 def coco_documents(nested: DataFrame, shard: Column, split: Column) -> DataFrame:
     """COCO documents ``split, shard, images, annotations`` from nested images.
 

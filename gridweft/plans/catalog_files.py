@@ -22,6 +22,7 @@ from gridweft.operators import text_scores as X
 from gridweft.plans.catalog_text import _BLEU, _BLEU_SCORE, _LCS, _MAP, _ORDER_GOLD, _PAIRS, _ngram_counts, _rouge_words, gold_lines, id_map
 from gridweft.plans.registry import BOXES, LINES, ROWS, query
 from gridweft.session import scratch_path
+from gridweft.sources import documents as DC
 from gridweft.sources import readers as RD
 from gridweft.sources import writers as WR
 from gridweft.streaming.incremental import read_scores, score_new_predictions
@@ -89,18 +90,20 @@ def s5(spark, sf):
     return RD.read_linearized(spark, path)
 
 
-def coco_frame(spark, sf):
+def coco_files(spark, sf):
+    """One document per split; the folder they are in."""
+    path = scratch_path(spark, "coco")
     nested = A.nest_annotations(D.images(spark, sf), annotations(spark, sf))
-    return A.coco_documents(nested, F.floor(F.col("image_id") / 1000), F.col("split"))
+    DC.write_coco_documents(*A.coco_rows(nested, F.col("split")), path)
+    return path
 
 
 @query("S6_coco", f"""WITH {LINES}, {_QUADS}, {_IMAGES}
 SELECT image_id, any_value(file_name) AS file_name, count(anno_no) AS n, sum(w * h)::DOUBLE AS area
 FROM images LEFT JOIN quads USING (image_id) GROUP BY image_id""")
 def s6(spark, sf):
-    path = scratch_path(spark, "coco")
-    WR.write_coco(coco_frame(spark, sf), path)
-    images, annos = A.coco_frames(RD.read_coco(spark, path, multi_line=False))
+    images, annos = DC.read_coco_records(spark, coco_files(spark, sf))
+    images = images.select("id", "file_name")
     counts = annos.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
     out = images.withColumnRenamed("id", "image_id").join(counts, "image_id", "left")
     return out.select("image_id", "file_name", F.coalesce("n", F.lit(0)).alias("n"), "area")
@@ -154,13 +157,6 @@ def s9(spark, sf):
     return out
 
 
-def _write_xml(elements, path):
-    """One document per shard; a shard is a range of a thousand order numbers, so documents stay small."""
-    docs = elements.groupBy("shard").agg(F.array_join(F.sort_array(F.collect_list("xml")), "\n").alias("x"))
-    content = F.concat(F.lit("<Annotations>\n"), F.col("x"), F.lit("\n</Annotations>\n"))
-    WR.write_named_files(docs.select(F.format_string("part_%d.xml", "shard").alias("name"), content.alias("content")), path)
-
-
 def curve_coords():
     """Fourteen points: seven along the top, seven back along the bottom."""
     x, y = F.get("coords", 0), F.get("coords", 1)
@@ -195,8 +191,9 @@ def s11(spark, sf):
         F.array_join(F.transform("b", lambda r: r["b"]), ""), F.lit("</image>"),
     )
     path = scratch_path(spark, "polygon-xml")
-    _write_xml(images.select(F.floor(F.col("image_id") / 1000).alias("shard"), xml.alias("xml")), path)
-    rows = RD.read_polygon_xml(spark, path)
+    name = F.format_string("part_%d.xml", F.floor(F.col("image_id") / 100_000))
+    DC.write_xml_documents(images.select(name.alias("name"), "image_id", xml.alias("xml")), path, ["image_id"])
+    rows = RD.polygon_boxes(DC.read_xml_elements(spark, path, "image", schemas.POLYGON_XML))
     return rows.select("image", "box_no", _text_of("bbox").alias("bbox"), G.polygon_area("coords").alias("area"), "label")
 
 
@@ -214,9 +211,9 @@ def s12(spark, sf):
         F.col("lexicon"), F.lit("</lex><taggedRectangles>"), rect, F.lit("</taggedRectangles></image>"),
     )
     path = scratch_path(spark, "rectangle-xml")
-    shard = F.floor(F.col("rect_no") / 8000)
-    _write_xml(rectangles(spark, sf).select(shard.alias("shard"), xml.alias("xml")), path)
-    rows = RD.rectangle_labels(RD.read_rectangle_xml(spark, path))
+    name = F.format_string("part_%d.xml", F.floor(F.col("rect_no") / 1_000_000))
+    DC.write_xml_documents(rectangles(spark, sf).select(name.alias("name"), "rect_no", xml.alias("xml")), path, ["rect_no"])
+    rows = RD.rectangle_labels(RD.tagged_rectangles(DC.read_xml_elements(spark, path, "image", schemas.RECTANGLE_XML)))
     return rows.select(
         F.substring_index("image", "#", 1).alias("image"), F.substring_index("image", "#", -1).cast("bigint").alias("rect_no"),
         "x1", "y1", "tag", "lexicon",
@@ -351,18 +348,23 @@ rouge AS (
 longest AS (SELECT pair_id, 2.0::DOUBLE * {_LCS} / (len(p) + len(r)) AS l FROM rwords)
 SELECT CAST(table_id AS INTEGER) AS table_id, CAST(pair_id AS BIGINT) AS variation, round(p1, 6) AS precision_1,
        CASE WHEN least(p1, p2, p3, p4) > 0 THEN round(bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4), 6) ELSE 0.0::DOUBLE END AS bleu,
-       round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(l, 6) AS "rougeL"
-FROM pairs JOIN bleu USING (pair_id) JOIN rouge USING (pair_id) JOIN longest USING (pair_id)""")
+       round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(l, 6) AS "rougeL", true AS has_gold
+FROM pairs JOIN bleu USING (pair_id) JOIN rouge USING (pair_id) JOIN longest USING (pair_id)
+UNION ALL SELECT CAST(c_nationkey AS INTEGER), CAST(c_custkey AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, false
+FROM customer WHERE c_custkey NOT IN (SELECT pair_id FROM pairs)""")
 def e2(spark, sf):
-    """From tables to records: linearise, generate, attach gold, BLEU and ROUGE merged, one JSON record per variation."""
+    """From tables to records: linearise, generate, attach gold, BLEU and ROUGE merged, one JSON record per variation.
+
+    Predictions without a gold sentence have a record too; their scores are 0 and ``has_gold`` is false.
+    """
     made = GEN.generate(linearized_customers(spark, sf), GEN.template_model).select("table_id", "variation", "prediction")
-    pairs = S.attach_gold(made, id_map(spark, sf), gold_lines(spark, sf)).filter("has_gold").withColumnRenamed("gold", "reference")
+    pairs = S.attach_gold(made, id_map(spark, sf), gold_lines(spark, sf)).withColumnRenamed("gold", "reference")
     fields = ["precision_1", "bleu", "rouge1", "rouge2", "rougeL"]
-    keys = ["table_id", "variation"]
+    keys = ["table_id", "variation", "has_gold"]
     merged = X.wide_metrics(X.long_metrics(X.score_text(pairs, ["bleu", "rouge"]), ["bleu", "rouge"], keys), keys, fields)
     path = scratch_path(spark, "e2")
     WR.write_metric_records(merged, path)
-    schema = "variation bigint, " + ", ".join(f"{f} double" for f in fields) + ", table_id int"
+    schema = "variation bigint, has_gold boolean, " + ", ".join(f"{f} double" for f in fields) + ", table_id int"
     return spark.read.schema(schema).json(path).select(*keys, *(F.round(f, 6).alias(f) for f in fields))
 
 
@@ -388,11 +390,10 @@ def k5(spark, sf):
 @query("K6_coco_by_split", f"""WITH {LINES}, {_QUADS}, {_IMAGES}
 SELECT split, count(DISTINCT image_id) AS n_images, count(anno_no) AS n_annotations FROM images LEFT JOIN quads USING (image_id) GROUP BY split""")
 def k6(spark, sf):
-    path = scratch_path(spark, "k6")
-    WR.write_coco(coco_frame(spark, sf), path)
-    docs = RD.read_coco(spark, path, multi_line=False)
-    docs = docs.select(F.regexp_extract("_metadata.file_path", "split=([a-z]+)/", 1).alias("split"), F.size("images").alias("i"), F.size("annotations").alias("a"))
-    return docs.groupBy("split").agg(F.sum("i").alias("n_images"), F.sum("a").alias("n_annotations"))
+    records = DC.read_json_records(spark, coco_files(spark, sf))
+    split = F.regexp_extract("file", r"/instances_([a-z]+)\.json\z", 1).alias("split")
+    counts = [F.count(F.when(F.col("section") == s, 1)).alias(f"n_{s}") for s in ("images", "annotations")]
+    return records.groupBy(split).agg(*counts)
 
 
 @query("K7_results", f"WITH {_LABELS} SELECT pred = gt AS is_correct, image || ' ' || pred || ' ' || gt AS value FROM pairs")

@@ -127,7 +127,11 @@ def read_curve_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_polygon_xml(spark: SparkSession, path: str) -> DataFrame:
     """``image, bbox, coords, label`` from XML with one ``box`` per polygon."""
-    docs = spark.read.format("xml").option("rowTag", "image").schema(schemas.POLYGON_XML).load(path)
+    return polygon_boxes(spark.read.format("xml").option("rowTag", "image").schema(schemas.POLYGON_XML).load(path))
+
+
+def polygon_boxes(docs: DataFrame) -> DataFrame:
+    """A row per box of ``image`` elements."""
     boxes = docs.select(F.col("_file").alias("image"), F.posexplode("box").alias("box_no", "b"))
     return boxes.select(
         "image",
@@ -140,7 +144,11 @@ def read_polygon_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rectangle_xml(spark: SparkSession, path: str) -> DataFrame:
     """``image, rect_no, lexicon, x, y, width, height, tag`` from XML with tagged rectangles."""
-    docs = spark.read.format("xml").option("rowTag", "image").schema(schemas.RECTANGLE_XML).load(path)
+    return tagged_rectangles(spark.read.format("xml").option("rowTag", "image").schema(schemas.RECTANGLE_XML).load(path))
+
+
+def tagged_rectangles(docs: DataFrame) -> DataFrame:
+    """A row per rectangle of ``image`` elements."""
     rects = docs.select(
         F.col("imageName").alias("image"),
         F.col("lex").alias("lexicon"),

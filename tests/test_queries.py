@@ -13,7 +13,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # one or two of each module; all others are compared by the same SQL outside the test run
 NAMES = (
     "A2_linearize", "A4_table_similarity", "F7_structure_only", "A7_bleu", "A8_rouge_n_turns", "A9_rouge_l", "J3_gold_by_table",
-    "J9_fill_cells", "J10_match_boxes", "A14_detection_scores", "A16_entity_scores", "K2_score_map", "S6_coco", "S11_polygon_xml",
+    "J9_fill_cells", "J10_match_boxes", "A14_detection_scores", "A16_entity_scores", "K2_score_map", "S6_coco", "S11_polygon_xml", "S12_rectangle_xml", "K6_coco_by_split",
     "U_3_mix_by_ratio", "E2_summary_chain", "O5_suppress_overlaps", "A1_file_lists", "F12_first_words",
     "A3_header_paths", "A4_nested_tables", "J12_changed_cells", "A2_linearize_spans", "J4_grid_headers", "T1_incremental_scores", "T1_names_sent_twice", "A4_distance_by_blocks", "U_3_mix_batches",
 )
