@@ -9,7 +9,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from gridweft.functions import geometry as G
 from gridweft.operators.overlap import overlap_pairs, representatives
-from gridweft.session import materialize, scratch_path
+from gridweft.session import discard, materialize, scratch_path
 
 
 def above_score(detections: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -204,20 +204,24 @@ def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5) -> DataFrame:
         *number, "score", *[((low(a) + high(a)) / 2).alias(n) for a, n in ((0, "cx"), (1, "cy"))],
         F.greatest(high(0) - low(0), high(1) - low(1)).alias("extent"),
     )
-    waiting = materialize(waiting, "nms-waiting")
-    size = waiting.groupBy("image").agg(F.max("extent").alias("unit"))
-    waiting = materialize(waiting.drop("extent").join(size, "image"), "nms-waiting")
-    reach = 256.0
+    first = materialize(waiting, "nms-waiting")
+    size = first.groupBy("image").agg(F.max("extent").alias("unit"))
+    waiting = materialize(first.drop("extent").join(size, "image"), "nms-waiting")
+    discard(spark, first)
+    reach, last_edges = 256.0, edges
     while not waiting.isEmpty():
         before = newest.select("image", F.col("det_no").alias("by_no"), "kept")
-        edges = edges.join(newest.select(number), number, "left_anti").drop("hit").join(before, ["image", "by_no"], "left")
+        edges = last_edges.join(newest.select(number), number, "left_anti").drop("hit").join(before, ["image", "by_no"], "left")
         # an edge to a dropped box blocks nobody, one to a kept box decides
-        edges = edges.filter("kept IS NULL OR kept").select(*number, "by_no", F.col("kept").isNotNull().alias("hit"))
-        edges = materialize(edges, "nms-edges")
+        open_edges = edges.filter("kept IS NULL OR kept").select(*number, "by_no", F.col("kept").isNotNull().alias("hit"))
+        open_edges = materialize(open_edges, "nms-edges")
         tiles = materialize(_tiles(waiting, reach), "nms-tiles")
-        newest = decided(_settled(tiles, edges))
-        waiting = materialize(waiting.join(newest.select(number), number, "left_anti"), "nms-waiting")
+        newest = decided(_settled(tiles, open_edges))
+        left = materialize(waiting.join(newest.select(number), number, "left_anti"), "nms-waiting")
+        discard(spark, last_edges, tiles, waiting)
+        last_edges, waiting = open_edges, left
         reach *= 16
+    discard(spark, last_edges, waiting)
     everything = spark.read.schema(newest.schema).parquet(*paths)
     return boxes.join(everything.filter("kept"), number, "left_semi").select("image", "det_no", "score")
 

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_given: set[str] = set()
+
+
 def get_session(app: str = "gridweft", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session with the settings this library relies on.
 
@@ -50,7 +53,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.add(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -58,4 +63,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+def discard(spark: SparkSession, *written: DataFrame | str) -> None:
+    """Delete folders of ``scratch_path``, or of frames that ``materialize`` gave, once nothing reads them any more.
+
+    Folders that this process was not given are refused.  Lost executors do no harm: what was made from the folder has been written before.
+    """
+    for one in written:
+        path = one if isinstance(one, str) else one._scratch
+        if path not in _given:
+            raise ValueError(f"not a scratch folder: {path}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        _given.discard(path)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridweft import schemas
-from gridweft.session import scratch_path
+from gridweft.session import discard, scratch_path
 from gridweft.sources.readers import list_files
 
 BLOCK = 4 << 20
@@ -241,7 +241,9 @@ def write_documents(pieces: DataFrame, path: str, order: list[str], name: str =
     folder = F.replace(F.regexp_extract("path", r"/name=([^/]*)/[^/]*\z", 1), F.lit("+"), F.lit("%2B"))
     names = listed.groupBy(F.url_decode(folder).alias("name")).agg(F.sort_array(F.collect_list("path")).alias("parts"))
     n = max(1, listed.select(folder).distinct().count())
-    return names.repartition(n, "name").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    made = names.repartition(n, "name").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    discard(spark, parts)
+    return made
 
 
 def write_coco_documents(images: DataFrame, annotations: DataFrame, path: str, split: str = "split") -> int:

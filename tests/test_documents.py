@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from gridweft import schemas
+from gridweft.operators import detection as DT
+from gridweft.session import checkpoint_root, discard, materialize
 from gridweft.sources import documents as DC
 from gridweft.sources import readers as RD
 
@@ -113,3 +115,32 @@ def test_xml_elements_of_split_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == want and len(got) == sum(i % 3 for i in range(400))
     assert isinstance(elements.schema["box"].dataType, ST.ArrayType)
+
+
+def test_rounds_of_suppression_and_parts_are_deleted(spark, tmp_path):
+    from pathlib import Path
+
+    def folders():
+        return {p.name for p in Path(checkpoint_root(spark)).iterdir()}
+
+    before = folders()
+    chain = [(1, i, 1.0 - i / 100, [6.0 * i, 0.0, 6.0 * i + 10, 10.0]) for i in range(30)]
+    boxes = spark.createDataFrame(chain, "image int, det_no int, score double, box array<double>")
+    kept = DT.suppress_overlaps(boxes, 0.2)
+    assert sorted(r.det_no for r in kept.collect()) == list(range(0, 30, 2))
+    DC.write_documents(spark.createDataFrame([("a.txt", 1, "x")], "name string, n int, value string"), str(tmp_path), ["n"])
+    assert (tmp_path / "a.txt").read_text() == "x\n"
+    left = {name.rsplit("-", 1)[0] for name in folders() - before}
+    assert "nms-boxes" in left and not left & {"nms-waiting", "nms-tiles", "document-parts"}
+
+
+def test_only_scratch_folders_are_deleted(spark, tmp_path):
+    (tmp_path / "data").mkdir()
+    with pytest.raises(ValueError):
+        discard(spark, str(tmp_path / "data"))
+    written = materialize(spark.range(3), "some")
+    assert written.count() == 3
+    discard(spark, written)
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        written.count()
+    assert (tmp_path / "data").exists()
