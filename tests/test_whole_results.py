@@ -173,3 +173,37 @@ def test_each_batch_has_the_shares(spark):
         with pytest.raises(ValueError):
             DS.batches_by_ratio(frame, "source", "k", ratios, 20, **wrong)
     assert DS.batches_by_ratio(frame.limit(0), "source", "k", ratios, 20).collect() == []
+
+
+def test_documents_are_parsed_once(spark):
+    from gridweft.operators import cells as C
+
+    docs = spark.createDataFrame([("a", "<html><body><table><tr><td>x</td></tr></table></body></html>"), ("b", "")], "file string, html string")
+    parsed = C.parse_tables(docs)
+    cells = C.explode_cells(parsed)
+    filters = [line for line in cells._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert not any("</(?:" in line for line in filters)
+    assert [(r.file, r.norm) for r in cells.collect()] == [("a", "x")]
+
+
+def test_equal_ends_of_two_tables_are_not_parsed(spark):
+    from pyspark.sql import functions as F
+
+    from gridweft.functions import markup as M
+
+    row = "<tr><td>{}</td></tr>".format
+    head = "<thead><tr><th>h</th></tr></thead>"
+    cases = [
+        (head + "<tbody>" + row(1) + row(2) + row(3) + "</tbody>", head + "<tbody>" + row(1) + row(9) + row(3) + "</tbody>", [["2"]], [["9"]]),
+        (row(1) + row(1) + row(1), row(1) + row(1), [["1"]], []),
+        (head + row(1), row(1), [["h"]], None),
+        ("<caption>c</caption>" + row(1), row(1), [], None),
+    ]
+    df = spark.createDataFrame([(c[0], c[1]) for c in cases], "a string, b string").coalesce(1)
+    found = [r[0] for r in df.select(M.differing_sections(F.col("a"), F.col("b"))).collect()]
+
+    def texts(sections):
+        return [[c["norm"] for c in r] for r in sections[0]["rows"]] if sections else None
+
+    assert [(texts(f["t"]), texts(f["p"])) for f in found] == [(c[2], c[3]) for c in cases]
+    assert found[3]["t"][0]["kids"] == ["caption"] or found[3]["t"][0]["section"] == "caption"
