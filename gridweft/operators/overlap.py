@@ -14,21 +14,20 @@ the JVM compiles.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SMALLEST = 1e-3
+_CLASS = 3
+"""Levels (powers of two) in a class of extents."""
 _EDGES = ("x1", "y1", "x2", "y2")
 
 
 def _flat(df: DataFrame, side: str) -> DataFrame:
-    """The box as four columns and its area, named after the side."""
+    """The box as four columns, named after the side."""
     for i, e in enumerate(_EDGES):
         df = df.withColumn(f"_{side}{e}", F.get("box", i))
-    area = (F.col(f"_{side}x2") - F.col(f"_{side}x1")) * (F.col(f"_{side}y2") - F.col(f"_{side}y1"))
-    return df.withColumn(f"_{side}a", area).drop("box")
+    return df.drop("box")
 
 
 def _extent(side: str, axis: str) -> Column:
@@ -45,15 +44,19 @@ def _with_iou(met: DataFrame) -> DataFrame:
         end = F.least(f"_l{axis}2", f"_r{axis}2")
         return F.greatest(end - F.greatest(f"_l{axis}1", f"_r{axis}1"), F.lit(0.0))
 
+    def area(side: str) -> Column:
+        # from the edges once boxes have met: every column travels as often as the box is entered
+        return (F.col(f"_{side}x2") - F.col(f"_{side}x1")) * (F.col(f"_{side}y2") - F.col(f"_{side}y1"))
+
     both = common("x") * common("y")
-    union = F.col("_la") + F.col("_ra") - both
+    union = area("l") + area("r") - both
     return met.withColumn("iou", F.when(union > 0, both / union).otherwise(F.lit(0.0)))
 
 
 def _boxes_back(df: DataFrame) -> DataFrame:
     for side in ("l", "r"):
         names = [f"_{side}{e}" for e in _EDGES]
-        df = df.withColumn(f"{side}_box", F.array(*names)).drop(*names, f"_{side}a")
+        df = df.withColumn(f"{side}_box", F.array(*names)).drop(*names)
     return df
 
 
@@ -112,39 +115,39 @@ def _similar_pairs(left: DataFrame, right: DataFrame, image: str, min_iou: float
     """Candidates for at least ``min_iou``: boxes of similar size with centres close to each other.
 
     If the overlap is at least ``t``, widths differ at most by the factor ``1 / t``; the same holds for heights.
-    Each axis therefore has its own level, and boxes meet on the level of the larger extent.  Of two extents
-    ``w <= W`` at least ``t W`` is common, so the centres are at most ``(w + W) / 2 - t W`` apart.  The left box
-    is entered under its centre, the right one under all grid columns within that distance, so a
-    pair meets once.  The columns ``_ux, _uy`` keep two boxes from meeting on a level that belongs to neither.
+    Each axis therefore has classes of extents, of a factor of 8 each, with a grid of twice the largest extent of the class.  Of two
+    extents ``w <= W`` at least ``t W`` is common, so the centres are at most ``(w + W) / 2 - t W`` apart.  The left box
+    is entered once: in its own class, under its centre.  The right one is entered in every class that a partner may have, mostly one,
+    under all grid columns within that distance, mostly one or two.  A pair meets once.
+
+    What is sent and sorted grows with the number of entries; smaller cells and finer classes need several times as many and
+    spare comparisons only, which are cheap.
 
     Boxes are repeated on entering, which the optimizer does not foresee, so the join is asked not to
     broadcast.
     """
-    reach = max(1, math.ceil(math.log2(1.0 / min_iou)))
-    step = 0.75
+
+    def class_of(extent: Column) -> Column:
+        return F.floor(_level(extent) / _CLASS).cast("int")
 
     def axis(df: DataFrame, side: str, name: str) -> DataFrame:
-        entries = []
-        for up in range(reach + 1):
-            tags = ((0, 1) if up == 0 else (0,)) if side == "l" else ((0,) if up == 0 else (1,))
-            entries += [F.struct((F.col("_own") + up).alias("level"), F.lit(t).alias("tag")) for t in tags]
-        df = df.withColumn("_own", _level(_extent(side, name))).withColumn("_e", F.explode(F.array(*entries)))
-        df = df.withColumn(f"_k{name}", F.col("_e.level")).withColumn(f"_u{name}", F.col("_e.tag")).drop("_e", "_own")
-        size = F.pow(F.lit(2.0), F.col(f"_k{name}"))
-        centre = (F.col(f"_{side}{name}1") + F.col(f"_{side}{name}2")) / 2
+        extent, centre = _extent(side, name), (F.col(f"_{side}{name}1") + F.col(f"_{side}{name}2")) / 2
+        size = F.pow(F.lit(2.0), (F.col(f"_k{name}") + 1) * _CLASS)
 
         def column(at: Column) -> Column:
-            return F.floor(at / (size * step)).cast("bigint")
+            return F.floor(at / size).cast("bigint")
 
         if side == "l":
-            return df.withColumn(f"_g{name}", column(centre))
-        extent = _extent(side, name)
-        widest = F.least(size, extent / min_iou) if min_iou < 0.5 else extent
+            return df.withColumn(f"_k{name}", class_of(extent)).withColumn(f"_g{name}", column(centre))
+        # the factor covers rounding
+        least, most = extent * (min_iou * (1 - 1e-9)), extent / (min_iou * (1 - 1e-9))
+        df = df.withColumn(f"_k{name}", F.explode(F.sequence(class_of(least), class_of(most))))
+        widest = extent / min_iou if min_iou < 0.5 else extent
         # the last term covers rounding
         reach_out = extent / 2 + widest * (0.5 - min_iou) + size * 1e-9
         return df.withColumn(f"_g{name}", F.explode(F.sequence(column(centre - reach_out), column(centre + reach_out))))
 
-    on = [image, "_kx", "_ky", "_ux", "_uy", "_gx", "_gy"]
+    on = [image, "_kx", "_ky", "_gx", "_gy"]
     entered = [axis(axis(df, side, "x"), side, "y") for df, side in ((left, "l"), (right, "r"))]
     return entered[0].join(entered[1].hint("merge"), on).drop(*on[1:])
 

@@ -207,3 +207,14 @@ def test_equal_ends_of_two_tables_are_not_parsed(spark):
 
     assert [(texts(f["t"]), texts(f["p"])) for f in found] == [(c[2], c[3]) for c in cases]
     assert found[3]["t"][0]["kids"] == ["caption"] or found[3]["t"][0]["section"] == "caption"
+
+
+def test_boxes_are_entered_once_on_the_left(spark):
+    from gridweft.operators.overlap import overlap_pairs
+
+    left = spark.createDataFrame([(1, [0.0, 0.0, 10.0, 10.0], 1)], "image int, box array<double>, a int")
+    right = spark.createDataFrame([(1, [1.0, 0.0, 11.0, 10.0], 2), (1, [40.0, 0.0, 50.0, 10.0], 3)], "image int, box array<double>, b int")
+    pairs = overlap_pairs(left, right, min_iou=0.5)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 4  # classes and columns of either axis, right side only
+    assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)]
