@@ -6,6 +6,7 @@ distribution is.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -109,11 +110,14 @@ def summary_hits(ref_sentences: pd.Series, pred_sentences: pd.Series) -> pd.Seri
     """Reference words covered by the union of per-sentence subsequences, clipped by word counts."""
     out = []
     for refs, preds in zip(ref_sentences, pred_sentences):
+        if not len(refs) or not len(preds):
+            out.append(0)
+            continue
         preds = [list(p) for p in preds]
-        left = pd.Series([w for p in preds for w in p], dtype=object).value_counts().to_dict()
+        left = Counter(w for p in preds for w in p)
         hits = 0
         for ref in (list(r) for r in refs):
-            covered = set().union(*[lcs_positions(ref, p) for p in preds]) if preds else set()
+            covered = set().union(*[lcs_positions(ref, p) for p in preds])
             for i in sorted(covered):
                 if left.get(ref[i], 0) > 0:
                     left[ref[i]] -= 1
