@@ -105,7 +105,8 @@ def s6(spark, sf):
     images, annos = DC.read_coco_records(spark, coco_files(spark, sf))
     images = images.select("id", "file_name")
     counts = annos.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
-    out = images.withColumnRenamed("id", "image_id").join(counts, "image_id", "left")
+    # the sizes of what is read from the documents are unknown to the optimizer, which would send either side through the driver
+    out = images.withColumnRenamed("id", "image_id").join(counts.hint("merge"), "image_id", "left")
     return out.select("image_id", "file_name", F.coalesce("n", F.lit(0)).alias("n"), "area")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridweft import schemas
-from gridweft.session import discard, scratch_path
+from gridweft.session import discard, materialize, scratch_path
 from gridweft.sources.readers import list_files
 
 BLOCK = 4 << 20
@@ -255,21 +255,28 @@ def write_coco_documents(images: DataFrame, annotations: DataFrame, path: str, s
 
     def section(df: DataFrame, place: int) -> DataFrame:
         fields = [c for c in df.columns if c != split]
-        firsts = df.groupBy(shown).agg(F.min("id").alias("_first"))
-        rows = df.select(shown, "id", F.to_json(F.struct(*fields)).alias("_r")).join(firsts, "name")
-        line = F.concat(F.when(F.col("id") == F.col("_first"), "").otherwise(","), "_r")
-        return rows.select("name", F.lit(place).alias("place"), F.col("id").cast("bigint").alias("id"), line.alias("value"))
-
-    names = images.select(shown).union(annotations.select(shown)).distinct()
+        return df.select(shown, F.lit(place).alias("place"), F.col("id").cast("bigint").alias("id"), F.to_json(F.struct(*fields)).alias("_r"))
+
+    # the records are read three more times: for the first of each section, for the ranges and for their pieces
+    records = materialize(section(images, 1).unionByName(section(annotations, 3)), "coco-records")
+    # a row for each section of a document; a join by name would send a whole document to one task
+    firsts = F.broadcast(records.groupBy("name", "place").agg(F.min("id").alias("_first")))
+    line = F.concat(F.when(F.col("id") == F.col("_first"), "").otherwise(","), "_r")
+    pieces = records.join(firsts, ["name", "place"]).select("name", "place", "id", line.alias("value"))
+    names = records.select("name").distinct()
     frame = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(v).alias("value")) for p, v in ((0, '{"images": ['), (2, '], "annotations": ['), (4, "]}"))])
     frame = names.select("name", F.explode(frame).alias("f")).select("name", "f.place", F.lit(0).cast("bigint").alias("id"), "f.value")
-    pieces = frame.unionByName(section(images, 1)).unionByName(section(annotations, 3))
-    return write_documents(pieces, path, ["place", "id"])
+    made = write_documents(frame.unionByName(pieces), path, ["place", "id"])
+    discard(images.sparkSession, records)
+    return made
 
 
 def write_xml_documents(elements: DataFrame, path: str, order: list[str], root: str = "Annotations") -> int:
     """One document per ``name`` from rows ``name, xml`` and the columns of their order."""
+    elements = materialize(elements, "xml-elements")
     tags = F.array(*[F.struct(F.lit(p).alias("_place"), F.lit(v).alias("xml")) for p, v in ((0, f"<{root}>"), (2, f"</{root}>"))])
     ends = elements.select("name").distinct().select("name", F.explode(tags).alias("e")).select("name", "e.*")
     rows = elements.withColumn("_place", F.lit(1)).unionByName(ends, allowMissingColumns=True)
-    return write_documents(rows, path, ["_place", *order], value="xml")
+    made = write_documents(rows, path, ["_place", *order], value="xml")
+    discard(elements.sparkSession, elements)
+    return made

@@ -1,8 +1,12 @@
 """Costly work is spread over tasks and done once, whatever the layout of the inputs."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from gridweft.plans import derived as D
+from gridweft.plans.catalog import QUERIES
+from gridweft.sources import documents as DC
 from gridweft.sources import writers as WR
 
 
@@ -29,3 +33,40 @@ def test_records_are_computed_once_for_the_writer(spark, tmp_path):
     read = spark.read.schema("variation bigint, score double, table_id int").json(f"{tmp_path}/out")
     assert sorted(r["score"] for r in read.collect()) == [float(i) for i in range(100)]
     assert calls.value == 100
+
+
+def counted(spark, value="id"):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x
+
+    return calls, F.udf(seen, "bigint")(value)
+
+
+def test_records_and_elements_are_computed_once_for_their_documents(spark, tmp_path):
+    calls, value = counted(spark)
+    annotations = spark.range(50).select("id", value.alias("area"), F.when(F.col("id") < 40, "a").otherwise("b").alias("split"))
+    images = spark.createDataFrame([(1, "a"), (2, "c")], "id bigint, split string")
+    assert DC.write_coco_documents(images, annotations, f"{tmp_path}/coco") == 3
+    assert calls.value == 50
+    read = {s: json.load(open(f"{tmp_path}/coco/instances_{s}.json")) for s in "abc"}
+    assert [a["id"] for a in read["a"]["annotations"]] == list(range(40)) and read["a"]["images"] == [{"id": 1}]
+    assert [a["area"] for a in read["b"]["annotations"]] == list(range(40, 50)) and read["b"]["images"] == [] and read["c"]["annotations"] == []
+
+    calls, value = counted(spark)
+    xml = F.concat(F.lit("<e>"), value.cast("string"), F.lit("</e>"))
+    assert DC.write_xml_documents(spark.range(30).select(F.lit("d").alias("name"), "id", xml.alias("xml")), f"{tmp_path}/xml", ["id"]) == 1
+    assert calls.value == 30
+
+
+def test_images_and_counts_of_documents_do_not_pass_the_driver(spark, tmp_path):
+    orders = [(k, k, "F", 1.0, "5-LOW") for k in range(20)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k % 10, k, k, k // 10, 3.0, 0.1, "A", "O") for k in range(30)]
+    schema = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["S6_coco"](spark, str(tmp_path))
+    assert sorted((r["image_id"], r["n"]) for r in found.collect()) == [(k, 3 if k < 10 else 0) for k in range(20)]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
