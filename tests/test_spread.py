@@ -4,10 +4,12 @@ import json
 
 from pyspark.sql import functions as F
 
+from gridweft.operators import cells as C
 from gridweft.plans import derived as D
 from gridweft.plans.catalog import QUERIES
 from gridweft.sources import documents as DC
 from gridweft.sources import writers as WR
+from gridweft.streaming.incremental import pending
 
 
 def test_sentences_of_one_small_file_are_scored_by_many_tasks(spark, tmp_path):
@@ -70,3 +72,35 @@ def test_images_and_counts_of_documents_do_not_pass_the_driver(spark, tmp_path):
     found = QUERIES["S6_coco"](spark, str(tmp_path))
     assert sorted((r["image_id"], r["n"]) for r in found.collect()) == [(k, 3 if k < 10 else 0) for k in range(20)]
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headers_are_parsed_once_for_both_sides(spark):
+    calls, low = counted(spark, F.lit(0).cast("bigint") + F.col("id"))
+    rows = spark.range(8).select(
+        F.concat(F.lit("f"), (F.col("id") % 2).cast("string")).alias("file"), F.floor(F.col("id") / 2).cast("int").alias("level"), F.lit(0).alias("h_no"),
+        F.lit("n").alias("name"), (low * 0).alias("lo"), F.lit(1).alias("hi"),
+    )
+    found = C.child_parent(rows.repartition(3))
+    assert sorted((r["file"], r["level"], r["parent_no"]) for r in found.collect()) == [(f, k, 0 if k else None) for f in ("f0", "f1") for k in range(4)]
+    assert calls.value == 8
+
+
+def test_names_that_are_done_do_not_pass_the_driver(spark):
+    inputs = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "file string")
+    left = pending(inputs, spark.createDataFrame([("b",), (None,)], "file string"))
+    assert sorted(str(r["file"]) for r in left.collect()) == ["None", "a", "a"]
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_of_rows_is_made_behind_the_shuffle(spark, tmp_path):
+    lines = [(1, k, k, n, 3.0, 0.0, "A", "F") for k, n in enumerate((60, 2, 1, 2, None))]
+    schema = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    tables = D.single_tables(spark, str(tmp_path))
+    docs = {r["file"]: r["html"] for r in tables.collect()}
+    assert sorted(docs) == ["T_Table1_Variation000.htm", "T_Table1_Variation004.htm"]
+    assert docs["T_Table1_Variation000.htm"].endswith(
+        "<tbody><tr><td>3</td><td><b>A</b></td><td>-</td><td>L&amp;1</td></tr><tr><td>3</td><td><b>A</b></td><td>-</td><td>L&amp;2</td></tr></tbody></table></body></html>"
+    )
+    plan = tables._jdf.queryExecution().executedPlan().toString()
+    assert "<tr><td" not in plan[plan.index("Exchange"):]
