@@ -10,6 +10,9 @@ changing the result:
   that no path within that bound can reach is not made.  Anchors need not be matched in the end, so the result stays exact.
 * Costs of cells are computed where the block is; only costs of rows leave it, and the table of costs is read strip by strip, in order.
 
+A pair of tables that is no larger than one block is settled in the row that holds it, and nothing of it is shuffled; the alignments of
+many such pairs are computed together.  Parts with the same text at the head of both tables are not parsed.
+
 Rows are taken for equal when 64 bits of hash agree.
 """
 
@@ -17,21 +20,26 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from gridweft.operators.cells import parse_tables
+from gridweft.functions import markup as M
+from gridweft.functions.bind import bind
+from gridweft.operators.cells import with_markup
 from gridweft.operators.table_similarity import cell_cost, coded_sides
 from gridweft.session import materialize
 
 BLOCK = 16
 """Rows of either side in a block of the cost matrix, unless the caller says otherwise."""
+CELLS_PER_ROW = 4
+"""A pair of tables whose rows have up to so many cells on average is settled in its row if its rows fit into one block."""
 
 _OP = StructType().add("op", StringType()).add("i", IntegerType()).add("j", IntegerType()).add("cost", DoubleType())
 _OPS = ArrayType(_OP)
@@ -44,6 +52,10 @@ _ALIGNED = (
     StructType().add("pair", LongType()).add("ts", IntegerType()).add("ps", IntegerType()).add("cost", DoubleType()).add("ops", _OPS)
 )
 _PLACES = ("true_section", "true_row", "true_cell", "pred_section", "pred_row", "pred_cell")
+_LEVELS, _OPS_BY_MOVE = ("section", "row", "cell"), ("change", "delete", "insert")
+_FOUND = StructType(
+    [StructField("level", StringType()), StructField("op", StringType()), *(StructField(n, IntegerType()) for n in _PLACES), StructField("cost", DoubleType())]
+)
 _EPS = 1e-9
 
 
@@ -115,6 +127,140 @@ def _cell_scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*row[:5], *op) for row in rows for op in _script(*row[5:])], columns=_CELL_OPS.names)
 
 
+# ---------------------------------------------------------------- many small alignments at once
+
+
+class Alignments:
+    """The same as ``Alignment`` for many pairs of lists, those of one shape together.
+
+    ``x`` and ``y`` hold the weights of all lists one behind the other, list k begins at ``x_at[k]`` and has ``nx[k]`` elements.  The cost
+    of replacing its element i by j is ``costs[at[k] + i * stride[k] + j]``.
+    """
+
+    def __init__(self, x, y, x_at, y_at, nx, ny, costs, at, stride):
+        self.cost, self.shapes = np.zeros(len(nx)), []
+        order = np.lexsort((ny, nx))
+        cuts = np.flatnonzero((np.diff(nx[order]) != 0) | (np.diff(ny[order]) != 0)) + 1
+        for which in np.split(order, cuts) if len(order) else []:
+            m, n = np.arange(nx[which[0]]), np.arange(ny[which[0]])
+            xs, ys = x[x_at[which][:, None] + m], y[y_at[which][:, None] + n]
+            replace = costs[at[which][:, None, None] + stride[which][:, None, None] * m[:, None] + n]
+            inserted = np.concatenate((np.zeros((len(which), 1)), np.cumsum(ys, axis=1)), axis=1)
+            row, moves = inserted, np.zeros((len(which), len(m), len(n) + 1), np.uint8)
+            for i in m:
+                delete = row + xs[:, i:i + 1]
+                best = delete.copy()
+                np.minimum(best[:, 1:], row[:, :-1] + replace[:, i], out=best[:, 1:])
+                row = np.minimum.accumulate(best - inserted, axis=1) + inserted
+                moves[:, i] = np.where(row < best - _EPS, 2, np.where(best < delete - _EPS, 0, 1))
+            self.cost[which] = row[:, -1]
+            self.shapes.append((which, xs, ys, replace, moves))
+
+    def ops(self, chosen: np.ndarray) -> list[np.ndarray]:
+        """``k, move, i, j, cost`` of the operations of the chosen pairs that cost something; a place that a side does not have is -1."""
+        found = [(np.zeros(0, int),) * 4 + (np.zeros(0),)]
+        for which, xs, ys, replace, moves in self.shapes:
+            k = np.flatnonzero(chosen[which]) if moves.shape[1] or moves.shape[2] > 1 else np.zeros(0, int)
+            i, j = np.full(len(k), xs.shape[1]), np.full(len(k), ys.shape[1])
+            while len(k):
+                move = np.full(len(k), 2)
+                inside = i > 0
+                move[inside] = moves[k[inside], i[inside] - 1, j[inside]]
+                i, j = i - (move < 2), j - (move != 1)
+                cost = np.zeros(len(k))
+                for kind, values, place in ((0, replace, (i, j)), (1, xs, (i,)), (2, ys, (j,))):
+                    mine = move == kind
+                    cost[mine] = values[(k[mine], *(p[mine] for p in place))]
+                named = (move > 0) | (cost > 0)
+                places = np.where(move < 2, i, -1), np.where(move != 1, j, -1)
+                found.append(tuple(v[named] for v in (which[k], move, *places, cost)))
+                left = (i > 0) | (j > 0)
+                k, i, j = k[left], i[left], j[left]
+        return [np.concatenate(v) for v in zip(*found)]
+
+
+def _lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins in its values, with the end of the last one, and the values."""
+    offsets = lists.offsets.to_numpy().astype(int)
+    return offsets - offsets[0], lists.flatten().to_numpy()
+
+
+def _found(work: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of each operation's pair of tables (see ``_work``), and the fields of all operations."""
+    (wx_at, wx), (wy_at, wy) = _lists(work.column("wx")), _lists(work.column("wy"))
+    own, head, costs = (_lists(work.column(name))[1] for name in ("own", "skipped", "costs"))
+    sides = []
+    for side in ("x", "y"):
+        n_rows, n_cells, weights = (_lists(work.column(f"{side}_{name}"))[1] for name in ("rows", "cells", "weights"))
+        rows_at, cells_at, total = (np.concatenate(([0], np.cumsum(n))) for n in (n_rows, n_cells, weights))
+        sides.append((rows_at, cells_at, weights, 1.0 + np.diff(total[cells_at])))
+    (xr, xc, xw, x_rows), (yr, yc, yw, y_rows) = sides
+    nx, ny = np.diff(wx_at), np.diff(wy_at)
+    first = np.concatenate(([0], np.cumsum(nx * ny)))
+
+    # every row of a section against every one of the other section
+    mx, my = np.diff(xr), np.diff(yr)
+    start = np.concatenate(([0], np.cumsum(mx * my)))
+    of = np.repeat(np.arange(len(mx)), mx * my)
+    i, j = np.divmod(np.arange(start[-1]) - start[of], my[of])
+    i, j = xr[of] + i, yr[of] + j
+    width = yc[yr[1:]] - yc[yr[:-1]]
+    costs_at = np.concatenate(([0], np.cumsum((xc[xr[1:]] - xc[xr[:-1]]) * width)))
+    at = costs_at[of] + (xc[i] - xc[xr[of]]) * width[of] + yc[j] - yc[yr[of]]
+    cells = Alignments(xw, yw, xc[i], yc[j], np.diff(xc)[i], np.diff(yc)[j], costs, at, width[of])
+    rows = Alignments(x_rows, y_rows, xr[:-1], yr[:-1], mx, my, cells.cost, start[:-1], my)
+    whole = Alignments(wx, wy, wx_at[:-1], wy_at[:-1], nx, ny, rows.cost + own, first[:-1], ny)
+
+    pair_of = np.repeat(np.arange(len(nx)), nx * ny)
+    ts, ps = np.divmod(np.arange(len(pair_of)) - first[pair_of], ny[pair_of])
+    out = []
+
+    def listed(level, pairs, move, true_places, pred_places, cost):
+        none = np.full(len(pairs), -1)
+        places = [*true_places, none, none][:3] + [*pred_places, none, none][:3]
+        out.append((pairs, np.full(len(pairs), level), move, *places, cost))
+
+    k, move, s, t, cost = whole.ops(np.ones(len(nx), bool))
+    one_sided = move > 0
+    listed(0, k[one_sided], move[one_sided], (s[one_sided],), (t[one_sided],), cost[one_sided])
+    matched = np.zeros(len(own), bool)
+    matched[(first[k] + s * ny[k] + t)[~one_sided]] = True
+    named = np.flatnonzero(matched & (own > 0))
+    listed(0, pair_of[named], np.zeros(len(named), int), (ts[named],), (ps[named],), own[named])
+
+    def inside(sections, move):
+        # only the side that has the part names a section
+        return np.where(move < 2, ts[sections], -1), np.where(move != 1, ps[sections], -1)
+
+    k, move, i, j, cost = rows.ops(matched)
+    one_sided = move > 0
+    changed = np.zeros(len(of), bool)
+    changed[(start[k] + i * my[k] + j)[~one_sided]] = True
+    k, move, cost = k[one_sided], move[one_sided], cost[one_sided]
+    t, p = inside(k, move)
+    i, j = (np.where(n >= 0, n + head[k], -1) for n in (i[one_sided], j[one_sided]))
+    listed(1, pair_of[k], move, (t, i), (p, j), cost)
+    k, move, c, d, cost = cells.ops(changed)
+    s = of[k]
+    i, j = np.divmod(k - start[s], my[s])
+    listed(2, pair_of[s], move, (ts[s], i + head[s], c), (ps[s], j + head[s], d), cost)
+
+    pairs, *fields = (np.concatenate(v) for v in zip(*out))
+    return pairs, fields
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_key, head, row_head`` and the operations of pairs of small tables."""
+    for batch in batches:
+        for start in range(0, len(batch), 2000):  # bounds the memory
+            work = batch.slice(start, 2000)
+            pairs, (level, move, *places, cost) = _found(work)
+            keys = [work.column(name).take(pa.array(pairs)) for name in ("_key", "head", "row_head")]
+            places = [pa.array(p, pa.int32(), mask=p < 0) for p in places]
+            named = [pa.array(names).take(pa.array(codes)) for names, codes in ((_LEVELS, level), (_OPS_BY_MOVE, move))]
+            yield pa.RecordBatch.from_arrays([*keys, *named, *places, pa.array(cost)], ["_key", "head", "row_head", *_FOUND.names])
+
+
 # ---------------------------------------------------------------- which blocks are needed
 
 
@@ -193,7 +339,65 @@ def _plan(sides: pd.DataFrame) -> pd.DataFrame:
 
 def _cell_costs(xs: Column, ys: Column) -> Column:
     """Costs of replacing each cell by each other, row by row of the matrix."""
-    return F.flatten(F.transform(xs, lambda a: F.transform(ys, lambda b: cell_cost(a, b))))
+    return bind(ys, lambda ys: F.flatten(F.transform(xs, lambda a: F.transform(ys, lambda b: cell_cost(a, b)))))
+
+
+def _cells(rows: Column) -> Column:
+    return F.flatten(F.transform(rows, lambda r: r["cells"]))
+
+
+def _own_cost(x: Column, y: Column) -> Column:
+    """What two sections differ by, without their rows."""
+    return F.when(x["section"] == y["section"], 0.0).otherwise(1.0) + F.levenshtein(x["kids"], y["kids"])
+
+
+def _work(t: Column, p: Column) -> Column:
+    """What ``_settle`` needs of a pair, in flat lists: weights of the sections (``wx, wy``) and, for every two of them, what they differ by
+    without their rows (``own``), how many rows and cells they have, the weights of the cells and the costs of replacing them.
+
+    Equal rows at the head and the tail of two sections are left out, ``skipped`` counts the first ones.
+    """
+
+    def two(x: Column, y: Column) -> Column:
+        def numbers(d: Column) -> Column:
+            costs = _cell_costs(_cells(d["t"]), _cells(d["p"]))
+            own = _own_cost(x, y).alias("own")
+            return F.struct(own, d["head"].alias("head"), d["t"].alias("x"), d["p"].alias("y"), costs.alias("costs"))
+
+        return bind(M.differing(x["rows"], y["rows"]), numbers)
+
+    def side(m: Column, name: str) -> list[Column]:
+        rows = F.flatten(F.transform(m, lambda s: s[name]))
+        return [
+            F.transform(m, lambda s: F.size(s[name])).alias(f"{name}_rows"),
+            F.transform(rows, lambda r: F.size(r["cells"])).alias(f"{name}_cells"),
+            F.flatten(F.transform(rows, lambda r: r["weights"])).alias(f"{name}_weights"),
+        ]
+
+    def lists(m: Column) -> Column:
+        return F.struct(
+            F.transform(t, lambda s: s["weight"]).alias("wx"), F.transform(p, lambda s: s["weight"]).alias("wy"),
+            F.transform(m, lambda s: s["own"]).alias("own"), F.transform(m, lambda s: s["head"]).alias("skipped"),
+            *side(m, "x"), *side(m, "y"), F.flatten(F.transform(m, lambda s: s["costs"])).alias("costs"),
+        )
+
+    return bind(F.flatten(F.transform(t, lambda a: F.transform(p, lambda b: two(a["part"], b["part"])))), lists)
+
+
+def _fits(t: Column, p: Column, block: int) -> Column:
+    """Whether a pair of tables is no larger than one block."""
+
+    def rows(side: Column) -> Column:
+        return F.flatten(F.transform(side, lambda s: s["part"]["rows"]))
+
+    def together(number: Callable[[Column], Column], most: int) -> Column:
+        return number(t).cast("bigint") * number(p) <= most
+
+    return (
+        together(F.size, block * block)
+        & together(lambda side: F.size(rows(side)), block * block)
+        & together(lambda side: F.size(_cells(rows(side))), (CELLS_PER_ROW * block) ** 2)
+    )
 
 
 def _row_costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,8 +494,7 @@ def _sections(coded: DataFrame, block: int) -> DataFrame:
     """``pair, ts, ps, cost, own, ops``: every section of the truth against every one of the prediction."""
     both = coded.select("pair", F.posexplode("t").alias("ts", "a"), "p").select("pair", "ts", "a", F.posexplode("p").alias("ps", "b"))
     x, y = F.col("a.part"), F.col("b.part")
-    own = F.when(x["section"] == y["section"], 0.0).otherwise(1.0) + F.levenshtein(x["kids"], y["kids"])
-    both = both.select("pair", "ts", "ps", x.alias("x"), y.alias("y"), own.alias("own"))
+    both = both.select("pair", "ts", "ps", x.alias("x"), y.alias("y"), _own_cost(x, y).alias("own"))
 
     def sizes(rows: Column) -> Column:
         return F.transform(rows, lambda r: F.size(r["cells"]))
@@ -328,12 +531,9 @@ def _sections(coded: DataFrame, block: int) -> DataFrame:
     blocks = blocks.select("pair", "ts", "ps", "bi", "bj", piece("x", "bi").alias("x"), piece("y", "bj").alias("y"))
     spread = blocks.repartition("pair", "ts", "ps", "bi", "bj")
 
-    def cells(rows: str) -> Column:
-        return F.flatten(F.transform(rows, lambda r: r["cells"]))
-
     place = ["pair", "ts", "ps", "bi", "bj"]
     compared = spread.select(
-        *place, _cell_costs(cells("x"), cells("y")).alias("c"), F.col("x.weights").alias("x"), F.col("y.weights").alias("y")
+        *place, _cell_costs(_cells(F.col("x")), _cells(F.col("y"))).alias("c"), F.col("x.weights").alias("x"), F.col("y.weights").alias("y")
     )
     filled = compared.mapInPandas(_row_costs, _COSTS).withColumns({"head": none.cast("int"), "own": none.cast("double")})
     filled = filled.withColumns({"x_weights": none.cast("array<double>"), "y_weights": none.cast("array<double>")})
@@ -355,17 +555,36 @@ def _section_ops(coded: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def _coded(pairs: DataFrame, key: str, cell_tags: tuple[str, ...], ignore_tags: tuple[str, ...], structure_only: bool) -> DataFrame:
-    """``pair`` (a number), the key, and both tables with comparable cells, of the pairs that differ."""
-    both = pairs.select(F.col(key).alias("_key"), "true_html", "pred_html")
+    """``pair`` (a number), the key, and both tables with comparable cells from the first section that differs, of the pairs that differ.
+
+    ``head`` sections are left out on either side and, if there is one section left, ``row_head`` rows of it; the weight of that section
+    counts them by the least that a row weighs, which is all it takes to match the sections.
+    """
+    # equal documents are not parsed
+    differ = F.col("true_html") != F.col("pred_html")
+    both = pairs.select(F.col(key).alias("_key"), *(F.when(differ, F.col(side)).alias(side) for side in ("true_html", "pred_html")))
     for side, name in (("true_html", "_t"), ("pred_html", "_p")):
-        both = parse_tables(both, side, ignore_tags)
-        both = both.withColumnsRenamed({"status": f"{name}_status", "sections": name}).drop("n_nodes")
-    usable = (F.col("_t_status") == "ok") & (F.col("_p_status") == "ok") & (F.col("_t") != F.col("_p"))
-    sides = coded_sides(F.col("_t"), F.col("_p"), cell_tags, structure_only)
-    both = both.withColumn("c", F.when(usable, sides)).withColumn("pair", F.monotonically_increasing_id())
-    both = both.select("pair", "_key", "c.t", "c.p").filter("t IS NOT NULL AND t <> p").withColumn("head", _equal_head(F.col("t"), F.col("p")))
-    rest = lambda side: F.slice(side, F.col("head") + 1, F.size(side))
-    return both.withColumns({"t": rest("t"), "p": rest("p")})
+        both = with_markup(both, side, ignore_tags).withColumnRenamed("_markup", name).drop("status", "n_nodes")
+
+    def coded(s: Column) -> Column:
+        sides = coded_sides(s["t"], s["p"], cell_tags, structure_only)
+        return F.struct(s["head"].alias("head"), s["row_head"].alias("row_head"), sides.alias("c"))
+
+    def rest(s: Column) -> Column:
+        t, p, n = s["c"]["t"], s["c"]["p"], s["row_head"]
+
+        def cut(side: Column, equal: Column) -> Column:
+            kept = F.slice(side, equal + 1, F.size(side))
+            return F.when(n > 0, F.transform(kept, lambda x: x.withField("weight", x["weight"] + n))).otherwise(kept)
+
+        def open_part(equal: Column) -> Column:
+            return F.struct((s["head"] + equal).alias("head"), n.alias("row_head"), cut(t, equal).alias("t"), cut(p, equal).alias("p"))
+
+        return F.when(t != p, bind(_equal_head(t, p), open_part))
+
+    parsed = bind(M.differing_sections(F.col("_t"), F.col("_p"), tails=False), lambda s: bind(coded(s), rest))
+    both = both.withColumn("c", F.when(F.col("_t") != F.col("_p"), parsed)).withColumn("pair", F.monotonically_increasing_id())
+    return both.select("pair", "_key", "c").filter("c IS NOT NULL").select("pair", "_key", "c.*")
 
 
 def _equal_head(xs: Column, ys: Column) -> Column:
@@ -395,7 +614,27 @@ def edit_script(
     part, so the costs of a pair add up to the ``distance`` of ``score_tables``.  Equal and unusable pairs have no rows.  Of several
     scripts with the least cost one is given, always the same.
     """
-    coded = materialize(_coded(pairs, key, cell_tags, ignore_tags, structure_only), "edit-pairs")
+    t, p, small = F.col("t"), F.col("p"), F.col("small")
+    coded = _coded(pairs, key, cell_tags, ignore_tags, structure_only).withColumn("small", _fits(t, p, block))
+    large = (F.when(~small, side).alias(name) for name, side in (("t", t), ("p", p)))
+    # not in one selection: a name inside a lambda function would be taken for the new column
+    coded = coded.withColumn("work", F.when(small, _work(t, p))).select("pair", "_key", "head", "row_head", "small", "work", *large)
+    coded = materialize(coded, "edit-pairs")
+    schema = StructType([*(coded.schema[n] for n in ("_key", "head", "row_head")), *_FOUND])
+    found = coded.filter("small").select("_key", "head", "row_head", "work.*").mapInArrow(_settle, schema)
+    coded = coded.filter("NOT small").select("pair", "_key", "head", "row_head", "t", "p")
+    if not coded.isEmpty():
+        found = found.unionByName(_script_by_blocks(coded, block))
+
+    def moved(name: str) -> Column:
+        by = {"section": F.col("head"), "row": F.col("row_head")}.get(name.split("_")[1], F.lit(0))
+        return (F.col(name) + by).cast("int").alias(name)
+
+    return found.select(F.col("_key").alias(key), "level", "op", *map(moved, _PLACES), "cost")
+
+
+def _script_by_blocks(coded: DataFrame, block: int) -> DataFrame:
+    """``_key, head, row_head`` and the operations of large pairs."""
     sections = _sections(coded, block)
     section_ops = materialize(_section_ops(coded, sections), "edit-section-ops")
     matched = section_ops.filter("op = 'change'").select("pair", F.col("i").alias("ts"), F.col("j").alias("ps"))
@@ -432,11 +671,7 @@ def edit_script(
         .unionByName(listed(one_sided, "row", (true_side, at("i"), None, pred_side, at("j"), None)))
         .unionByName(listed(cells, "cell", (F.col("ts"), F.col("tr"), at("i"), F.col("ps"), F.col("pr"), at("j"))))
     )
-    for side in ("true_section", "pred_section"):
-        out = out.withColumnRenamed(side, f"_{side}")
-    whole = coded.select("pair", F.col("_key").alias(key), "head").join(out, "pair")
-    sections = {name: (F.col(f"_{name}") + F.col("head")).cast("int") for name in ("true_section", "pred_section")}
-    return whole.withColumns(sections).select(key, "level", "op", *_PLACES, "cost")
+    return coded.select("pair", "_key", "head", "row_head").join(out, "pair").drop("pair")
 
 
 def table_distances(pairs: DataFrame, key: str = "file", **options) -> DataFrame:

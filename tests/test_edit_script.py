@@ -3,7 +3,9 @@
 import random
 import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridweft.operators import edit_script as E
 from gridweft.operators.table_similarity import score_tables
@@ -61,6 +63,54 @@ def test_scripts_add_up_to_the_distance(spark, block):
         assert len(a) - rows.count("delete") == len(b) - rows.count("insert")
 
 
+def _random_pairs(rng):
+    """Tables with few different rows and cells, so that many scripts cost the same, and rows left out, moved and repeated."""
+    pairs = [(random_table(rng), random_table(rng)) for _ in range(40)]
+    for _ in range(20):
+        base = [tuple((1, rng.choice("ab")) for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(1, 14))]
+        other = [r for r in base if rng.random() > 0.3]
+        other[1:1] = [base[-1], ((2, "new"),)]
+        pairs.append((tuple(base), tuple(other)))
+    docs = [(as_html(a), as_html(b)) for a, b in pairs]
+    foot = "<tfoot><tr><td>%s</td></tr></tfoot></table>"
+    docs += [(a.replace("</table>", foot % "x"), b.replace("</table>", foot % rng.choice("xy") + "")) for a, b in docs[:20]]
+    return docs + [(a, b.replace("tbody", "tfoot")) for a, b in docs[20:40]]
+
+
+def test_pairs_settled_in_their_row_have_the_script_of_the_blocks(spark, monkeypatch):
+    rows = [(str(i), a, b) for i, (a, b) in enumerate(_random_pairs(random.Random(7)))]
+    frame = spark.createDataFrame(rows, PAIRS).repartition(3)
+    with monkeypatch.context() as patch:
+        patch.setattr(E, "_script_by_blocks", None)  # not needed for small pairs
+        in_row = sorted(map(str, E.edit_script(frame).collect()))
+    monkeypatch.setattr(E, "_fits", lambda t, p, block: F.lit(False))
+    assert in_row == sorted(map(str, E.edit_script(frame).collect())) and len(in_row) > 100
+
+
+def test_small_pairs_are_not_shuffled(spark):
+    frame = spark.createDataFrame([(k, t, p) for k, (t, p, _) in SCRIPTS.items()], PAIRS)
+    plan = E.edit_script(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_alignments_together_are_those_one_by_one():
+    rng = np.random.default_rng(2)
+    nx, ny = rng.integers(0, 5, 60), rng.integers(0, 5, 60)
+    x, y = rng.integers(1, 4, nx.sum()).astype(float), rng.integers(1, 4, ny.sum()).astype(float)
+    costs = rng.integers(0, 7, (nx * ny).sum()) / 2
+    starts = [np.cumsum(n) - n for n in (nx, ny, nx * ny)]
+    together = E.Alignments(x, y, starts[0], starts[1], nx, ny, costs, starts[2], ny)
+    found = sorted(zip(*(v.tolist() for v in together.ops(np.arange(60) % 3 > 0))))
+    expected = []
+    for k, (i, j, c) in enumerate(zip(*starts)):
+        one = E.Alignment(x[i:i + nx[k]], y[j:j + ny[k]])
+        one.feed(costs[c:c + nx[k] * ny[k]].reshape(nx[k], ny[k]))
+        cost, ops = one.finish()
+        assert together.cost[k] == pytest.approx(cost)
+        expected += [(k, E._OPS_BY_MOVE.index(op), *rest) for op, *rest in ops if k % 3]
+    assert found == sorted(expected)
+
+
 def test_blocks_out_of_reach_are_not_made():
     rows, sizes = list(range(320)), [4] * 320
     other = rows[:100] + [-1] + rows[101:200] + [-2] + rows[201:]
