@@ -11,7 +11,8 @@ changing the result:
 * Costs of cells are computed where the block is; only costs of rows leave it, and the table of costs is read strip by strip, in order.
 
 A pair of tables that is no larger than one block is settled in the row that holds it, and nothing of it is shuffled; the alignments of
-many such pairs are computed together.  Parts with the same text at the head of both tables are not parsed.
+many such pairs are computed together.  Sections with the same text at the head of both tables, and rows at the head and the tail, are
+not parsed; where rows differ in markup but not in content this may decide which of several scripts with the least cost is given.
 
 Rows are taken for equal when 64 bits of hash agree.
 """
@@ -26,6 +27,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -40,6 +42,10 @@ BLOCK = 16
 """Rows of either side in a block of the cost matrix, unless the caller says otherwise."""
 CELLS_PER_ROW = 4
 """A pair of tables whose rows have up to so many cells on average is settled in its row if its rows fit into one block."""
+CHARS_PER_CELL = 256
+"""The same for the characters of the cells: their texts are sent to the task that settles the pair."""
+CELL_PAIRS = 2**20
+"""Pairs of cells, or of characters, that are looked at together; bounds the memory."""
 
 _OP = StructType().add("op", StringType()).add("i", IntegerType()).add("j", IntegerType()).add("cost", DoubleType())
 _OPS = ArrayType(_OP)
@@ -130,6 +136,13 @@ def _cell_scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 # ---------------------------------------------------------------- many small alignments at once
 
 
+def _by_shape(nx: np.ndarray, ny: np.ndarray) -> list[np.ndarray]:
+    """The places at which both lengths are the same, for each two lengths that occur."""
+    order = np.lexsort((ny, nx))
+    cuts = np.flatnonzero((np.diff(nx[order]) != 0) | (np.diff(ny[order]) != 0)) + 1
+    return np.split(order, cuts) if len(order) else []
+
+
 class Alignments:
     """The same as ``Alignment`` for many pairs of lists, those of one shape together.
 
@@ -139,9 +152,7 @@ class Alignments:
 
     def __init__(self, x, y, x_at, y_at, nx, ny, costs, at, stride):
         self.cost, self.shapes = np.zeros(len(nx)), []
-        order = np.lexsort((ny, nx))
-        cuts = np.flatnonzero((np.diff(nx[order]) != 0) | (np.diff(ny[order]) != 0)) + 1
-        for which in np.split(order, cuts) if len(order) else []:
+        for which in _by_shape(nx, ny):
             m, n = np.arange(nx[which[0]]), np.arange(ny[which[0]])
             xs, ys = x[x_at[which][:, None] + m], y[y_at[which][:, None] + n]
             replace = costs[at[which][:, None, None] + stride[which][:, None, None] * m[:, None] + n]
@@ -179,6 +190,74 @@ class Alignments:
         return [np.concatenate(v) for v in zip(*found)]
 
 
+def edit_distances(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of ``texts[a[k]]`` and ``texts[b[k]]``, those of two lengths together."""
+    length = np.array([len(t) for t in texts], int)
+    at, points = np.cumsum(length) - length, np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    a, b = np.where(length[a] <= length[b], (a, b), (b, a))  # a step for each character of the shorter one
+    out = np.zeros(len(a))
+    for which in _by_shape(length[a], length[b]):
+        m, steps = length[a[which[0]]], np.arange(length[b[which[0]]] + 1)
+        at_once = max(CELL_PAIRS // len(steps), 1)
+        for some in (which[k:k + at_once] for k in range(0, len(which), at_once)):
+            xs, ys = points[at[a[some]][:, None] + np.arange(m)], points[at[b[some]][:, None] + steps[:-1]]
+            row = np.tile(steps, (len(some), 1))
+            for i in range(m):
+                best = row + 1
+                np.minimum(best[:, 1:], row[:, :-1] + (ys != xs[:, i:i + 1]), out=best[:, 1:])
+                row = np.minimum.accumulate(best - steps, axis=1) + steps
+            out[some] = row[:, -1]
+    return out
+
+
+class Cells:
+    """Coded cells of many pairs of tables; equal ones have the same number, so that two of them are compared once.
+
+    ``weights`` are the costs of deleting or inserting each.
+    """
+
+    def __init__(self, cells: pa.StructArray):
+        columns = dict(zip((f.name for f in cells.type), cells.flatten()))
+        self.weights = 1.0 + pc.utf8_length(columns["kids"]).to_numpy()
+        numbers = {}
+        for name, values in columns.items():
+            coded = pc.dictionary_encode(values)
+            numbers[name] = coded.indices.to_numpy().astype(int)
+            columns[name] = coded.dictionary.to_pylist()
+        self.texts, self.kids = columns["text"], columns["kids"]
+        _, shape = _distinct(*(numbers[name] for name in ("tag", "colspan", "rowspan")))
+        first, self.number = _distinct(shape, numbers["text"], numbers["kids"])
+        self.shape, self.text, self.below = shape[first], numbers["text"][first], numbers["kids"][first]
+
+    def costs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What ``cell_cost`` gives for the cells at the places ``a`` and ``b``."""
+        first, pair = _distinct(self.number[a], self.number[b])
+        a, b = self.number[a[first]], self.number[b[first]]
+        costs = (self.shape[a] != self.shape[b]).astype(float)
+        for names, texts, k in (
+            (self.text, self.texts, np.flatnonzero((costs == 0) & (self.text[a] != self.text[b]))),
+            (self.below, self.kids, np.flatnonzero(self.below[a] != self.below[b])),
+        ):
+            x, y = names[a[k]], names[b[k]]
+            distance = edit_distances(texts, x, y)
+            if names is self.text:
+                length = np.array([len(t) for t in texts], int)
+                distance /= np.maximum(length[x], length[y])
+            costs[k] += distance
+        return costs[pair]
+
+
+def _distinct(*numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each combination of numbers, and the combination that stands at each place."""
+    key, *others = numbers
+    for k, n in enumerate(others):
+        if k:  # no more than there are places, so that a product of two stays small
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * (int(n.max(initial=0)) + 1) + n
+    _, first, place = np.unique(key, return_index=True, return_inverse=True)
+    return first, place
+
+
 def _lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Where each list begins in its values, with the end of the last one, and the values."""
     offsets = lists.offsets.to_numpy().astype(int)
@@ -188,10 +267,11 @@ def _lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _found(work: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
     """The number of each operation's pair of tables (see ``_work``), and the fields of all operations."""
     (wx_at, wx), (wy_at, wy) = _lists(work.column("wx")), _lists(work.column("wy"))
-    own, head, costs = (_lists(work.column(name))[1] for name in ("own", "skipped", "costs"))
-    sides = []
-    for side in ("x", "y"):
-        n_rows, n_cells, weights = (_lists(work.column(f"{side}_{name}"))[1] for name in ("rows", "cells", "weights"))
+    own, head = (_lists(work.column(name))[1] for name in ("own", "skipped"))
+    x_cells, y_cells = (work.column(side).flatten() for side in ("x", "y"))
+    both, sides = Cells(pa.concat_arrays([x_cells, y_cells])), []
+    for side, weights in (("x", both.weights[:len(x_cells)]), ("y", both.weights[len(x_cells):])):
+        n_rows, n_cells = (_lists(work.column(f"{side}_{name}"))[1] for name in ("rows", "cells"))
         rows_at, cells_at, total = (np.concatenate(([0], np.cumsum(n))) for n in (n_rows, n_cells, weights))
         sides.append((rows_at, cells_at, weights, 1.0 + np.diff(total[cells_at])))
     (xr, xc, xw, x_rows), (yr, yc, yw, y_rows) = sides
@@ -205,7 +285,11 @@ def _found(work: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
     i, j = np.divmod(np.arange(start[-1]) - start[of], my[of])
     i, j = xr[of] + i, yr[of] + j
     width = yc[yr[1:]] - yc[yr[:-1]]
-    costs_at = np.concatenate(([0], np.cumsum((xc[xr[1:]] - xc[xr[:-1]]) * width)))
+    n_costs = (xc[xr[1:]] - xc[xr[:-1]]) * width
+    costs_at = np.concatenate(([0], np.cumsum(n_costs)))
+    section = np.repeat(np.arange(len(mx)), n_costs)
+    a, b = np.divmod(np.arange(costs_at[-1]) - costs_at[section], width[section])
+    costs = both.costs(xc[xr[section]] + a, len(x_cells) + yc[yr[section]] + b)
     at = costs_at[of] + (xc[i] - xc[xr[of]]) * width[of] + yc[j] - yc[yr[of]]
     cells = Alignments(xw, yw, xc[i], yc[j], np.diff(xc)[i], np.diff(yc)[j], costs, at, width[of])
     rows = Alignments(x_rows, y_rows, xr[:-1], yr[:-1], mx, my, cells.cost, start[:-1], my)
@@ -252,8 +336,11 @@ def _found(work: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``_key, head, row_head`` and the operations of pairs of small tables."""
     for batch in batches:
-        for start in range(0, len(batch), 2000):  # bounds the memory
-            work = batch.slice(start, 2000)
+        n_cells = [np.diff(batch.column(side).offsets.to_numpy()).astype(int) for side in ("x", "y")]
+        share = np.cumsum((1 + n_cells[0]) * (1 + n_cells[1])) // CELL_PAIRS
+        cuts = np.flatnonzero(np.diff(share, prepend=-1, append=-1))
+        for start, end in zip(cuts, cuts[1:]):
+            work = batch.slice(start, end - start)
             pairs, (level, move, *places, cost) = _found(work)
             keys = [work.column(name).take(pa.array(pairs)) for name in ("_key", "head", "row_head")]
             places = [pa.array(p, pa.int32(), mask=p < 0) for p in places]
@@ -353,16 +440,14 @@ def _own_cost(x: Column, y: Column) -> Column:
 
 def _work(t: Column, p: Column) -> Column:
     """What ``_settle`` needs of a pair, in flat lists: weights of the sections (``wx, wy``) and, for every two of them, what they differ by
-    without their rows (``own``), how many rows and cells they have, the weights of the cells and the costs of replacing them.
+    without their rows (``own``), how many rows and cells they have, and the cells (``x, y``).
 
     Equal rows at the head and the tail of two sections are left out, ``skipped`` counts the first ones.
     """
 
     def two(x: Column, y: Column) -> Column:
         def numbers(d: Column) -> Column:
-            costs = _cell_costs(_cells(d["t"]), _cells(d["p"]))
-            own = _own_cost(x, y).alias("own")
-            return F.struct(own, d["head"].alias("head"), d["t"].alias("x"), d["p"].alias("y"), costs.alias("costs"))
+            return F.struct(_own_cost(x, y).alias("own"), d["head"].alias("head"), d["t"].alias("x"), d["p"].alias("y"))
 
         return bind(M.differing(x["rows"], y["rows"]), numbers)
 
@@ -371,14 +456,14 @@ def _work(t: Column, p: Column) -> Column:
         return [
             F.transform(m, lambda s: F.size(s[name])).alias(f"{name}_rows"),
             F.transform(rows, lambda r: F.size(r["cells"])).alias(f"{name}_cells"),
-            F.flatten(F.transform(rows, lambda r: r["weights"])).alias(f"{name}_weights"),
+            _cells(rows).alias(name),
         ]
 
     def lists(m: Column) -> Column:
         return F.struct(
             F.transform(t, lambda s: s["weight"]).alias("wx"), F.transform(p, lambda s: s["weight"]).alias("wy"),
             F.transform(m, lambda s: s["own"]).alias("own"), F.transform(m, lambda s: s["head"]).alias("skipped"),
-            *side(m, "x"), *side(m, "y"), F.flatten(F.transform(m, lambda s: s["costs"])).alias("costs"),
+            *side(m, "x"), *side(m, "y"),
         )
 
     return bind(F.flatten(F.transform(t, lambda a: F.transform(p, lambda b: two(a["part"], b["part"])))), lists)
@@ -390,6 +475,9 @@ def _fits(t: Column, p: Column, block: int) -> Column:
     def rows(side: Column) -> Column:
         return F.flatten(F.transform(side, lambda s: s["part"]["rows"]))
 
+    def chars(side: Column) -> Column:
+        return F.length(F.array_join(F.transform(_cells(rows(side)), lambda c: F.concat(c["text"], c["kids"])), ""))
+
     def together(number: Callable[[Column], Column], most: int) -> Column:
         return number(t).cast("bigint") * number(p) <= most
 
@@ -397,6 +485,7 @@ def _fits(t: Column, p: Column, block: int) -> Column:
         together(F.size, block * block)
         & together(lambda side: F.size(rows(side)), block * block)
         & together(lambda side: F.size(_cells(rows(side))), (CELLS_PER_ROW * block) ** 2)
+        & together(chars, (CHARS_PER_CELL * CELLS_PER_ROW * block) ** 2)
     )
 
 
@@ -557,8 +646,8 @@ def _section_ops(coded: DataFrame, sections: DataFrame) -> DataFrame:
 def _coded(pairs: DataFrame, key: str, cell_tags: tuple[str, ...], ignore_tags: tuple[str, ...], structure_only: bool) -> DataFrame:
     """``pair`` (a number), the key, and both tables with comparable cells from the first section that differs, of the pairs that differ.
 
-    ``head`` sections are left out on either side and, if there is one section left, ``row_head`` rows of it; the weight of that section
-    counts them by the least that a row weighs, which is all it takes to match the sections.
+    ``head`` sections are left out on either side and, if there is one section left, rows at the ends of it, ``row_head`` of them at the
+    head; the weight of that section counts them by the least that a row weighs, which is all it takes to match the sections.
     """
     # equal documents are not parsed
     differ = F.col("true_html") != F.col("pred_html")
@@ -568,17 +657,17 @@ def _coded(pairs: DataFrame, key: str, cell_tags: tuple[str, ...], ignore_tags:
 
     def coded(s: Column) -> Column:
         sides = coded_sides(s["t"], s["p"], cell_tags, structure_only)
-        return F.struct(s["head"].alias("head"), s["row_head"].alias("row_head"), sides.alias("c"))
+        return F.struct(s["head"].alias("head"), s["row_head"].alias("row_head"), s["row_ends"].alias("row_ends"), sides.alias("c"))
 
     def rest(s: Column) -> Column:
-        t, p, n = s["c"]["t"], s["c"]["p"], s["row_head"]
+        t, p, n = s["c"]["t"], s["c"]["p"], s["row_ends"]
 
         def cut(side: Column, equal: Column) -> Column:
             kept = F.slice(side, equal + 1, F.size(side))
             return F.when(n > 0, F.transform(kept, lambda x: x.withField("weight", x["weight"] + n))).otherwise(kept)
 
         def open_part(equal: Column) -> Column:
-            return F.struct((s["head"] + equal).alias("head"), n.alias("row_head"), cut(t, equal).alias("t"), cut(p, equal).alias("p"))
+            return F.struct((s["head"] + equal).alias("head"), s["row_head"].alias("row_head"), cut(t, equal).alias("t"), cut(p, equal).alias("p"))
 
         return F.when(t != p, bind(_equal_head(t, p), open_part))
 
@@ -588,14 +677,9 @@ def _coded(pairs: DataFrame, key: str, cell_tags: tuple[str, ...], ignore_tags:
 
 
 def _equal_head(xs: Column, ys: Column) -> Column:
-    """How many sections at the head are equal; they are matched, as equal rows are."""
-
-    def step(state: Column, pair: Column) -> Column:
-        goes_on = state["open"] & F.coalesce(pair["x"] == pair["y"], F.lit(False))
-        return F.struct((state["n"] + goes_on.cast("int")).alias("n"), goes_on.alias("open"))
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"))
-    return F.aggregate(F.arrays_zip(xs.alias("x"), ys.alias("y")), start, step, lambda s: s["n"])
+    """How many sections at the head of two tables that differ are equal; they are matched, as equal rows are."""
+    first = F.array_position(F.zip_with(xs, ys, lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int") - 1
+    return F.when(F.least(F.size(xs), F.size(ys)) == 1, F.when(F.get(xs, 0) == F.get(ys, 0), 1).otherwise(0)).otherwise(first)
 
 
 def edit_script(

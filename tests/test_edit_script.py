@@ -111,6 +111,49 @@ def test_alignments_together_are_those_one_by_one():
     assert found == sorted(expected)
 
 
+def test_cells_compared_together_cost_what_spark_computes(spark):
+    rng = random.Random(4)
+    words = ["", "a", "ab", "ba", "it's open", "é\U00100000b", "\U0001F600\U0001F600", "x" * 300, "x" * 299 + "y"]
+    rows = [(rng.choice(["td", "th"]), rng.randint(1, 2), rng.choice([1, 1, 3]), rng.choice(words), rng.choice(["", "", "\U00100000\U00100001"])) for _ in range(60)]
+    schema = "tag string, colspan int, rowspan int, text string, kids string"
+    listed = spark.createDataFrame([(rows,)], f"c array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")
+    expected = listed.select(E._cell_costs(F.col("c"), F.col("c"))).first()[0]
+    cells = E.Cells(listed.toArrow().column("c").combine_chunks().flatten())
+    a, b = np.divmod(np.arange(len(rows) ** 2), len(rows))
+    assert cells.costs(a, b).tolist() == expected and cells.weights.tolist() == [1.0 + len(r[4]) for r in rows]
+    assert cells.costs(a[:0], b[:0]).tolist() == [] and E.edit_distances([], a[:0], b[:0]).tolist() == []
+
+
+def test_small_pairs_send_cells_not_costs(spark):
+    frame = spark.createDataFrame([(k, t, p) for k, (t, p, _) in SCRIPTS.items()], PAIRS)
+    coded = E._coded(frame, "file", ("td",), (), False)
+    work = coded.select(E._work(F.col("t"), F.col("p")).alias("w")).select("w.*")
+    assert "costs" not in work.columns and {"x", "y"} <= set(work.columns)
+
+
+def test_long_texts_are_no_small_pair(spark):
+    texts = ["ab" * 12000, "ba" * 12000]
+    frame = spark.createDataFrame([("long", *(as_html([[(1, t)]]) for t in texts)), ("short", *(as_html([[(1, t[:9])]]) for t in texts))], PAIRS)
+    coded = E._coded(frame, "file", ("td",), (), False)
+    assert {r["_key"]: r["f"] for r in coded.select("_key", E._fits(F.col("t"), F.col("p"), 16).alias("f")).collect()} == {"long": False, "short": True}
+    got = {r["file"]: r["cost"] for r in E.edit_script(frame).collect()}
+    assert got == {"long": pytest.approx(2 / 24000), "short": pytest.approx(2 / 9)}
+
+
+def test_equal_rows_at_both_ends_are_not_parsed(spark):
+    def table(changed, n=9):
+        return as_html([[(1, "x" if i in changed else str(i))] for i in range(n)])
+
+    pairs = [("middle", table([]), table([4, 6])), ("deleted", table([], 10), table([], 9)), ("same text", table(range(9), 9), table(range(8), 8))]
+    frame = spark.createDataFrame(pairs, PAIRS)
+    kept = {r["_key"]: (len(r["t"][0]["part"]["rows"]), len(r["p"][0]["part"]["rows"])) for r in E._coded(frame, "file", ("td",), (), False).collect()}
+    assert kept == {"middle": (3, 3), "deleted": (1, 0), "same text": (1, 0)}
+    got = [tuple(r)[:9] for r in E.edit_script(frame).collect()]
+    cells = [("middle", "cell", "change", 0, i, 0, 0, i, 0) for i in (4, 6)]
+    rows = [("deleted", "row", "delete", 0, 9, None, None, None, None), ("same text", "row", "delete", 0, 8, None, None, None, None)]
+    assert sorted(got, key=str) == sorted(cells + rows, key=str)
+
+
 def test_blocks_out_of_reach_are_not_made():
     rows, sizes = list(range(320)), [4] * 320
     other = rows[:100] + [-1] + rows[101:200] + [-2] + rows[201:]
