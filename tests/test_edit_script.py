@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridweft.functions import markup as M
 from gridweft.operators import edit_script as E
 from gridweft.operators.table_similarity import score_tables
 from tests.test_tables import BASE, aligned, as_html, doc, random_table, row_cost
@@ -198,3 +199,9 @@ def test_many_different_rows(spark):
             line.append(min(last[j] + 4, line[-1] + 4, last[j - 1] + (row(x, y) if near else 3.0)))
     assert got == pytest.approx(line[-1])
     print(f"800 x 800 rows in {took:.1f} s")
+
+
+def test_end_of_a_section_may_end_a_broken_start_tag(spark):
+    markup = spark.createDataFrame([("<tbody><tr><td>q</td><td colspan=2 </tbody>",), ("<tbody><tr><td>q</td></tr></tbody>",)], "m string")
+    found = [[(c["tag"], c["colspan"], c["norm"]) for c in r[0][0]["rows"][0]] for r in markup.select(M.table_sections("m")).collect()]
+    assert found == [[("td", 1, "q"), ("td", 2, "")], [("td", 1, "q")]]
