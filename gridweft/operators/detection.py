@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from gridweft.functions import geometry as G
+from gridweft.operators import whole_images as W
 from gridweft.operators.overlap import overlap_pairs, representatives
 from gridweft.session import discard, materialize, scratch_path
 
@@ -107,33 +112,65 @@ def threshold_sweep(
 ) -> DataFrame:
     """Detection scores for each score threshold, ignored boxes treated as in ``detection_scores``.
 
-    The overlap join runs once; a pair is then repeated for the thresholds below its score.  Copies of a
+    The boxes are compared once.  Copies of a
     box are represented by their highest score, which is the last to be cut off.  Whether a detection's best true box
     is ignored does not depend on the threshold; how many copies of it pass does.
     """
     grid = F.array(*[F.lit(float(t)) for t in thresholds])
+    steps = np.unique(np.array(thresholds, float))
 
     def passing(df: DataFrame) -> DataFrame:
         return df.withColumn("threshold", F.explode(F.filter(grid, lambda t: t < F.col("score"))))
 
-    det = representatives(
-        detections.select("image", "box", "det_no", "score"), "det_no", order=F.struct(-F.col("score"), "det_no")
+    def work(images: W.Images) -> dict[str, pa.Array]:
+        (first, own), second = W.best_first(images.det), W.crowd_first(images.gt)[0]
+        det, gt = images.det.at(first), images.gt.at(second)
+        level, crowd, mutual, ignored = W.levels(det, steps), W.crowd(gt), W.Mutual(det, gt, len(steps)), np.zeros(len(first), bool)
+        for d, g, iou in W.pairs(det, gt, min_iou):
+            best = W.last_of(d, iou, np.where(np.isnan(crowd[g]), -np.inf, -crowd[g]))
+            best = best[crowd[g[best]] > 0]
+            ignored[d[best]] = True
+            # one without a number equals no other
+            valid = (crowd[g] == 0) & (level[d] > 0) & ~(np.isin(det.key[d], det.key[d[best]]) & (det.no[d] >= 0))
+            mutual.add(d[valid], g[valid], iou[valid], level[d[valid]])
+        n_match = np.zeros(len(steps), np.int64)
+        for step, d, _, _ in mutual.found():
+            n_match[step] = len(d)
+        passed = np.bincount(W.levels(images.det, steps)[ignored[own]], minlength=len(steps) + 1)[1:]
+        n_ignored = np.cumsum(passed[::-1])[::-1]
+        return {"threshold": pa.array(steps), "n_match": pa.array(n_match), "n_ignored": pa.array(n_ignored)}
+
+    rows = W.box_rows(detections, truth)
+    small, large = W.split(rows)
+    found = W.per_image(small, work, {"threshold": DoubleType(), "n_match": LongType(), "n_ignored": LongType()})
+    if large is not None:
+        found = found.unionByName(_sweep_spread(*W.sides(large), min_iou, passing))
+    found = found.groupBy("threshold").agg(F.sum("n_match").alias("n_match"), F.sum("n_ignored").alias("n_ignored"))
+    n_all = passing(rows.filter(~F.col("is_gt")).select("score")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_all"))
+    n_gt = rows.agg(F.count_if(F.col("is_gt") & (F.col("iscrowd") == 0)).alias("n_gt")).withColumn("threshold", F.explode(grid))
+    out = n_gt.join(n_all, "threshold", "left").join(found, "threshold", "left").na.fill(0, ["n_all", "n_match", "n_ignored"])
+    out = out.withColumn("n_det", F.col("n_all") - F.col("n_ignored"))
+    return out.select(
+        "threshold", "n_match", "n_det", "n_gt", *_rates(F.col("n_match"), F.col("n_det"), F.col("n_gt"))
     )
-    gt = representatives(truth.select("image", "box", "gt_no", "iscrowd"), "gt_no", order=F.struct("iscrowd", "gt_no"))
+
+
+def _sweep_spread(
+    detections: DataFrame, truth: DataFrame, min_iou: float, passing: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``threshold, n_match, n_ignored``; a pair is repeated for the thresholds below its score."""
+    det = representatives(detections, "det_no", order=F.struct(-F.col("score"), "det_no"))
+    gt = representatives(truth, "gt_no", order=F.struct("iscrowd", "gt_no"))
     pairs = materialize(overlap_pairs(det, gt, min_iou=min_iou).drop("r_box"), "pairs")
     best = pairs.groupBy("image", F.col("l_box").alias("box"), "det_no").agg(
         F.max(F.struct("iou", (-F.col("iscrowd")).alias("counted"))).alias("b")
     )
     ignored = best.filter(F.col("b.counted") < 0).select("image", "box", "det_no")
     valid = pairs.filter(F.col("iscrowd") == 0).join(ignored, ["image", "det_no"], "left_anti")
-    hits = _mutual(passing(valid), ("threshold",)).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_match"))
-    counted = detections.select("image", "box", "score").join(ignored, ["image", "box"], "left_anti")
-    n_det = passing(counted.select("score")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_det"))
-    n_gt = truth.agg(F.count_if(F.col("iscrowd") == 0).alias("n_gt")).withColumn("threshold", F.explode(grid))
-    out = n_gt.join(n_det, "threshold", "left").join(hits, "threshold", "left").na.fill(0, ["n_det", "n_match"])
-    return out.select(
-        "threshold", "n_match", "n_det", "n_gt", *_rates(F.col("n_match"), F.col("n_det"), F.col("n_gt"))
-    )
+    hits = _mutual(passing(valid.drop("l_box")), ("threshold",)).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_match"))
+    left_out = detections.select("image", "box", "score").join(ignored, ["image", "box"], "left_semi")
+    n_ignored = passing(left_out.select("score")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_ignored"))
+    return hits.unionByName(n_ignored, allowMissingColumns=True).na.fill(0, ["n_match", "n_ignored"])
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
