@@ -204,8 +204,25 @@ TILE_BOXES = 2000
 def suppress_overlaps(detections: DataFrame, min_iou: float = 0.5) -> DataFrame:
     """Greedy non-maximum suppression: ``image, det_no, score`` of the kept boxes.
 
-    A box is kept when no kept box of higher rank (score, then lower number) overlaps it by more than ``min_iou``.  Instead of walking
-    through an image in order, all tiles of all images are walked through at the same time.  Inside a tile a box is dropped if a
+    A box is kept when no kept box of higher rank (score, then lower number) overlaps it by more than ``min_iou``.  An image is walked
+    through in that order, a large one in tiles.
+    """
+
+    def work(images: W.Images) -> dict[str, pa.Array]:
+        kept = W.kept_boxes(images, min_iou)
+        return {n: images.taken(n, kept) for n in fields}
+
+    rows = W.box_rows(detections)
+    small, large = W.split(rows)
+    fields = {n: rows.schema[n].dataType for n in ("image", "det_no", "score")}
+    out = W.per_image(small, work, fields)
+    return out if large is None else out.unionByName(_suppress_in_tiles(W.sides(large)[0], min_iou))
+
+
+def _suppress_in_tiles(detections: DataFrame, min_iou: float) -> DataFrame:
+    """Suppression in large images.
+
+    Instead of walking through an image in order, all tiles of all images are walked through at the same time.  Inside a tile a box is dropped if a
     better neighbour is kept, kept if all of them are dropped, and left for the next round if that depends on an undecided box of
     another tile.  The tiles of the next round are larger, so a chain of boxes that goes through many tiles is soon settled inside
     one; a tile with too many undecided boxes is cut into smaller ones.  How boxes are dealt into tiles changes the number of rounds,
