@@ -56,6 +56,26 @@ def match_boxes(detections: DataFrame, truth: DataFrame, min_iou: float = 0.5) -
 
 def best_per_truth(detections: DataFrame, truth: DataFrame, min_iou: float = 0.5) -> DataFrame:
     """The detection that overlaps each true box most.  Copies of a true box have the same one, a row each."""
+
+    def work(images: W.Images) -> dict[str, pa.Array]:
+        det, (first, own) = images.det.at(W.best_first(images.det)[0]), W.lowest_first(images.gt)
+        gt, score, best = images.gt.at(first), W.scores(det), W.Best(4)
+        for d, g, iou in W.pairs(det, gt, min_iou):
+            best.add(g, iou, score[d], W.smaller_first(det.no[d]), d)
+        there = np.isin(own, best.code)
+        at = np.searchsorted(best.code, own[there])
+        d, g = best.columns[3][at].astype(np.int64), images.gt.rows[there]
+        number = images.taken("image", g), images.taken("gt_no", g), images.taken("det_no", det.rows[d])
+        return dict(zip(fields, (*number, pa.array(best.columns[0][at])), strict=True))
+
+    rows = W.box_rows(detections, truth)
+    small, large = W.split(rows)
+    fields = {n: rows.schema[n].dataType for n in ("image", "gt_no", "det_no")} | {"iou": DoubleType()}
+    out = W.per_image(small, work, fields)
+    return out if large is None else out.unionByName(_best_per_truth_spread(*W.sides(large), min_iou))
+
+
+def _best_per_truth_spread(detections: DataFrame, truth: DataFrame, min_iou: float) -> DataFrame:
     det = representatives(
         detections.select("image", "box", "det_no", "score"), "det_no", order=F.struct(-F.col("score"), "det_no")
     )
