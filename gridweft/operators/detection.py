@@ -102,13 +102,39 @@ def detection_scores(detections: DataFrame, truth: DataFrame, min_iou: float = 0
     Ignored boxes (``iscrowd = 1``) count on neither side: they are no true boxes, and a detection whose best
     true box is ignored, together with its copies, is no detection.
     """
-    det = representatives(
-        detections.select("image", "box", "det_no", "score"),
-        "det_no",
-        order=F.struct(-F.col("score"), "det_no"),
-        copies="copies",
-    )
-    gt = representatives(truth.select("image", "box", "gt_no", "iscrowd"), "gt_no", order=F.struct("iscrowd", "gt_no"))
+
+    def work(images: W.Images) -> dict[str, pa.Array]:
+        (first, own), second = W.best_first(images.det), W.crowd_first(images.gt)[0]
+        det, gt, copies = images.det.at(first), images.gt.at(second), np.bincount(own, minlength=len(first))
+        crowd, mutual, n_match, n_ignored = W.crowd(gt), W.Mutual(det, gt), 0, 0
+        for d, g, iou in W.pairs(det, gt, min_iou):
+            counted = np.where(np.isnan(crowd[g]), -np.inf, -crowd[g])
+            best = W.last_of(det.key[d], iou, counted, copies[d])
+            best = best[crowd[g[best]] > 0]
+            n_ignored += int(copies[d[best]].sum())
+            # one without a number equals no other
+            valid = (crowd[g] == 0) & ~(np.isin(det.key[d], det.key[d[best]]) & (det.no[d] >= 0))
+            mutual.add(d[valid], g[valid], iou[valid])
+        for _, d, _, _ in mutual.found():
+            n_match += len(d)
+        return {"n_match": pa.array([n_match]), "n_ignored": pa.array([n_ignored])}
+
+    rows = W.box_rows(detections, truth)
+    small, large = W.split(rows)
+    found = W.per_image(small, work, {"n_match": LongType(), "n_ignored": LongType()})
+    if large is not None:
+        found = found.unionByName(_scores_spread(*W.sides(large), min_iou))
+    # two frames of one row each
+    found = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_match", "n_ignored")])
+    counts = found.join(rows.agg(F.count_if(~F.col("is_gt")).alias("n_all"), F.count_if(F.col("is_gt") & (F.col("iscrowd") == 0)).alias("n_gt")))
+    counts = counts.withColumn("n_det", F.col("n_all") - F.col("n_ignored"))
+    return counts.select("n_match", "n_det", "n_gt", *_rates(F.col("n_match"), F.col("n_det"), F.col("n_gt")))
+
+
+def _scores_spread(detections: DataFrame, truth: DataFrame, min_iou: float) -> DataFrame:
+    """``n_match, n_ignored``."""
+    det = representatives(detections, "det_no", order=F.struct(-F.col("score"), "det_no"), copies="copies")
+    gt = representatives(truth, "gt_no", order=F.struct("iscrowd", "gt_no"))
     pairs = overlap_pairs(det, gt, min_iou=min_iou).drop("l_box", "r_box")
     # read four times below; writing the result costs less than repeating the join
     pairs = materialize(pairs, "pairs")
@@ -118,13 +144,7 @@ def detection_scores(detections: DataFrame, truth: DataFrame, min_iou: float = 0
     ignored = best.filter(F.col("b.counted") < 0).select("image", "det_no", F.col("b.copies").alias("copies"))
     valid = pairs.filter(F.col("iscrowd") == 0).join(ignored, ["image", "det_no"], "left_anti")
     n_match = _mutual(valid).agg(F.count(F.lit(1)).alias("n_match"))
-    n_ignored = ignored.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_ignored"))
-    n_det = detections.agg(F.count(F.lit(1)).alias("n_all"))
-    n_gt = truth.agg(F.count_if(F.col("iscrowd") == 0).alias("n_gt"))
-    # four frames of one row each
-    counts = n_match.join(n_ignored).join(n_det).join(n_gt)
-    counts = counts.withColumn("n_det", F.col("n_all") - F.col("n_ignored"))
-    return counts.select("n_match", "n_det", "n_gt", *_rates(F.col("n_match"), F.col("n_det"), F.col("n_gt")))
+    return n_match.join(ignored.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_ignored")))
 
 
 def threshold_sweep(
