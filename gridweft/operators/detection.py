@@ -49,9 +49,26 @@ def match_boxes(detections: DataFrame, truth: DataFrame, min_iou: float = 0.5) -
     """One-to-one matches ``image, det_no, gt_no, iou``: each is the other's best partner.
 
     Ties go to the lower number of a true box, and to the higher score and then the lower number of a
-    detection.  The pairs are read twice, so they are written to the checkpoint folder first.
+    detection.  Large images go through the grid join; its pairs are read twice, so they are written to the checkpoint folder first.
     """
-    return _mutual(materialize(candidate_pairs(detections, truth, min_iou), "pairs"))
+
+    def work(images: W.Images) -> dict[str, pa.Array]:
+        det, gt = images.det.at(W.best_first(images.det)[0]), images.gt.at(W.lowest_first(images.gt)[0])
+        mutual = W.Mutual(det, gt)
+        for d, g, iou in W.pairs(det, gt, min_iou):
+            mutual.add(d, g, iou)
+        empty = np.zeros(0, np.int64)
+        _, d, g, iou = next(mutual.found(), (0, empty, empty, np.zeros(0)))
+        number = images.taken("image", det.rows[d]), images.taken("det_no", det.rows[d]), images.taken("gt_no", gt.rows[g])
+        return dict(zip(fields, (*number, pa.array(iou)), strict=True))
+
+    rows = W.box_rows(detections, truth)
+    small, large = W.split(rows)
+    fields = {n: rows.schema[n].dataType for n in ("image", "det_no", "gt_no")} | {"iou": DoubleType()}
+    out = W.per_image(small, work, fields)
+    if large is None:
+        return out
+    return out.unionByName(_mutual(materialize(candidate_pairs(*W.sides(large), min_iou), "pairs")))
 
 
 def best_per_truth(detections: DataFrame, truth: DataFrame, min_iou: float = 0.5) -> DataFrame:
