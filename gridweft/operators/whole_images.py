@@ -45,7 +45,7 @@ def box_rows(detections: DataFrame, truth: DataFrame | None = None) -> DataFrame
     if truth is not None:
         crowd = F.col("iscrowd") if "iscrowd" in truth.columns else F.lit(0).alias("iscrowd")
         rows = rows.unionByName(truth.select("image", *edges, "gt_no", crowd, F.lit(True).alias("is_gt")), allowMissingColumns=True)
-    return materialize(rows, "boxes")
+    return materialize(rows, "nms-boxes" if truth is None else "boxes")
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
